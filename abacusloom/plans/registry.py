@@ -1,9 +1,10 @@
 """All registered queries and the SQL of those that SQL can express."""
-from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from . import learner, ledger
+from .learner import calibration
 
+_PARTS = (learner, ledger)
+QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
+ORACLES = {k: f for m in _PARTS for k, f in m.ORACLES.items()}
 
-def calibration(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "calibration"]
