@@ -84,8 +84,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, contained: f
     hits = hold(likely.withColumnRenamed("at", "near"), "at", F.filter("near", lambda i: _shingle(i, w).isin(every))).filter(F.size("at") > 0)
     window = lambda i, s: F.array(F.struct(F.lit(s).alias("s"), F.floor((i - 1) / s).alias("n")), F.struct(F.lit(s).alias("s"), F.greatest(F.lit(0).cast("long"), F.floor((i - 1) / s) - 1).alias("n")))
     spans = F.array_distinct(F.flatten(F.transform("at", lambda i: F.concat(*(window(i, s) for s in classes)))))
-    spread = hits.select(F.col(key), "w", F.explode(spans).alias("span")).select(F.col(key), "w", "span.s", "span.n")
-    inside = hold(spread, "v", F.slice("w", (F.col("n") * F.col("s") + 1).cast("int"), F.col("s") * 2 + SHINGLE - 1)).drop("w")
+    cut = lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), F.slice("w", (x["n"] * x["s"] + 1).cast("int"), x["s"] * 2 + SHINGLE - 1).alias("v"))
+    inside = hits.select(F.col(key), F.explode(F.transform(spans, cut)).alias("span")).select(F.col(key), "span.s", "span.n", "span.v")
     windows = hold(inside.filter(F.size("v") >= SHINGLE), "there", _shingles(F.col("v"))).drop("v")
     bands = windows.select(F.col(key), "s", "n", "there", F.explode(_signature("there")).alias("m")).select(F.col(key), "s", "n", "there", "m.band", "m.value")
     keys = known.select("license", "wanted", F.col("size_class").alias("s"), F.explode(_signature("wanted")).alias("m")).select("license", "wanted", "s", "m.band", "m.value")
