@@ -105,10 +105,10 @@ def averages(rows: DataFrame, key: str, value: str, weight: str | None = None) -
 
 def dispersion(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Range, population variance and deviation, coefficient of variation, and mean deviation about mean and median."""
-    base = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.median(value).alias("med"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.var_pop(value).alias("v"))
+    base = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.median(value).alias("med"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.var_pop(value).alias("variance"))
     about = rows.select(key, value).join(base, key).groupBy(key).agg(F.avg(F.abs(F.col(value) - F.col("m"))).alias("md_mean"), F.avg(F.abs(F.col(value) - F.col("med"))).alias("md_median"))
-    sd = F.sqrt("v")
-    return base.join(about, key).select(key, "n", r(F.col("m")).alias("mean"), r(F.col("med")).alias("median"), r(F.col("hi") - F.col("lo")).alias("range"), r(F.col("v")).alias("variance"), r(sd).alias("sd"), r(100 * sd / F.col("m")).alias("cv"), r(F.col("md_mean")).alias("md_mean"), r(F.col("md_median")).alias("md_median"))
+    sd = F.sqrt("variance")
+    return base.join(about, key).select(key, "n", r(F.col("m")).alias("mean"), r(F.col("med")).alias("median"), r(F.col("hi") - F.col("lo")).alias("range"), r(F.col("variance")).alias("variance"), r(sd).alias("sd"), r(100 * sd / F.col("m")).alias("cv"), r(F.col("md_mean")).alias("md_mean"), r(F.col("md_median")).alias("md_median"))
 
 
 def combined(parts: DataFrame, key: Sequence[str] = ()) -> DataFrame:

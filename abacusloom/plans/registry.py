@@ -1,9 +1,9 @@
 """All registered queries and the SQL of those that SQL can express."""
 
-from . import learner, ledger
+from . import composition, learner, ledger, statistics
 from .learner import calibration
 
-_PARTS = (learner, ledger)
+_PARTS = (learner, ledger, statistics, composition)
 QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in _PARTS for k, f in m.ORACLES.items()}
 
