@@ -19,6 +19,7 @@ from heapq import heappop, heappush
 from struct import pack
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import WordCache, slices
+from .words import Key, WordCache, cut_words, slices, text_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,15 +57,15 @@ class Replay:
                 self.pairs[a << 20 | b] = found
         return found
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each of the ``pieces``: all merges of all of them, in rank order.
+    def replay(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each of the ``words``: all merges of all of them, in rank order.
 
-        ``token`` is one chain of all pieces with -1 after each; a merge leaves -2 where its right half was, and
+        ``token`` is one chain of all words with -1 after each; a merge leaves -2 where its right half was, and
         ``left`` and ``right`` lead from each token over such gaps to its neighbours."""
         token: list[int] = []
         end: list[int] = []
         single = self.single
-        for p in pieces:
+        for p in words:
             token += map(single.__getitem__, p)
             token.append(-1)
             end.append(len(token))
@@ -131,28 +132,17 @@ class Replay:
             start = e
         return out
 
-    def cut_word(self, word: str) -> list[str]:
-        """Matches of the pattern in a word. Letters, and letters before one mark, need no search."""
-        core = word[1:] if word[:1] == " " else word
-        if core.isalpha():
-            return [word]
-        if core[:-1].isalpha() and core[-1] in ".,;:!?":
-            return [word[:-1], core[-1]]
-        return self.split(word)
-
-    def learn(self, words: list[str], known: dict[str, bytes]) -> None:
+    def learn(self, words: list[Key], known: dict[Key, bytes]) -> None:
         """Encode new words, each cut by the pattern into pieces that merge on their own."""
-        cut = list(map(self.cut_word, words))
-        pieces = [p for p in {p: None for c in cut for p in c} if p not in known]
-        raw = [p.encode("utf-8", "replace") for p in pieces]
+        new, several = cut_words(words, self.split, known)
+        raw = [text_of(p).encode("utf-8", "replace") for p in new]
         to_merge = [b for b in raw if b not in self.ranks]
         ids = dict(zip(to_merge, self.replay(to_merge), strict=True))
-        for p, b in zip(pieces, raw, strict=True):
+        for p, b in zip(new, raw, strict=True):
             found = ids.get(b)
             known[p] = pack(f"<{len(found)}I", *found) if found is not None else pack("<I", self.ranks[b])
-        for w, c in zip(words, cut, strict=True):
-            if len(c) > 1 or w not in known:
-                known[w] = b"".join(map(known.__getitem__, c))
+        for w, parts in several:
+            known[w] = b"".join(map(known.__getitem__, parts))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -187,10 +177,9 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> Dat
     path, pattern = path or public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
     @F.pandas_udf("binary")
-    def bytes_of(batches: Iterator) -> Iterator:
+    def bytes_of(values: pd.Series) -> pd.Series:
         replay = _replay(path, pattern)
-        for values in batches:
-            yield values.map(lambda x: replay.decode(x or b""))
+        return values.map(lambda x: replay.decode(x or b""))
 
     return encoded.withColumn("decoded", bytes_of(ids)).drop(ids)
 

@@ -12,6 +12,8 @@ are equal in both are packed each on its own. An empty table gives no sequence.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,12 +22,13 @@ from struct import pack as pack_ids
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .words import WordCache, slices
+from .words import Key, WordCache, cut_words, slices, text_of
 
 SEQUENCE = 2048
 END_ID = 1
@@ -33,24 +36,60 @@ TOKENIZER = "byte_bpe_50k.json"
 DIMENSIONS, BITS = 4, 10
 BUCKETS = 1 << 16  # of hashed tokens
 SEED = 4_096
+BLANK = re.compile(r"\s")
+
+
+def _ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """A byte-level vocabulary by bytes. Its characters stand for bytes: printable ones for themselves, the others, in order,
+    for the characters from 256 on; an id is the rank of the merge that makes it."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    byte = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
+    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items()}
 
 
 @lru_cache(2)
-def _encoder(path: str) -> WordCache:
-    """Encodes each distinct word once with the tokenizer; texts that can't be cut, or that hold its special token, whole."""
+def _encoder(path: str):
+    """A function from texts to ids' bytes that encodes each distinct piece of a word once, by the ranks of the tokenizer's file.
+
+    Many pieces are encoded as the lines of one text: the id of a line's end then parts them. Texts that hold the
+    tokenizer's special token go to the tokenizer itself."""
+    import tiktoken
     from tokenizers import Tokenizer
 
+    gc.set_threshold(100_000, 50, 100)  # the cache's many small objects never form cycles
     tokenizer = Tokenizer.from_file(path)
-
-    def learn(words: list[str], known: dict[str, bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[w] = pack_ids(f"<{len(ids)}I", *ids)
-
-    special = next(iter(tokenizer.get_added_tokens_decoder().values()), None)
-    return WordCache(learn, lambda text: [text], special.content if special else None)
+    split = regex.compile(public_tokenizers.PATTERN).findall
+    special = next((t.content for t in tokenizer.get_added_tokens_decoder().values()), None)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    vocabulary.pop(special, None)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(vocabulary), special_tokens={})
+    ids_of = lambda texts: [np.array(plain.encode_ordinary(t), "<u4") for t in texts]
+    (line_end,) = ids_of(["\n"])[0]
+
+    def learn(words: list[Key], known: dict[Key, bytes]) -> None:
+        new, several = cut_words(words, split, known)
+        lines = [p for p in new if (p if isinstance(p, str) else p[0]).isalnum() or not BLANK.search(text_of(p)[1:] or text_of(p))]
+        parts = [lines[at : at + 512] for at in range(0, len(lines), 512)]
+        for part, ids in zip(parts, ids_of(["\n".join(map(text_of, part)) for part in parts]), strict=True):
+            ends = [*(np.flatnonzero(ids == line_end) * 4).tolist(), len(ids) * 4]
+            if len(ends) == len(part):
+                data, start = ids.tobytes(), 0
+                for p, end in zip(part, ends, strict=True):
+                    known[p], start = data[start:end], end + 4
+        rest = [p for p in new if p not in known]
+        known.update(zip(rest, (x.tobytes() for x in ids_of(list(map(text_of, rest)))), strict=True))
+        for w, parts in several:
+            known[w] = b"".join(map(known.__getitem__, parts))
+
+    cache = WordCache(learn, split)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        whole = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for i, t in enumerate(texts) if special and special in t}
+        found = cache.encode(["" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+        return [whole.get(i, x) for i, x in enumerate(found)] if whole else found
+
+    return encode
 
 
 @lru_cache(1)
@@ -103,7 +142,7 @@ def tokenised(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
         for batch in batches:
             at = 0
             for texts in slices(batch.column(1)):
-                found = [x + end for x in encoder.encode(texts)]
+                found = [x + end for x in encoder(texts)]
                 curve = hilbert_key(np.stack([point(np.frombuffer(x, "<u4")) for x in found]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(curve), pa.array(found, pa.binary())], ["doc_id", "curve", "ids"])
                 at += len(texts)

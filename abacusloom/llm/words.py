@@ -3,46 +3,87 @@
 A text is cut before its single spaces. Under a byte-level pattern of the usual kind (`` ?letters``, `` ?digits``,
 `` ?marks``, white space up to its last character) such a cut never lies inside a match and a word's matches
 don't depend on its neighbours, unless white space stands on both sides of a space or before a last one; such texts
-are left to the caller whole.
+are cut by the pattern.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import pyarrow as pa
 
-MOST_WORDS = 400_000  # kept by a worker; an evicted word is encoded again
+MOST_WORDS = 1_000_000  # kept by a worker; an evicted word is encoded again
 SLICE_CHARS = 1_000_000  # texts encoded together
 CROSSING = re.compile(r" (?<=\s )(?=\s|\Z)")
 
 
+#: A string stands for the word with a space before it, a tuple of one string for that string as it is.
+Key = str | tuple[str]
+
+
+def text_of(key: Key) -> str:
+    return " " + key if isinstance(key, str) else key[0]
+
+
+def key_of(text: str) -> Key:
+    return text[1:] if text[0] == " " and len(text) > 1 else (text,)
+
+
 class WordCache:
-    """``learn(words, known)`` adds the ids' bytes of new words; ``whole(text)`` cuts or encodes a text that can't be cut before spaces."""
+    """Ids' bytes of words. ``learn(keys, known)`` adds new ones; ``split(text)`` cuts a text that can't be cut before spaces.
+    Of the words that are known, those not seen since the last half of the bound filled up are forgotten."""
 
-    def __init__(self, learn: Callable[[list[str], dict[str, bytes]], None], whole: Callable[[str], list[str]], apart: str | None = None):
-        self.learn, self.whole, self.apart, self.known = learn, whole, apart, {}
+    def __init__(self, learn: Callable[[list[Key], dict[Key, bytes]], None], split: Callable[[str], list[str]]):
+        self.learn, self.split, self.known, self.older = learn, split, {}, {}
 
-    def cut(self, text: str) -> list[str]:
-        if CROSSING.search(text) or self.apart and self.apart in text:
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        words = [" " + w for w in rest]
-        return [first, *words] if first else words
+    def cut(self, text: str) -> list[Key]:
+        if CROSSING.search(text):
+            return list(map(key_of, self.split(text)))
+        words = text.split(" ")
+        if words[0]:
+            words[0] = (words[0],)
+        else:
+            del words[0]
+        return words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = list(map(self.cut, texts))
-        seen = {w for words in cut for w in words}
-        new = seen.difference(self.known)
-        if len(self.known) + len(new) > MOST_WORDS:
-            for w in list(islice(self.known, max(0, len(self.known) - MOST_WORDS // 2))):
-                del self.known[w]
-            new = seen.difference(self.known)
+        if len(self.known) > MOST_WORDS // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = set().union(*cut).difference(known)
         if new:
-            self.learn(sorted(new), self.known)
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+            if older:
+                kept = {w: older[w] for w in new if w in older}
+                known.update(kept)
+                new.difference_update(kept)
+            self.learn(list(new), known)
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
+
+
+def cut_words(keys: list[Key], split: Callable[[str], list[str]], known: dict[Key, bytes]) -> tuple[list[Key], list[tuple[Key, list[Key]]]]:
+    """Of new words, the pieces to encode (matches of the pattern, by ``split``, that aren't known), and the words of several
+    pieces with their pieces. Letters, and letters before one mark, need no search."""
+    pieces: dict[Key, None] = {}
+    several = []
+    for k in keys:
+        word = k if isinstance(k, str) else k[0]
+        if word.isalpha():
+            pieces[k] = None
+            continue
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            parts = [word[:-1] if isinstance(k, str) else (word[:-1],), (word[-1],)]
+        else:
+            parts = list(map(key_of, split(text_of(k))))
+        if parts == [k]:
+            pieces[k] = None
+        else:
+            several.append((k, parts))
+            for p in parts:
+                if p not in known:
+                    pieces[p] = None
+    return list(pieces), several
 
 
 def slices(column: pa.Array) -> Iterator[list[str]]:
