@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+NUDGE = 1e-8
+
+
 def r(x: Column, places: int = 4) -> Column:
-    return F.round(x, places)
+    """Rounded with halves up, also those that a binary fraction holds slightly too low."""
+    return F.round(x + NUDGE, places)
 
 
 # index numbers

@@ -11,11 +11,25 @@ from ..sources.adapters import PRICE, XY, table
 QUERIES, ORACLES = {}, {}
 
 
+def halves_up(sql: str) -> str:
+    """The SQL with the nudge of ``r`` in each rounding of a result; roundings of inputs to no places stay."""
+    out = ""
+    while (at := sql.find("round(")) >= 0:
+        end, depth = at + 6, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        value, _, places = halves_up(sql[at + 6 : end - 1]).rpartition(",")
+        kept = places.strip() == "0" or sql[:end].endswith("/* input */)")
+        out, sql = f"{out}{sql[:at]}round({value}{'' if kept else f' + {op.NUDGE:.0e}'},{places})", sql[end:]
+    return out + sql
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = halves_up(sql)
         return f
 
     return add
@@ -109,7 +123,7 @@ def steadiest_series(spark, sf_dir):
     return op.steadiest(op.dispersion(_quantities(spark, sf_dir), "k", "v"), "k")
 
 
-@query("WITH p AS (SELECT l_suppkey % 10 AS g, l_suppkey AS k, count(*) AS n, round(avg(l_quantity), 6) AS m, round(stddev_pop(l_quantity), 6) AS s FROM lineitem GROUP BY 1, 2), c AS (SELECT g, sum(n) AS n, sum(n * m) / sum(n) AS m, sum(n * (s * s + m * m)) / sum(n) AS q FROM p GROUP BY 1) SELECT g, CAST(n AS BIGINT) AS n, round(m, 4) AS mean, round(sqrt(greatest(0, q - m * m)), 4) AS sd FROM c")
+@query("WITH p AS (SELECT l_suppkey % 10 AS g, l_suppkey AS k, count(*) AS n, round(avg(l_quantity), 6 /* input */) AS m, round(stddev_pop(l_quantity), 6 /* input */) AS s FROM lineitem GROUP BY 1, 2), c AS (SELECT g, sum(n) AS n, sum(n * m) / sum(n) AS m, sum(n * (s * s + m * m)) / sum(n) AS q FROM p GROUP BY 1) SELECT g, CAST(n AS BIGINT) AS n, round(m, 4) AS mean, round(sqrt(greatest(0, q - m * m)), 4) AS sd FROM c")
 def combined_groups(spark, sf_dir):
     parts = _quantities(spark, sf_dir).groupBy((F.col("k") % 10).alias("g"), "k").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("sd"))
     return op.combined(parts, ["g"])
@@ -166,7 +180,7 @@ def frequency_table(spark, sf_dir):
     return op.frequency_table(_quantities(spark, sf_dir), "k", "v")
 
 
-COST = "tc AS (SELECT l_suppkey AS firm, CAST(year(l_shipdate) - 1991 AS INTEGER) AS output, round(sum(sum(l_extendedprice)) OVER (PARTITION BY l_suppkey ORDER BY year(l_shipdate)), 2) AS total FROM lineitem GROUP BY l_suppkey, year(l_shipdate))"
+COST = "tc AS (SELECT l_suppkey AS firm, CAST(year(l_shipdate) - 1991 AS INTEGER) AS output, round(sum(sum(l_extendedprice)) OVER (PARTITION BY l_suppkey ORDER BY year(l_shipdate)), 2 /* input */) AS total FROM lineitem GROUP BY l_suppkey, year(l_shipdate))"
 
 
 def _costs(spark, sf_dir):
