@@ -7,21 +7,25 @@ from functools import lru_cache
 
 import zstandard
 
-LEVEL = 3
+LEVEL, SHORTEST = 3, 4  # matches from four bytes on: syllables count
 BLOCK = 16_384  # bytes compressed at a time, so that a long text doesn't become its own dictionary
 
 
+def _settings() -> zstandard.ZstdCompressionParameters:
+    return zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=SHORTEST, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+
 @lru_cache(64)
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    dictionary.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
+    dictionary.precompute_compress(compression_params=_settings())
+    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=_settings())
 
 
 @lru_cache(1)
 def _frame() -> int:
     """Bytes of a frame that hold no text."""
-    return len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress(b""))
+    return len(zstandard.ZstdCompressor(compression_params=_settings()).compress(b""))
 
 
 def sizes(text: bytes, dictionaries: Sequence[bytes]) -> list[int]:
