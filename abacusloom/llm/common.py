@@ -16,12 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a local one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return root or spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
