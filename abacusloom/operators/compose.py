@@ -65,7 +65,7 @@ def stratified_draw(pool: DataFrame, targets: DataFrame, paper: str, group: str,
 def weighted_set(units: DataFrame, key: str, chapter: str, unit: str, size: int, seed: str) -> DataFrame:
     """A mixed set per key: one unit of each chapter first, then by weight (Efraimidis and Spirakis' keys), whole units that still fit.
 
-    ``units`` has ``questions`` (its size) and ``weight``. Units come in the order of their draw; consecutive ones from different
+    ``units`` has ``questions`` (its size) and ``weight``. The draw looks at 50 candidates for each question of the set. Units come in the order of their draw; consecutive ones from different
     chapters while chapters last, as each chapter gives one unit a round."""
     rows = units.withColumn("_draw", -F.log(chance(seed, key, unit)) / F.col("weight"))
     rows = rows.withColumn("_round", F.row_number().over(Window.partitionBy(key, chapter).orderBy("_draw", unit)))
