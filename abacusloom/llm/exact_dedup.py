@@ -67,7 +67,7 @@ def dedup_keyed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     own = [F.col(c) for c in docs.columns if c != "hash"]
     once = marked.filter(~again).select(*own, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     often = marked.filter(again).select(*own)
-    groups = often.groupBy("text_sha256").agg(F.min(key).alias("keep_id"), F.count("*").alias("group_size"))
+    groups = materialise(often.groupBy("text_sha256").agg(F.min(key).alias("keep_id"), F.count("*").alias("group_size")))
     kept = F.coalesce(F.col(key) == F.col("keep_id"), F.col("keep_id").isNull())
     return once.unionByName(often.join(groups, "text_sha256").withColumn("kept", kept))
 
