@@ -5,6 +5,9 @@ paired with the bucket's leaders only, so candidates grow with the members, not
 bucket of any size is a partial aggregation plus a join that adaptive execution may split. After the
 first links are known, buckets whose members still lie in different components get new leaders, drawn
 anew for each bucket, and the members outside the leader's component are paired with those.
+
+Leaders only save work. What decides is the settling after them: every two members of a bucket that still lie in
+different components are compared, or ruled out exactly by ``meet``.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, materialise
 
+BLOCK = 1_024  # members of a bucket or list that one block of a join holds on its right
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (smallest node reachable) for edges ``a``, ``b``; alternates stars until stable."""
@@ -45,17 +50,36 @@ def _state(edges: DataFrame) -> tuple[int, int, int]:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("v", "u", F.lit(1))), F.lit(0))).first())
 
 
+def in_blocks(lists: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Pairs ``a`` < ``b`` of rows of equal ``key`` that lie in different components; ``names`` are further columns, with suffixes
+    ``_a`` and ``_b``. Members of a list's largest component aren't paired with each other, and long lists go in blocks."""
+    counts = lists.groupBy(key, "component").agg(F.count("*").alias("n")).groupBy(key)
+    held = materialise(counts.agg(F.max_by("component", F.struct("n", "component")).alias("big"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1").drop("k"))
+    rows = lists.join(held, key).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    side = lambda s: [key, "block", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", *names))]
+    left = rows.filter("component <> big").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*side("x"))
+    right = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(*side("y"), (F.col("component") == F.col("big")).alias("heavy"))
+    return left.join(right, [key, "block"]).filter("component_x <> component_y AND (heavy OR id_x < id_y)")
+
+
+def all_pairs(told: DataFrame) -> DataFrame:
+    """Every two members of a bucket that lie in different components."""
+    return in_blocks(told, "band", []).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def link_by_bands(
     rows: DataFrame,
     bands: Column,
     verify: Callable[[DataFrame, DataFrame], DataFrame],
+    meet: Callable[[DataFrame], DataFrame] = all_pairs,
     rounds: int = 2,
 ) -> DataFrame:
-    """One row per row of ``rows``: ``id``, ``class_id`` (smallest id of its class), ``class_size``, ``links``.
+    """One row per row of ``rows``: ``id``, ``class_id`` (smallest id of its class), ``class_size``.
 
     ``rows`` has ``id`` and ``content``, and perhaps columns that depend on the content alone; ``bands`` is
     an array computed from them. ``verify(pairs, groups)`` keeps those pairs ``a``, ``b`` that are near; ``groups``
-    has a row per content. ``links`` counts the verified links of a row's content to other contents."""
+    has a row per content. ``meet(told)`` gives, for members ``id``, ``band``, ``component`` of the buckets that leaders left in
+    several components, pairs ``a``, ``b`` among which are all near ones of one bucket and different components."""
     extra = [c for c in rows.columns if c not in ("id", "content")]
     groups = materialise(rows.groupBy("content").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in extra)))
     banded = groups.select("id", F.explode(F.array_distinct(bands)).alias("band"))
@@ -88,13 +112,19 @@ def link_by_bands(
         tested, edges = tested.unionByName(pairs), edges.unionByName(more)
         if not more.isEmpty():
             component = cut(connected_components(edges))
-    links = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    told = met.join(component, met.id == component.node, "left").select("id", "band", F.coalesce("component", "id").alias("component"))
+    open_ = told.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi AND n > 2")  # of two, both are tested
+    told = materialise(told.join(open_.select("band"), "band", "left_semi"))
+    if not told.isEmpty():
+        pairs = materialise(meet(told).join(tested, ["a", "b"], "left_anti"))
+        more = materialise(verify(pairs, groups).select("a", "b"))
+        if not more.isEmpty():
+            component = cut(connected_components(edges.unionByName(more)))
     classes = materialise(
         groups.select("id", "content", "copies")
         .join(component.withColumnRenamed("node", "id"), "id", "left")
-        .join(links, "id", "left")
-        .select("content", "copies", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select("content", "copies", F.coalesce("component", "id").alias("class_id"))
     )
     sizes = materialise(classes.groupBy("class_id").agg(F.sum("copies").alias("class_size")))  # apart, so that the join may be split
-    known = materialise(classes.join(sizes, "class_id", "left").select("content", "class_id", F.coalesce("class_size", "copies").alias("class_size"), "links"))
-    return rows.select("id", "content").join(known, "content").select("id", "class_id", "class_size", "links")
+    known = materialise(classes.join(sizes, "class_id", "left").select("content", "class_id", F.coalesce("class_size", "copies").alias("class_size")))
+    return rows.select("id", "content").join(known, "content").select("id", "class_id", "class_size")

@@ -8,7 +8,8 @@ are thrown, so the signature costs one hash a shingle and a constant number of d
 agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Bands of four coordinates bring documents together (at 0.8 a pair is missed with probability below 0.0003); the exact
-weighted similarity of the shingles then decides. Words are runs without ASCII white space, in lower case. A text of fewer than
+weighted similarity of the shingles then decides. Where a crowded bucket keeps members that its leaders aren't near to,
+they are joined by their rarest shingles: two similar sets share one among the first fifth of each. Words are runs without ASCII white space, in lower case. A text of fewer than
 five words is one shingle; null and word-less texts have none, are alike to each other and to nothing else.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .linking import link_by_bands
+from .linking import in_blocks, link_by_bands
 from .words import slices
 
 SHINGLE = 5
@@ -34,6 +35,7 @@ PART_BYTES = 1 << 21
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 U = np.uint64
+COUNTERS = 1 << 18  # of shingles, by their last bits; they only order the shingles
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -175,22 +177,71 @@ def element_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, elements array<int>")
 
 
+def occurrences(sets: DataFrame) -> np.ndarray:
+    """How many sets an element of each counter is in, for rows ``elements``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["counter", "n"])
+
+    found = sets.select("elements").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
+def rarest(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """The elements of each set, rarest first, that can be the first that it has in common with a similar set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(2).offsets.to_numpy()
+            values = batch.column(2).values.to_numpy()
+            firsts = []
+            for i in range(batch.num_rows):
+                own = values[ends[i] : ends[i + 1]]
+                most = int(len(own) * (1 - similarity) + 1e-6) + 1
+                firsts.append(own[np.lexsort((own, counts[own & (COUNTERS - 1)]))][:most])
+            if not firsts:
+                continue
+            kept = np.array([len(f) for f in firsts])
+            row = pa.array(np.repeat(np.arange(len(kept)), kept))
+            size, at = np.repeat(np.diff(ends), kept), np.concatenate([np.arange(k) for k in kept])
+            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(size, pa.int32()), pa.array(at, pa.int32()), pa.array(np.concatenate(firsts), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "component", "size", "at", "element"])
+
+    return sets.select("id", "component", "elements").mapInArrow(run, "id long, component long, size int, at int, element int")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: ``key``, ``class_id`` (smallest key of its class), ``class_size``, ``links`` (verified links of its
-    text to other texts), ``kept`` (the class's first document). Rows of equal key fall into one class; a null key has
-    no class. An empty table gives an empty result."""
+    """One row per document: ``key``, ``class_id`` (smallest key of its class), ``class_size``, ``kept`` (the class's first
+    document). Rows of equal key fall into one class; a null key has no class. An empty table gives an empty result."""
     rows = materialise(sketch(docs, text, key))
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+        return materialise(element_sets(texts).dropDuplicates(["id"]))
+
     def verify(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi")
-        sets = materialise(element_sets(texts).dropDuplicates(["id"]))
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         of = lambda name: sets.select(F.col("id").alias(name), F.col("elements").alias(f"set_{name}"))
         common = F.size(F.array_intersect("set_a", "set_b"))
         compared = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("both"))
         return compared.filter(F.col("common") >= similarity * (F.col("both") - F.col("common")))
 
-    found = link_by_bands(rows, F.col("bands"), verify)
+    def meet(told: DataFrame) -> DataFrame:
+        members = told.select("id", "component").distinct()
+        sets = sets_of(members.select("id"))
+        lists = materialise(rarest(sets.join(members, "id"), occurrences(sets), similarity))
+        pairs = in_blocks(lists, "element", ["size", "at"])
+        most = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))  # in common, if this element is the first
+        near = most * (1 + similarity) >= similarity * (F.col("size_x") + F.col("size_y")) - 1e-6
+        return pairs.filter(near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+    found = link_by_bands(rows, F.col("bands"), verify, meet)
     return found.withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True))).withColumnRenamed("id", key)
 
 

@@ -145,6 +145,30 @@ def test_near_dedup_links_a_large_group(spark):
     assert {r["class_id"] for r in got} == {0} and {r["class_size"] for r in got} == {400} and sum(r["kept"] for r in got) == 1
 
 
+def test_near_dedup_settles_a_bucket_of_many_clusters(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage, rows, want = words(120), [], {}
+    for cluster in range(40):
+        own = words(80)
+        for copy in range(3):
+            i = cluster + 40 * copy
+            rows.append((i, " ".join([*passage, *own[: 20 + copy], f"x{i}", *own[21 + copy :]])))
+            want[i] = cluster
+    sketch = near_dedup.sketch
+    monkeypatch.setattr(near_dedup, "sketch", lambda *a: sketch(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(linking, "BLOCK", 16)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_all_pairs_settle_a_crowded_bucket(spark):
+    rows = spark.createDataFrame([(i, f"{i % 30}-{i}") for i in range(90)], "id long, content string")
+    near = lambda pairs, groups: pairs.filter("a % 30 = b % 30")
+    got = {r["id"]: (r["class_id"], r["class_size"]) for r in linking.link_by_bands(rows, F.array(F.lit("one")), near).collect()}
+    assert got == {i: (i % 30, 3) for i in range(90)}
+
+
 def test_dart_agreement_estimates_weighted_similarity():
     a = " ".join(f"a{i % 70}" for i in range(200))
     b = " ".join(f"a{i % 70}" for i in range(140)) + " " + " ".join(f"b{i}" for i in range(30))
