@@ -9,8 +9,9 @@ Written out, the log-likelihood difference is a sum over all substrings of the U
 its last character gains over the shorter context, and each kept context of which it is the beginning adds what unseen
 characters lose there. So a URL is scored by one lookup per substring, without state from character to character.
 
-The number of kept strings has a proven bound: they occur at least total / ``MOST_STRINGS`` times, for each length.
-That is why the model may be broadcast. Only DataFrame functions are used.
+The model grows with the input. Substrings that make up at least 1 / ``MOST_STRINGS`` of those looked up, for each length,
+are so few that they are broadcast; any other one is rare among them, so that a shuffle deals them evenly. Only DataFrame
+functions are used.
 
 Null URLs, and URLs without ``://``, have an empty host and path; with no characters to judge a null or empty URL is
 allowed. Without URLs of both kinds to learn from, the method allows all.
@@ -29,7 +30,7 @@ from .common import hold, materialise, table
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ORDER = 4  # characters of context at most
 LEAST = 3  # occurrences of a kept string at least
-MOST_STRINGS = 32_768  # kept strings of each length at most
+MOST_STRINGS = 32_768  # strings of each length at most that are broadcast
 PRIOR = 4.0  # weight of the shorter context, in characters
 ALPHABET = 128.0
 END = "\x03"
@@ -65,16 +66,15 @@ def _substrings(rows: DataFrame, url: Column, keep: Sequence[str]) -> DataFrame:
 
 def learn(labelled: DataFrame, url: str = "url", accepted: str = "accepted") -> DataFrame | None:
     """The model: ``s``, ``gain`` (of its last character), ``loss`` (of an unseen one after it), for accepted over rejected."""
-    chars = labelled.agg(F.sum(F.length(url) + 1), F.count_if(accepted), F.count_if(~F.col(accepted))).first()
-    if not chars[1] or not chars[2]:
+    kinds = labelled.agg(F.count_if(accepted), F.count_if(~F.col(accepted))).first()
+    if not kinds[0] or not kinds[1]:
         return None
-    least = max(LEAST, math.ceil(chars[0] / MOST_STRINGS))
     yes = F.col(accepted).cast("long")
     counts = materialise(
         _substrings(labelled.select(url, accepted), F.col(url), [accepted])
         .groupBy("s")
         .agg(F.sum(yes).alias("a"), F.sum(1 - yes).alias("r"), F.sum(yes * F.col("context").cast("long")).alias("ca"), F.sum((1 - yes) * F.col("context").cast("long")).alias("cr"))
-        .filter(F.col("a") + F.col("r") >= least)
+        .filter(F.col("a") + F.col("r") >= LEAST)
     )
     total = labelled.agg(F.sum(F.when(F.col(accepted), F.length(url) + 1)), F.sum(F.when(~F.col(accepted), F.length(url) + 1))).first()
     smooth = lambda n, of, below: (n + PRIOR * below) / (of + PRIOR)
@@ -104,7 +104,13 @@ def _loss() -> Column:
 
 def ratio(rows: DataFrame, model: DataFrame, url: str, keys: Sequence[str]) -> DataFrame:
     """``keys`` and ``ratio``: log-likelihood as accepted less that as rejected, over the length in characters."""
-    found = _substrings(rows, F.col(url), keys).join(F.broadcast(model), "s")
+    found = _substrings(rows, F.col(url), keys)
+    chars = rows.agg(F.sum(F.length(url) + 1)).first()[0] or 0
+    frequent = found.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= math.ceil(chars / MOST_STRINGS)).select("s")
+    head = F.broadcast(materialise(frequent.join(model, "s", "left")))
+    # a frequent substring without a gain is not in the model, and isn't looked up again
+    rest = found.join(head.select("s"), "s", "left_anti").join(model, "s")
+    found = found.join(head.filter("gain IS NOT NULL"), "s").unionByName(rest)
     worth = F.sum(F.col("gain") + F.when(F.col("context"), F.col("loss")).otherwise(0.0))
     return found.groupBy(*keys).agg(worth.alias("_sum"))
 

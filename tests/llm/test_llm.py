@@ -343,6 +343,21 @@ def test_url_ratio_against_brute_force(spark):
         assert r["_sum"] == pytest.approx(want, abs=1e-6)
 
 
+def test_url_model_keeps_its_strings_however_large_the_table(spark, monkeypatch):
+    rnd = random.Random(6)
+    urls = [(f"http://{rnd.choice(['good', 'fine'])}.site/" + "".join(rnd.choices("abc", k=6)), True) for _ in range(60)]
+    urls += [(f"http://bad.place/{rnd.choice(['x', 'y'])}/" + "".join(rnd.choices("xyz", k=6)), False) for _ in range(60)]
+    labelled = spark.createDataFrame(urls, "url string, accepted boolean")
+    results = []
+    for most in (url_filter.MOST_STRINGS, 40):
+        monkeypatch.setattr(url_filter, "MOST_STRINGS", most)
+        model = url_filter.learn(labelled)
+        counts = Counter(w[i : i + n] for u, _ in urls for w in [u + url_filter.END] for i in range(len(w)) for n in range(1, url_filter.ORDER + 2) if i + n <= len(w))
+        assert {r["s"] for r in model.collect()} == {s for s, n in counts.items() if n >= url_filter.LEAST}
+        results.append({r["url"]: r["_sum"] for r in url_filter.ratio(labelled.select("url").distinct(), model, "url", ["url"]).collect()})
+    assert results[0] == pytest.approx(results[1])
+
+
 def test_url_method_separates_held_back_urls(spark, sf_dir):
     rows = url_filter.op2_url_filter(spark, sf_dir).collect()
     assert len(rows) == table(spark, sf_dir, "pages").count()
