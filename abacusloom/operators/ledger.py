@@ -1,14 +1,15 @@
 """Ledger operators: stock valuation, postings, allocation, schedules, tests and rates over tables keyed by entity.
 
 Amounts stay doubles until the last column, which is rounded to ``PLACES``. Running totals are windows within one item,
-account or case; nothing is gathered across keys, and only the moving average folds an array, of one item's movements.
+account or case; nothing is gathered across keys, and the moving average folds one item's movements as they pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,16 +53,39 @@ def closing_stock(lots: DataFrame, issues: DataFrame, method: str = "fifo") -> D
 
 def moving_average(moves: DataFrame) -> DataFrame:
     """Units and value per item when each issue leaves at the average cost of that moment: an ordered fold of one item's
-    movements. ``moves`` has item_id, ts, seq, units (issues below zero), rate."""
-    ordered = moves.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "units", "rate"))).alias("m"))
-    start = F.struct(F.lit(0.0).alias("units"), F.lit(0.0).alias("value"))
-
-    def step(s: Column, m: Column) -> Column:
-        average = F.when(s["units"] > 0, s["value"] / s["units"]).otherwise(0.0)
-        return F.struct((s["units"] + m["units"]).alias("units"), (s["value"] + m["units"] * F.when(m["units"] > 0, m["rate"]).otherwise(average)).alias("value"))
-
-    done = ordered.withColumn("end", F.aggregate("m", start, step))
-    return done.select("item_id", F.round("end.units", 4).alias("units"), money(F.col("end.value")).alias("value"))
+    movements, which pass by in order and leave only the state. ``moves`` has item_id, ts, seq, units (issues below zero), rate."""
+    double = lambda c: F.col(c).cast("double").alias(c)
+    ordered = moves.select("item_id", "ts", "seq", double("units"), double("rate")).repartition("item_id").sortWithinPartitions("item_id", "ts", "seq", "units", "rate")
+    kind = moves.schema["item_id"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, units, value, begun, arrow = None, 0.0, 0.0, False, None
+        for batch in batches:
+            arrow, done = batch.schema.field(0).type, []
+            for key, moved, rate in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not begun or key != item:
+                    if begun:
+                        done.append((item, units, value))
+                    item, units, value, begun = key, 0.0, 0.0, True
+                if moved is None or units is None:
+                    units = value = None
+                    continue
+                if moved <= 0:
+                    rate = value / units if units > 0 and value is not None else None if units > 0 else 0.0
+                value = None if value is None or rate is None else value + moved * rate
+                units += moved
+            if done:
+                yield _states(done, arrow)
+        if begun:
+            yield _states([(item, units, value)], arrow)
+
+    end = ordered.select("item_id", "units", "rate").mapInArrow(fold, f"item_id {kind}, units double, value double")
+    return end.select("item_id", F.round("units", 4).alias("units"), money(F.col("value")).alias("value"))
+
+
+def _states(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key, pa.float64(), pa.float64()), strict=True)], ["item_id", "units", "value"])
 
 
 def lower_of_cost_and_nrv(lines: DataFrame, key: str) -> DataFrame:

@@ -211,3 +211,15 @@ def test_plan_covers_every_day(spark):
     days = plan.day_kinds(plan.runway(requests)).collect()
     assert {r["plan_id"] for r in days} == {1} and len(days) == 118 and all(r["kind"] for r in days)
     assert [r["kind"] for r in days if r["date"] == dt.date(2026, 5, 2)] == ["eve"]
+
+
+def test_moving_average_gathers_no_array(spark):
+    rows = [(k, t, 0, float(5 if t % 3 else -2), 1.0 + t % 7) for k in (1, None) for t in range(3_000)]
+    done = ledger.moving_average(spark.createDataFrame(rows, "item_id long, ts long, seq long, units double, rate double"))
+    assert "collect_list" not in done._jdf.queryExecution().optimizedPlan().toString()
+    units = value = 0.0
+    for _, _, _, u, rate in rows[:3_000]:
+        average = value / units if units > 0 else 0.0
+        units, value = units + u, value + u * (rate if u > 0 else average)
+    got = {r["item_id"]: (r["units"], r["value"]) for r in done.collect()}
+    assert got.keys() == {1, None} and all(v == (round(units, 4), pytest.approx(value, abs=1e-4)) for v in got.values())
