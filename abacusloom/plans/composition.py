@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import compose as op
-from ..operators import plan, quality, state
+from ..operators import quality, state
 from ..sources import adapters as a
 from ..sources.adapters import REVIEW, table
 
@@ -110,78 +109,6 @@ def venn_regions(spark, sf_dir):
     return op.venn(table(spark, sf_dir, "events"), "user_id", "event_type", ["click", "view", "purchase"])
 
 
-REQUEST = """req AS (SELECT c_custkey AS plan_id, DATE '2026-01-05' + CAST(c_custkey % 40 AS INTEGER) AS start_date, DATE '2026-05-03' + CAST(c_custkey % 11 AS INTEGER) AS exam_date, c_custkey % 70 AS hours, DATE '2026-02-01' + CAST(c_custkey % 60 AS INTEGER) AS cutoff FROM customer)"""
-
-
-def _requests(spark, sf_dir):
-    k = F.col("c_custkey")
-    on = lambda day, n: F.date_add(F.lit(day).cast("date"), (k % n).cast("int"))
-    return table(spark, sf_dir, "customer").select(k.alias("plan_id"), on("2026-01-05", 40).alias("start_date"), on("2026-05-03", 11).alias("exam_date"), (k % 70).alias("hours"), on("2026-02-01", 60).alias("cutoff"))
-
-
-DAYS = f"""{REQUEST}, d0 AS (SELECT plan_id, start_date, exam_date, unnest(range(0, date_diff('day', start_date, exam_date))) AS seq FROM req),
-d1 AS (SELECT plan_id, start_date + CAST(seq AS INTEGER) AS date, exam_date, CAST(seq AS INTEGER) AS seq, CAST(isodow(start_date + CAST(seq AS INTEGER)) - 1 AS INTEGER) AS weekday, count(*) OVER (PARTITION BY plan_id) AS n FROM d0),
-d2 AS (SELECT *, date = exam_date - 1 AS eve, (weekday = 5 OR (weekday = 2 AND (seq // 7) % 3 = 2)) AND date <> exam_date - 1 AS buf FROM d1),
-d3 AS (SELECT *, NOT buf AND NOT eve AND weekday = 6 AND seq * 3 >= n * 2 AS mock, NOT buf AND NOT eve AS work FROM d2),
-d4 AS (SELECT *, count(*) FILTER (WHERE work) OVER (PARTITION BY plan_id) AS works, lag(mock, 1, false) OVER (PARTITION BY plan_id ORDER BY date) AS after_mock, CAST(sum(CASE WHEN work THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id ORDER BY date) AS DOUBLE) AS done FROM d3),
-days AS (SELECT plan_id, date, weekday, seq, CASE WHEN eve THEN 'eve' WHEN buf THEN 'buffer' WHEN mock THEN 'mock' WHEN after_mock AND work AND works >= 30 THEN 'light' WHEN done / works <= 0.5 THEN 'cycle 1' WHEN done / works <= 0.8 THEN 'cycle 2' ELSE 'cycle 3' END AS kind FROM d4)"""
-
-
-def _days(spark, sf_dir):
-    return plan.day_kinds(plan.runway(_requests(spark, sf_dir)))
-
-
-@query(f"WITH {DAYS} SELECT * FROM days")
-def plan_days(spark, sf_dir):
-    return _days(spark, sf_dir).select("plan_id", "date", "weekday", "seq", "kind")
-
-
-@query(f"""WITH {DAYS} SELECT plan_id, count(*) AS runway, count(*) FILTER (WHERE kind NOT IN ('buffer', 'eve')) AS work, CAST(floor(100.0 * count(*) FILTER (WHERE kind = 'buffer') / count(*) + 0.5) AS BIGINT) AS buffer_pct,
-  count(*) FILTER (WHERE kind = 'mock') AS mocks, count(*) FILTER (WHERE kind = 'light') AS light FROM days GROUP BY 1""")
-def plan_summary(spark, sf_dir):
-    return plan.summary(_days(spark, sf_dir))
-
-
-@query(f"WITH {DAYS} SELECT plan_id, kind, min(date) AS first, max(date) AS last, count(*) AS days FROM days GROUP BY 1, 2")
-def phase_spans(spark, sf_dir):
-    return plan.spans(_days(spark, sf_dir))
-
-
-@query(f"""WITH {REQUEST} SELECT plan_id, NOT hours BETWEEN 8 AND 60 AS odd_hours, date_diff('day', DATE '2026-03-01', cutoff) < 0 AS cutoff_passed, date_diff('day', DATE '2026-03-01', cutoff) BETWEEN 0 AND 30 AS cutoff_near, date_diff('day', start_date, exam_date) < 21 AS short_runway FROM req""")
-def plan_warnings(spark, sf_dir):
-    return plan.warnings(_requests(spark, sf_dir), "2026-03-01")
-
-
-def _items(spark, sf_dir, status):
-    w = Window.partitionBy("k").orderBy("o_orderkey")
-    rows = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("k"), "o_orderkey")
-    return rows.select("k", F.col("o_orderkey").alias("item"), (F.row_number().over(w) - 1).alias("ord"))
-
-
-_ITEMS = "SELECT o_custkey AS k, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ord, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderstatus = '{}'"
-
-
-@query(f"""WITH u AS (SELECT k, item, ord, 0 AS stream, CAST(ord AS DOUBLE) / n AS p FROM ({_ITEMS.format('O')}) a UNION ALL SELECT k, item, ord, 1, CAST(ord AS DOUBLE) / n FROM ({_ITEMS.format('F')}) b)
-SELECT k, item, stream, row_number() OVER (PARTITION BY k ORDER BY p, stream, ord) AS place FROM u""")
-def merged_streams(spark, sf_dir):
-    return plan.merge_streams(_items(spark, sf_dir, "O"), _items(spark, sf_dir, "F"), "k").select("k", "item", "stream", "place")
-
-
-@query(f"""WITH i AS ({_ITEMS.format('O')}), c AS (SELECT k, unnest(range(0, 12)) AS day FROM (SELECT DISTINCT k FROM i) q), j AS (SELECT c.k, c.day, item, ord FROM c LEFT JOIN i ON i.k = c.k AND (((ord + 1) * 12 - 1) // n) = c.day)
-SELECT k, CAST(day AS BIGINT) AS day, last_value(item IGNORE NULLS) OVER (PARTITION BY k ORDER BY day, ord NULLS FIRST ROWS UNBOUNDED PRECEDING) AS item FROM j""")
-def dealt_days(spark, sf_dir):
-    return plan.deal(_items(spark, sf_dir, "O"), 12, "k").select("k", "day", "item")
-
-
-@query("""WITH d AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS date FROM orders), p AS (SELECT c_custkey AS k, DATE '1995-01-01' + CAST(c_custkey % 900 AS INTEGER) AS pd, 'P' || CAST(c_custkey % 4 AS VARCHAR) AS paper FROM customer)
-SELECT d.k, d.date, CASE WHEN pd >= date THEN paper END AS paper, CASE WHEN pd >= date THEN pd END AS paper_date FROM d LEFT JOIN p ON p.k = d.k""")
-def next_paper(spark, sf_dir):
-    dates = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("date"))
-    k = F.col("c_custkey")
-    papers = table(spark, sf_dir, "customer").select(k.alias("k"), F.date_add(F.lit("1995-01-01").cast("date"), (k % 900).cast("int")).alias("date"), F.concat(F.lit("P"), (k % 4).cast("string")).alias("paper"))
-    return plan.next_on_or_after(dates, papers, "k")
-
-
 _EASE = "CASE rating WHEN 'again' THEN greatest(1.3, ease - 0.2) WHEN 'hard' THEN greatest(1.3, ease - 0.15) WHEN 'easy' THEN ease + 0.15 ELSE ease END"
 
 
