@@ -64,9 +64,23 @@ def frontmatter(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
 
 
+def front_value(front: Column, name: str) -> Column:
+    """Value of a flat key of the front matter, without quotes; null where it is missing or empty. Blanks may stand before the colon."""
+    found = F.trim(F.regexp_extract(front, rf"(?m)^{name}[ \t]*:[ \t]*(.+)$", 1))
+    return F.nullif(F.regexp_replace(found, "^['\"]|['\"]$", ""), F.lit(""))
+
+
 def has_value(front: Column, name: str) -> Column:
-    """Whether a key of the front matter has a value on its line or as a block list below it."""
-    return front.rlike(rf"(?m)^{name}:[ \t]*[^\s\[\]]") | front.rlike(rf"(?m)^{name}:[ \t]*\[[^\]\s]") | front.rlike(rf"(?m)^{name}:[ \t]*\r?\n[ \t]*-[ \t]*\S")
+    """Whether a key of the front matter has a value on its line or indented below it."""
+    return front.rlike(rf"(?m)^{name}[ \t]*:[ \t]*\S") | front.rlike(rf"(?m)^{name}[ \t]*:[ \t]*\r?\n(?:[ \t]*\r?\n)*[ \t]+\S")
+
+
+def plain_text(text: Column) -> Column:
+    """Without tags and without the marks of emphasis and code around what they mark; a lone mark or an underscore stays."""
+    text = F.regexp_replace(text, "<[^>]+>", "")
+    for mark in (r"\*\*([^*]+)\*\*", r"\*([^*]+)\*", r"`([^`]+)`"):
+        text = F.regexp_replace(text, mark, "$1")
+    return F.trim(text)
 
 
 def section(text: Column, heading: str, looser: str) -> Column:
@@ -77,6 +91,27 @@ def section(text: Column, heading: str, looser: str) -> Column:
 
 
 def table_rows(text: Column) -> Column:
-    """Cells of the pipe-table lines of a text, the alignment row left out."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x).startswith("|") & ~x.rlike(r"^\s*\|[\s:|-]+\|\s*$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
+    """Cells of the pipe-table lines of a text. A line is one if it begins with a pipe; the last pipe may be missing. Rows whose cells are all dashes and colons only
+    set the alignment and are left out."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|"))
+    cells = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.substring(x, 2, 1 << 30), r"\|$", ""), r"\|"), lambda c: F.trim(c)))
+    return F.filter(cells, lambda row: F.exists(row, lambda c: ~c.rlike("^:?-+:?$")))
+
+
+def paper_number(text: Column) -> Column:
+    """Number after ``Paper`` in a display text, 0 without one."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)Paper\s*(\d)", 1), F.lit("")).cast("int"), F.lit(0))
+
+
+def chapter_number(text: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)Ch\s*(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
+
+
+def paper_of_question(question: Column) -> Column:
+    """Paper that a question's id carries (``q-f1c4-001``, ``cs-f2c2-01``); null without one."""
+    return F.nullif(F.regexp_extract(question, r"(?:^|-)f(\d+)c\d+", 1), F.lit("")).cast("int")
+
+
+def minutes_for(marks: Column) -> Column:
+    """Time budget of 1.8 minutes a mark, in whole minutes."""
+    return half_up_whole(marks * 1.8)

@@ -3,22 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bill_due
 from .ledger import money
 
+HOLIDAY_RUN = 14  # days within which a business day lies
+
+
+def open_day(date: Column, holidays: Sequence[tuple[int, int]], forward: bool = False) -> Column:
+    """The date itself if it is a business day, else the last one before it, or the next one. Sundays and the ``holidays`` (month, day) are closed; each
+    row looks at its own days around, so no calendar is sorted or joined."""
+    days = F.transform(F.sequence(F.lit(0), F.lit(HOLIDAY_RUN)), lambda i: F.date_add(date, i if forward else -i))
+    closed = lambda d: (F.weekday(d) == 6) | reduce(or_, [(F.month(d) == m) & (F.dayofmonth(d) == n) for m, n in holidays], F.lit(False))
+    return F.get(F.filter(days, lambda d: ~closed(d)), F.lit(0))
+
 
 def business_calendar(days: DataFrame, holidays: Sequence[tuple[int, int]]) -> DataFrame:
-    """Each ``date`` with the business day on or before it and the one on or after it; Sundays and the holidays (month, day) are none."""
-    off = F.weekday("date") == 6
-    for month, day in holidays:
-        off = off | ((F.month("date") == month) & (F.dayofmonth("date") == day))
-    rows = days.withColumns({"_open": F.when(~off, F.col("date")), "_month": F.trunc("date", "year")})
-    order = Window.partitionBy("_month").orderBy("date")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    return rows.select("date", F.last("_open", ignorenulls=True).over(back).alias("previous_open"), F.first("_open", ignorenulls=True).over(ahead).alias("next_open"))
+    """``date`` with the business day on or before it and the one on or after it."""
+    return days.withColumns({"previous_open": open_day(F.col("date"), holidays), "next_open": open_day(F.col("date"), holidays, forward=True)})
+
+
+def settle_bills(bills: DataFrame, holidays: Sequence[tuple[int, int]]) -> DataFrame:
+    """When bills fall due: ``start`` with its months and days, grace of three days unless payable on demand, and then the last business day up to that; where an emergency
+    closes that very day (``emergency``) the next business day after it."""
+    rows = bills.withColumn("matures", bill_due(F.col("start"), F.col("months"), F.col("days"), F.col("on_demand")))
+    hit = F.coalesce(F.col("emergency") == F.col("matures"), F.lit(False))
+    return rows.withColumn("due", F.when(hit, open_day(F.date_add("matures", 1), holidays, forward=True)).otherwise(open_day(F.col("matures"), holidays)))
 
 
 def weighted_rate(rows: DataFrame, key: str, amount: str, rate: str) -> DataFrame:

@@ -65,13 +65,13 @@ def stratified_draw(pool: DataFrame, targets: DataFrame, paper: str, group: str,
 def weighted_set(units: DataFrame, key: str, chapter: str, unit: str, size: int, seed: str) -> DataFrame:
     """A mixed set per key: one unit of each chapter first, then by weight (Efraimidis and Spirakis' keys), whole units that still fit.
 
-    ``units`` has ``questions`` (its size) and ``weight``. The draw looks at 50 candidates for each question of the set. Units come in the order of their draw; consecutive ones from different
+    ``units`` has ``questions`` (its size) and ``weight``.  Units come in the order of their draw; consecutive ones from different
     chapters while chapters last, as each chapter gives one unit a round."""
     rows = units.withColumn("_draw", -F.log(chance(seed, key, unit)) / F.col("weight"))
     rows = rows.withColumn("_round", F.row_number().over(Window.partitionBy(key, chapter).orderBy("_draw", unit)))
     first = F.when(F.col("_round") == 1, 0).otherwise(1)
-    best = rows.withColumn("_first", first).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_first", "_draw", unit))).filter(F.col("_n") <= 50 * size)
-    taken = greedy_fit(best, key, "_n", "questions", F.lit(size), [chapter, unit, "questions", "_round"])
+    turns = rows.withColumn("_place", F.struct(first.alias("first"), F.col("_draw").alias("draw"), F.col(unit).alias("unit")))
+    taken = greedy_fit(turns, key, "_place", "questions", F.lit(size), [chapter, unit, "questions", "_round"])
     pile = F.count("*").over(Window.partitionBy(key, chapter))
     turn = F.row_number().over(Window.partitionBy(key, chapter).orderBy("_round"))
     taken = taken.withColumns({"_pile": pile, "_turn": turn})
@@ -79,7 +79,10 @@ def weighted_set(units: DataFrame, key: str, chapter: str, unit: str, size: int,
 
 
 def greedy_fit(rows: DataFrame, key: str, order: str, size: str, room: Column, keep: Sequence[str]) -> DataFrame:
-    """Rows of each key taken in order if they fit into what is left of the room: a fold over one key's candidates."""
+    """Rows of each key taken in order if they fit into what is left of the room: a fold over one key's candidates. Of rows of one size no more than the room holds can
+    be taken, and they are the first ones, so the others are left out before anything is gathered; sizes must not be 0 or less."""
+    like = Window.partitionBy(key, size).orderBy(order)
+    rows = rows.withColumn("_like", F.row_number().over(like)).filter(F.col("_like") <= F.floor(room / F.col(size))).drop("_like")
     listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, size, *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))))).alias("c"))
     item = "struct<" + ",".join(f"k{i}:{dict(rows.dtypes)[c]}" for i, c in enumerate(keep)) + ">"
     start = F.struct(F.lit(0).cast("double").alias("used"), F.array().cast(f"array<{item}>").alias("taken"))

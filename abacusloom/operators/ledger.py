@@ -323,7 +323,9 @@ def translate(lines: DataFrame, rates: DataFrame, key: str) -> DataFrame:
 
 def buyback_limit(companies: DataFrame) -> DataFrame:
     """Shares that may be bought back: the least of a quarter of the shares, of what a quarter of the funds pays, and of what
-    leaves twice the own funds to the debt. ``companies`` has shares, price, funds, debt, face."""
+    leaves twice the own funds to the debt. ``companies`` has shares, price, funds, debt, face, fresh_issue; ``reserve`` is the nominal value bought
+    back beyond a fresh issue, ``board_amount`` what the board may spend alone."""
     by_shares, by_funds = F.floor(F.col("shares") * 0.25), F.floor(F.col("funds") * 0.25 / F.col("price"))
-    by_debt = F.floor(F.greatest(F.lit(0.0), F.col("funds") - F.col("debt") / 2) / (F.col("price") + F.col("face")))
-    return companies.select("company_id", by_shares.alias("by_shares"), by_funds.alias("by_funds"), by_debt.alias("by_debt"), F.least(by_shares, by_funds, by_debt).alias("limit"))
+    by_debt = F.floor(F.greatest(F.lit(0.0), F.col("funds") - F.col("debt") / 2) / F.col("price"))
+    rows = companies.withColumns({"by_shares": by_shares, "by_funds": by_funds, "by_debt": by_debt}).withColumn("limit", F.least("by_shares", "by_funds", "by_debt"))
+    return rows.select("company_id", "by_shares", "by_funds", "by_debt", "limit", money(F.greatest(F.lit(0.0), F.col("limit") * F.col("face") - F.col("fresh_issue"))).alias("reserve"), money(F.col("funds") * 0.1).alias("board_amount"))

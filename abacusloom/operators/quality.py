@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import frontmatter, has_value, plain_text
+
 
 def flatten(banks: DataFrame) -> DataFrame:
     """Questions of nested banks, case sets taken apart: a case's questions take over its topic and tags, and know their case, place and
@@ -53,11 +55,15 @@ def first_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.regexp_replace(text, "[,₹$%]", ""), r"-?\d+(\.\d+)?", 0), F.lit("")).cast("double")
 
 
-def verify(questions: DataFrame, computed: DataFrame) -> DataFrame:
-    """Status of each numerical question: ok, mismatch, error, or no verifier. ``computed`` has id, answer, error."""
+def verify(questions: DataFrame, computed: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """Status of each numerical question: ok, mismatch, error, no verifier, or no module where its bank has none at all. ``computed`` has id, answer, error;
+    ``modules`` lists the ``path`` of banks that have verifiers."""
     rows = questions.filter("numerical").join(computed.select("id", "answer", "error", F.lit(True).alias("_has")), "id", "left")
     status = F.when(F.col("_has").isNull(), "no verifier").when(F.col("error").isNotNull(), "error").when(F.upper(F.trim("answer")) == F.upper(F.trim("correct")), "ok").otherwise("mismatch")
-    return rows.withColumn("status", status).drop("_has")
+    if modules is not None:
+        rows = rows.join(modules.select("path", F.lit(True).alias("_module")).distinct(), "path", "left")
+        status = F.when(F.col("_module").isNull(), "no module").otherwise(status)
+    return rows.withColumn("status", status).drop("_has", "_module")
 
 
 def gate(rows: DataFrame, good: str) -> DataFrame:
@@ -77,9 +83,35 @@ def vacuous(expected: DataFrame, checked: DataFrame, content: DataFrame, key: st
 
 
 def headings(notes: DataFrame, key: str, text: str) -> DataFrame:
-    """Second-level headings of each note in order, inline marks stripped."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?m)^##[ \t]+(.+?)[ \t]*$"), F.lit(1))
-    return notes.select(key, F.posexplode(found).alias("at", "heading")).withColumn("heading", F.regexp_replace("heading", r"[*_`]", ""))
+    """Second-level headings of each note in order, inline marks stripped. Deeper headings after a second pair of marks are none."""
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?m)^##[ \t]+(.+?)[ \t\r]*$"), F.lit(1))
+    return notes.select(key, F.posexplode(F.filter(found, lambda h: ~h.startswith("#"))).alias("at", "heading")).withColumn("heading", plain_text(F.col("heading")))
+
+
+def note_violations(notes: DataFrame, keys: tuple[str, ...] = ("applicable_attempts", "law_as_on_date"), free: tuple[str, ...] = ("index", "amendments", "weightage")) -> DataFrame:
+    """Notes of volatile papers that lack a tag in their front matter, a row per missing one, and pages that should be notes (``not a note``). ``notes`` has path, text."""
+    stem, kind = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1), F.regexp_extract("path", r"\.([^./]+)$", 1)
+    front = frontmatter(F.coalesce("text", F.lit("")))
+    missing = F.array(*(F.when((kind == "mdx") & ~has_value(front, k), k) for k in keys), F.when((kind == "astro") & ~stem.isin(*free), "not a note"))
+    return notes.select("path", F.explode(F.filter(missing, lambda m: m.isNotNull())).alias("missing"))
+
+
+#: What a date that is stamped looks like, by kind of file, and the names that must not be there without one.
+STAMPS = {"js": (r"(lastChecked:\s*')[^']*(')", r"(LAST_CHECKED\s*=\s*')[^']*(')"), "json": (r'("lastChecked":\s*")[^"]*(")',), "yaml": (r"(last_checked:\s*)[^\s#]+()",)}
+MENTIONS = "lastChecked|last_checked|LAST_CHECKED"
+
+
+def stamp_dates(files: DataFrame, date: str, green: Column | None = None) -> DataFrame:
+    """Files with their checked dates set to ``date`` (ISO): ``stamped`` text, number of ``dates`` and ``drift`` where dates are mentioned in no known form. Nothing is
+    stamped unless the sweep is ``green``; question banks are left out. ``files`` has path, text."""
+    day = F.lit(date).cast("date")
+    human, iso, text, hits = F.date_format(day, "d MMM yyyy"), F.date_format(day, "yyyy-MM-dd"), F.col("text"), F.lit(0)
+    for kind, patterns in STAMPS.items():
+        for p in patterns:
+            hits = hits + F.regexp_count("text", F.lit(p))
+            text = F.regexp_replace(text, F.lit(p), F.concat(F.lit("$1"), iso if kind == "yaml" else human, F.lit("$2")))
+    rows = files.filter(~F.col("path").contains("/questions/")).withColumns({"dates": hits, "drift": (hits == 0) & F.col("text").rlike(MENTIONS)})
+    return rows.withColumn("stamped", F.when(green if green is not None else F.lit(True), text).otherwise(F.col("text")))
 
 
 def not_exactly_one(members: DataFrame, member: str, group: str) -> DataFrame:

@@ -62,10 +62,16 @@ def shift_base(series: DataFrame, key: Sequence[str], period: str, base: int | s
 
 
 def splice(old: DataFrame, new: DataFrame, key: Sequence[str], period: str, overlap: int | str) -> DataFrame:
-    """One series: the new one as it is, the old one scaled so that both agree in the overlap period."""
+    """One series on the old base: the old one up to the overlap period, the new one after it, scaled so that both agree there."""
     link = old.filter(F.col(period) == overlap).select(*key, F.col("index").alias("_old")).join(new.filter(F.col(period) == overlap).select(*key, F.col("index").alias("_new")), [*key])
-    early = old.filter(F.col(period) < overlap).join(link, [*key]).select(*key, period, r(F.col("index") * F.col("_new") / F.col("_old")).alias("index"))
-    return early.unionByName(new.select(*key, period, r(F.col("index")).alias("index")))
+    late = new.filter(F.col(period) > overlap).join(link, [*key]).select(*key, period, r(F.col("index") * F.col("_old") / F.col("_new")).alias("index"))
+    return old.filter(F.col(period) <= overlap).select(*key, period, r(F.col("index")).alias("index")).unionByName(late)
+
+
+def deflate(values: DataFrame, index: DataFrame, period: str, value: str) -> DataFrame:
+    """Money values at base prices, by the cost index of their period, and what a unit of money then buys. The index is one row a period."""
+    rows = values.join(F.broadcast(index.select(period, "index")), period)
+    return rows.withColumns({"real": r(100 * F.col(value) / F.col("index")), "purchasing_power": r(100 / F.col("index"), 6)}).drop("index")
 
 
 # correlation

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bill_due
 from ..operators import accounts as op
 from ..operators import learner
 from ..sources.adapters import table
@@ -22,11 +23,28 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), s AS (SELECT date, year(date) AS y, CASE WHEN isodow(date) <> 7 AND NOT (month(date) = 1 AND day(date) = 26) AND NOT (month(date) = 8 AND day(date) = 15) THEN date END AS o FROM d)
-SELECT date, max(o) OVER (PARTITION BY y ORDER BY date) AS previous_open, min(o) OVER (PARTITION BY y ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_open FROM s""")
+HOLIDAYS = ((1, 26), (8, 15))
+# days are closed or open in a calendar of all of them; what is asked for is looked up in it
+CALENDAR = """cal AS (SELECT DATE '1994-12-01' + CAST(unnest(range(0, 4000)) AS INTEGER) AS d), opened AS (SELECT d FROM cal WHERE isodow(d) <> 7 AND NOT (month(d) = 1 AND day(d) = 26) AND NOT (month(d) = 8 AND day(d) = 15))"""
+
+
+@query(f"""WITH {CALENDAR}, d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), p AS (SELECT date, opened.d AS previous_open FROM d ASOF LEFT JOIN opened ON d.date >= opened.d)
+SELECT date, previous_open, opened.d AS next_open FROM p ASOF LEFT JOIN opened ON p.date <= opened.d""")
 def business_calendar(spark, sf_dir):
     days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
-    return op.business_calendar(days, ((1, 26), (8, 15)))
+    return op.business_calendar(days, HOLIDAYS)
+
+
+@query(f"""WITH {CALENDAR}, b AS (SELECT o_orderkey AS bill_id, CAST(o_orderdate AS DATE) AS start, o_orderkey % 5 AS months, CASE WHEN o_orderkey % 5 = 0 THEN 60 ELSE 0 END AS days, o_orderkey % 11 = 0 AS on_demand FROM orders),
+m AS (SELECT *, CAST(start + to_months(CAST(months AS INTEGER)) AS DATE) + days + CASE WHEN on_demand THEN 0 ELSE 3 END AS matures FROM b), e AS (SELECT *, bill_id % 50 = 7 AS hit FROM m),
+p AS (SELECT e.*, opened.d AS back FROM e ASOF LEFT JOIN opened ON e.matures >= opened.d), n AS (SELECT p.*, opened.d AS ahead FROM p ASOF LEFT JOIN opened ON p.matures < opened.d)
+SELECT bill_id, matures, CASE WHEN hit THEN ahead ELSE back END AS due FROM n""")
+def bills_due(spark, sf_dir):
+    k = F.col("o_orderkey")
+    bills = table(spark, sf_dir, "orders").select(k.alias("bill_id"), F.to_date("o_orderdate").alias("start"), (k % 5).cast("int").alias("months"), F.when(k % 5 == 0, 60).otherwise(0).alias("days"), (k % 11 == 0).alias("on_demand"))
+    closed = bill_due(F.col("start"), F.col("months"), F.col("days"), F.col("on_demand"))
+    bills = bills.withColumn("emergency", F.when(F.col("bill_id") % 50 == 7, closed))  # closes some bills' very day
+    return op.settle_bills(bills, HOLIDAYS).select("bill_id", "matures", "due")
 
 
 @query("WITH b AS (SELECT o_custkey AS company, o_totalprice AS amount, 6.37 + o_orderkey % 7 AS rate FROM orders) SELECT company, round(sum(amount * CAST(rate AS DOUBLE)) / sum(amount) + 1e-8, 4) AS rate, round(sum(amount * CAST(rate AS DOUBLE)) / 100, 5) AS cost FROM b GROUP BY 1")

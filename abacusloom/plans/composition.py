@@ -131,12 +131,6 @@ def blind_gate(spark, sf_dir):
     return quality.consistency_gate(quality.compare_answers(labels, fresh, "doc_id", "k", "fresh"))
 
 
-@query(r"""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^##[ \t]+(.+?)[ \t]*$', 1)) AS heading, unnest(range(0, len(regexp_extract_all(text, '(?m)^##[ \t]+(.+?)[ \t]*$', 1)))) AS at0 FROM documents)
-SELECT doc_id, CAST(at0 AS INTEGER) AS "at", regexp_replace(heading, '[*_`]', '', 'g') AS heading FROM h""")
-def headings(spark, sf_dir):
-    return quality.headings(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 @query("SELECT l_partkey AS item, count(DISTINCT l_suppkey) AS groups FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) <> 1")
 def not_exactly_one(spark, sf_dir):
     return quality.not_exactly_one(table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "item"), "item", "l_suppkey")

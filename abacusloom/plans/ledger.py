@@ -324,9 +324,10 @@ def fx_translation(spark, sf_dir):
     return op.translate(lines, rates, "branch")
 
 
-@query("""WITH c AS (SELECT c_custkey AS company_id, 10000 + c_custkey % 100 * 100 AS shares, 10.0 + c_custkey % 30 AS price, abs(c_acctbal) * 50 AS funds, abs(c_acctbal) * (c_custkey % 120) AS debt FROM customer),
-l AS (SELECT company_id, CAST(floor(shares * 0.25) AS BIGINT) AS by_shares, CAST(floor(funds * 0.25 / price) AS BIGINT) AS by_funds, CAST(floor(greatest(0, funds - debt / 2) / (price + 10)) AS BIGINT) AS by_debt FROM c) SELECT *, least(by_shares, by_funds, by_debt) AS "limit" FROM l""")
+@query("""WITH c AS (SELECT c_custkey AS company_id, 10000 + c_custkey % 100 * 100 AS shares, 10.0 + c_custkey % 30 AS price, abs(c_acctbal) * 50 AS funds, abs(c_acctbal) * (c_custkey % 120) AS debt, c_custkey % 5 * 1000 AS fresh FROM customer),
+l AS (SELECT *, CAST(floor(shares * 0.25) AS BIGINT) AS by_shares, CAST(floor(funds * 0.25 / price) AS BIGINT) AS by_funds, CAST(floor(greatest(0, funds - debt / 2) / price) AS BIGINT) AS by_debt FROM c)
+SELECT company_id, by_shares, by_funds, by_debt, least(by_shares, by_funds, by_debt) AS "limit", CAST(greatest(0, least(by_shares, by_funds, by_debt) * 10 - fresh) AS DOUBLE) AS reserve, round(funds * 0.1, 5) AS board_amount FROM l""")
 def buyback_limit(spark, sf_dir):
     k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(k.alias("company_id"), (10000 + k % 100 * 100).alias("shares"), (10.0 + k % 30).alias("price"), (F.abs("c_acctbal") * 50).alias("funds"), (F.abs("c_acctbal") * (k % 120)).alias("debt"), F.lit(10.0).alias("face"))
+    rows = table(spark, sf_dir, "customer").select(k.alias("company_id"), (10000 + k % 100 * 100).alias("shares"), (10.0 + k % 30).alias("price"), (F.abs("c_acctbal") * 50).alias("funds"), (F.abs("c_acctbal") * (k % 120)).alias("debt"), F.lit(10.0).alias("face"), (k % 5 * 1000).alias("fresh_issue"))
     return op.buyback_limit(rows)

@@ -35,7 +35,7 @@ def query(sql: str | None = None):
     return add
 
 
-BASKET = f"""{PRICE}, b AS (SELECT p_brand AS basket, o.item, o.p AS p0, o.q AS q0, n.p AS p1, n.q AS q1 FROM pq o JOIN pq n ON n.item = o.item AND o.year = 1994 AND n.year = 1997 JOIN part ON p_partkey = o.item),
+BASKET = f"""{PRICE}, b AS (SELECT p_brand AS basket, o.item, o.p AS p0, o.q AS q0, n.p AS p1, n.q AS q1 FROM pq o JOIN pq n ON n.item = o.item AND o.year = 1996 AND n.year = 1999 JOIN part ON p_partkey = o.item),
 s AS (SELECT basket, count(*) AS items, sum(p0 * q0) AS s00, sum(p0 * q1) AS s01, sum(p1 * q0) AS s10, sum(p1 * q1) AS s11, sum(p0) AS p0, sum(p1) AS p1, avg(p1 / p0) AS rel FROM b GROUP BY 1)"""
 
 
@@ -43,7 +43,7 @@ def _basket(spark, sf_dir):
     pq = a.price_qty(spark, sf_dir)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("basket"))
     of = lambda year, n: pq.filter(F.col("year") == year).select("item", F.col("p").alias(f"p{n}"), F.col("q").alias(f"q{n}"))
-    return of(1994, 0).join(of(1997, 1), "item").join(part, "item")
+    return of(1996, 0).join(of(1999, 1), "item").join(part, "item")
 
 
 @query(f"""WITH {BASKET} SELECT basket, items, round(100 * p1 / p0, 4) AS simple_aggregate, round(100 * rel, 4) AS mean_of_relatives, round(100 * s10 / s00, 4) AS laspeyres, round(100 * s11 / s01, 4) AS paasche,
@@ -73,16 +73,26 @@ def _series(spark, sf_dir):
     return rows.groupBy(F.col("p_brand").alias("brand"), F.year("l_shipdate").alias("year")).agg((F.sum("l_extendedprice") / F.sum("l_quantity") / 10).alias("index"))
 
 
-@query(f"WITH {SERIES}, b AS (SELECT brand, idx AS base FROM ser WHERE year = 1994) SELECT ser.brand, year, round(100 * idx / base, 4) AS shifted FROM ser LEFT JOIN b ON b.brand = ser.brand")
+@query(f"WITH {SERIES}, b AS (SELECT brand, idx AS base FROM ser WHERE year = 1996) SELECT ser.brand, year, round(100 * idx / base, 4) AS shifted FROM ser LEFT JOIN b ON b.brand = ser.brand")
 def shifted_series(spark, sf_dir):
-    return op.shift_base(_series(spark, sf_dir), ["brand"], "year", 1994).select("brand", "year", "shifted")
+    return op.shift_base(_series(spark, sf_dir), ["brand"], "year", 1996).select("brand", "year", "shifted")
 
 
-@query(f"""WITH {SERIES}, o AS (SELECT * FROM ser WHERE year <= 1995), n AS (SELECT brand, year, idx * 0.8 AS idx FROM ser WHERE year >= 1995), l AS (SELECT o.brand, n.idx / o.idx AS f FROM o JOIN n ON n.brand = o.brand AND n.year = 1995 AND o.year = 1995)
-SELECT o.brand, year, round(idx * f, 4) AS "index" FROM o JOIN l ON l.brand = o.brand WHERE year < 1995 UNION ALL SELECT brand, year, round(idx, 4) FROM n""")
+@query(f"""WITH {SERIES}, o AS (SELECT * FROM ser WHERE year <= 1998), n AS (SELECT brand, year, idx * 0.8 AS idx FROM ser WHERE year >= 1998), l AS (SELECT o.brand, o.idx / n.idx AS f FROM o JOIN n ON n.brand = o.brand AND n.year = 1998 AND o.year = 1998)
+SELECT brand, year, round(idx, 4) AS "index" FROM o UNION ALL SELECT n.brand, year, round(idx * f, 4) FROM n JOIN l ON l.brand = n.brand WHERE year > 1998""")
 def spliced_series(spark, sf_dir):
     s = _series(spark, sf_dir)
-    return op.splice(s.filter("year <= 1995"), s.filter("year >= 1995").withColumn("index", F.col("index") * 0.8), ["brand"], "year", 1995)
+    return op.splice(s.filter("year <= 1998"), s.filter("year >= 1998").withColumn("index", F.col("index") * 0.8), ["brand"], "year", 1998)
+
+
+@query("""WITH y AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_extendedprice) / sum(l_quantity) AS p FROM lineitem GROUP BY 1), i AS (SELECT year, round(100 * p / (SELECT p FROM y WHERE year = 1996), 4) AS idx FROM y),
+w AS (SELECT o_custkey AS customer, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS money FROM orders GROUP BY 1, 2)
+SELECT w.year, customer, money, round(100 * money / idx, 4) AS real, round(100 / idx, 6) AS purchasing_power FROM w JOIN i ON i.year = w.year""")
+def deflated_spending(spark, sf_dir):
+    prices = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("p"))
+    index = op.shift_base(prices.select(F.lit("all").alias("series"), "year", F.col("p").alias("index")), ["series"], "year", 1996).select("year", F.col("shifted").alias("index"))
+    money = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer"), F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("money"))
+    return op.deflate(money, index, "year", "money")
 
 
 @query(f"""WITH {XY}, s AS (SELECT series_id, count(*) AS n, covar_pop(x, y) AS cov, var_pop(x) AS vx, var_pop(y) AS vy, avg(x) AS mx, avg(y) AS my FROM xy GROUP BY 1),

@@ -16,10 +16,10 @@ STATE_KEYS = ("history", "mistakes", "mastery", "cards", "mocks")
 
 
 def read_banks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Banks below ``path`` that have questions, and a row for each file that can't be parsed."""
+    """Banks below ``path`` that have questions, and a row for each file that can't be parsed, be it in one field only. Files without questions are in neither."""
     files = spark.read.schema(BANK).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     files = files.withColumn("path", F.col("_metadata.file_path"))
-    return files.filter("_corrupt IS NULL AND questions IS NOT NULL").drop("_corrupt"), files.filter("_corrupt IS NOT NULL AND questions IS NULL").select("path", F.lit("unparseable").alias("status"))
+    return files.filter("_corrupt IS NULL AND questions IS NOT NULL").drop("_corrupt"), files.filter("_corrupt IS NOT NULL").select("path", F.lit("unparseable").alias("status"))
 
 
 def read_notes(spark: SparkSession, path: str, glob: str = "*.mdx") -> DataFrame:
