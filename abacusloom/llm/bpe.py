@@ -6,7 +6,8 @@ touches its two neighbours only, and so every distinct word is encoded once howe
 slices are batches of whole documents; a worker keeps the words it has met, up to a bound, and an evicted word
 is simply encoded again. No row is shuffled.
 
-Null and empty texts have no ids. Special tokens' strings are ordinary text. Texts of any length are encoded whole.
+Null and empty texts have no ids. Special tokens' strings are ordinary text. Texts of any length are encoded whole. Rows that occur twice are
+encoded twice alike; an empty table gives an empty result. Only the key and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, small_batches, table
 from .words import Key, WordCache, cut_words, slices, text_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+MOST_PAIRS = 200_000  # whose rank is kept, some 25 MB; of others it is looked up again
 
 
 @lru_cache(2)
@@ -45,7 +47,7 @@ class Replay:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
         self.cache = WordCache(self.learn, self.split)
 
     def rank(self, a: int, b: int) -> int:
@@ -53,7 +55,7 @@ class Replay:
         found = self.pairs.get(a << 20 | b)
         if found is None:
             found = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-            if len(self.pairs) < 2_000_000:
+            if len(self.pairs) < MOST_PAIRS:
                 self.pairs[a << 20 | b] = found
         return found
 
@@ -134,15 +136,15 @@ class Replay:
 
     def learn(self, words: list[Key], known: dict[Key, bytes]) -> None:
         """Encode new words, each cut by the pattern into pieces that merge on their own."""
-        new, several = cut_words(words, self.split, known)
+        parts = cut_words(words, self.split, known)
+        new = [*parts.plain, *parts.pieces]
         raw = [text_of(p).encode("utf-8", "replace") for p in new]
         to_merge = [b for b in raw if b not in self.ranks]
         ids = dict(zip(to_merge, self.replay(to_merge), strict=True))
         for p, b in zip(new, raw, strict=True):
             found = ids.get(b)
             known[p] = pack(f"<{len(found)}I", *found) if found is not None else pack("<I", self.ranks[b])
-        for w, parts in several:
-            known[w] = b"".join(map(known.__getitem__, parts))
+        parts.join(known)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -168,13 +170,16 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             for texts in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(replay.encode_all(texts), pa.binary())], [key, "ids"])
                 at += len(texts)
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded`` (binary) in place of its ids."""
     path, pattern = path or public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    small_batches(encoded.sparkSession)
 
     @F.pandas_udf("binary")
     def bytes_of(values: pd.Series) -> pd.Series:
@@ -202,9 +207,12 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(texts)
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids and what they decode to, by digests."""
     return round_trip(table(spark, sf_dir, "documents"))

@@ -13,11 +13,11 @@ are equal in both are packed each on its own. An empty table gives no sequence.
 from __future__ import annotations
 
 import gc
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack as pack_ids
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import give_back, materialise, small_batches, table
 from .words import Key, WordCache, cut_words, slices, text_of
 
 SEQUENCE = 2048
@@ -37,6 +37,7 @@ DIMENSIONS, BITS = 4, 10
 BUCKETS = 1 << 16  # of hashed tokens
 SEED = 4_096
 BLANK = re.compile(r"\s")
+LINES = 4_096  # pieces encoded as one text
 
 
 def _ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
@@ -48,48 +49,77 @@ def _ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
     return {bytes(byte[c] for c in t): i for t, i in vocabulary.items()}
 
 
-@lru_cache(2)
-def _encoder(path: str):
-    """A function from texts to ids' bytes that encodes each distinct piece of a word once, by the ranks of the tokenizer's file.
-
-    Many pieces are encoded as the lines of one text: the id of a line's end then parts them. Texts that hold the
-    tokenizer's special token go to the tokenizer itself."""
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    gc.set_threshold(100_000, 50, 100)  # the cache's many small objects never form cycles
-    tokenizer = Tokenizer.from_file(path)
-    split = regex.compile(public_tokenizers.PATTERN).findall
-    special = next((t.content for t in tokenizer.get_added_tokens_decoder().values()), None)
-    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-    vocabulary.pop(special, None)
-    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(vocabulary), special_tokens={})
-    ids_of = lambda texts: [np.array(plain.encode_ordinary(t), "<u4") for t in texts]
-    (line_end,) = ids_of(["\n"])[0]
-
-    def learn(words: list[Key], known: dict[Key, bytes]) -> None:
-        new, several = cut_words(words, split, known)
-        lines = [p for p in new if (p if isinstance(p, str) else p[0]).isalnum() or not BLANK.search(text_of(p)[1:] or text_of(p))]
-        parts = [lines[at : at + 512] for at in range(0, len(lines), 512)]
-        for part, ids in zip(parts, ids_of(["\n".join(map(text_of, part)) for part in parts]), strict=True):
-            ends = [*(np.flatnonzero(ids == line_end) * 4).tolist(), len(ids) * 4]
-            if len(ends) == len(part):
-                data, start = ids.tobytes(), 0
-                for p, end in zip(part, ends, strict=True):
-                    known[p], start = data[start:end], end + 4
-        rest = [p for p in new if p not in known]
-        known.update(zip(rest, (x.tobytes() for x in ids_of(list(map(text_of, rest)))), strict=True))
-        for w, parts in several:
-            known[w] = b"".join(map(known.__getitem__, parts))
-
-    cache = WordCache(learn, split)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        whole = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for i, t in enumerate(texts) if special and special in t}
-        found = cache.encode(["" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+class Encoder:
+    """Ids of texts by a ``tokenizers`` file, each distinct piece of a word encoded once. The pieces' merges are replayed by the
+    tiktoken library from the ranks in that file, several times faster than ``tokenizers`` itself would; that this is the same
+    tokenizer is checked when it is loaded. Texts that hold an added token go to ``tokenizers``.
+
+    Many pieces are encoded as the lines of one text: the id of a line's end then parts them."""
+
+    def __init__(self, path: str):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        gc.set_threshold(100_000, 50, 100)  # the cache's many small objects never form cycles
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        ranks = _ranks({t: i for t, i in vocabulary.items() if t not in self.added})
+        self.id_type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._check(path, ranks)
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        (self.line_end,) = self.ids("\n")
+        self.cache = WordCache(self.learn, self.split)
+
+    def _check(self, path: str, ranks: dict[bytes, int]) -> None:
+        """Merges stand in the order of the ids that they make, and texts of every kind of character give equal ids."""
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        probe = "".join(map(chr, [*range(1, 0x500), *range(0x2000, 0x2100), *range(0x4E00, 0x4E40), *range(0x1F600, 0x1F610)]))
+        probes = [probe, "It's 12,345.60  tabs\t\tand\r\n\n ends  ", " ".join(t.decode("utf-8", "replace") for t in list(ranks)[::7]) + " "]
+        plain = [p for p in probes if not any(t in p for t in self.added)]
+        if made != sorted(made) or any(self.tokenizer.encode(p, add_special_tokens=False).ids != self.plain.encode_ordinary(p) for p in plain):
+            raise ValueError(f"{path} is not a byte-level BPE with merges in the order of ids and the pattern of public_tokenizers")
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.plain.encode_to_numpy(text, disallowed_special=()).astype(self.id_type)
+
+    def learn(self, words: list[Key], known: dict[Key, bytes]) -> None:
+        new = cut_words(words, self.split, known)
+        blank = [BLANK.search(p if type(p) is str else p[0]) for p in new.pieces]
+        whole, rest = [p for p, b in zip(new.pieces, blank, strict=True) if not b], [p for p, b in zip(new.pieces, blank, strict=True) if b]
+        for at in range(0, len(new.plain), LINES):
+            part = new.plain[at : at + LINES]
+            self._lines(part, " " + "\n ".join(part), known, rest)
+        for at in range(0, len(whole), LINES):
+            part = whole[at : at + LINES]
+            self._lines(part, "\n".join(map(text_of, part)), known, rest)
+        for p in rest:
+            known[p] = self.ids(text_of(p)).tobytes()
+        new.join(known)
+
+    def _lines(self, part: list[Key], text: str, known: dict[Key, bytes], rest: list[Key]) -> None:
+        """Encode pieces as lines of one text; they are left for later if a line's end doesn't stand between each two of them."""
+        ids = self.ids(text)
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) + 1 != len(part):
+            rest += part
+            return
+        data, size = ids.tobytes(), ids.itemsize
+        starts = [0, *((ends + 1) * size).tolist()]
+        known.update(zip(part, map(data.__getitem__, map(slice, starts, [*(ends * size).tolist(), len(data)])), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.id_type).tobytes() for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        found = self.cache.encode(["" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
         return [whole.get(i, x) for i, x in enumerate(found)] if whole else found
 
-    return encode
+
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 @lru_cache(1)
@@ -98,13 +128,19 @@ def _projection() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(SEED)).standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
 
 
-def point(ids: np.ndarray) -> np.ndarray:
-    """Direction of the projected count vector, each coordinate as an integer of ``BITS`` bits."""
-    ids, counts = np.unique(ids, return_counts=True)
-    bucket = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64) % BUCKETS
-    v = np.log1p(counts).astype(np.float32) @ _projection()[bucket]
-    size = float(np.linalg.norm(v)) or 1.0
-    return np.clip((v / size + 1) * 2 ** (BITS - 1), 0, 2**BITS - 1).astype(np.uint32)
+def points(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of documents whose ids follow each other up to ``ends``: directions of the projected count vectors (logarithms of counts),
+    each coordinate as an integer of ``BITS`` bits."""
+    doc = np.repeat(np.arange(len(ends), dtype=np.uint64), np.diff(ends, prepend=0))
+    pairs = np.sort(doc << np.uint64(32) | ids)
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    counts = np.diff(first, append=len(pairs))
+    pairs = pairs[first]
+    bucket = ((pairs & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64) % BUCKETS
+    start = np.searchsorted(pairs >> np.uint64(32), np.arange(len(ends), dtype=np.uint64))
+    v = np.add.reduceat(np.log1p(counts)[:, None] * _projection()[bucket], start)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.clip((v / np.where(size > 0, size, 1) + 1) * 2 ** (BITS - 1), 0, 2**BITS - 1).astype(np.uint32)
 
 
 def hilbert_key(points: np.ndarray) -> np.ndarray:
@@ -135,19 +171,25 @@ def hilbert_key(points: np.ndarray) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``curve`` (Hilbert key) and ``ids`` (little-endian unsigned 32-bit) with the end token last."""
+    """``doc_id``, ``curve`` (Hilbert key), ``width`` (bytes of an id) and ``ids`` (little-endian, unsigned) with the end token last."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(path), pack_ids("<I", END_ID)
+        encoder = _encoder(path)
+        kind = np.dtype(encoder.id_type)
+        end = np.array([END_ID], kind).tobytes()
         for batch in batches:
             at = 0
             for texts in slices(batch.column(1)):
-                found = [x + end for x in encoder(texts)]
-                curve = hilbert_key(np.stack([point(np.frombuffer(x, "<u4")) for x in found]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(curve), pa.array(found, pa.binary())], ["doc_id", "curve", "ids"])
+                found = [x + end for x in encoder.encode(texts)]
+                ends = np.cumsum([len(x) for x in found]) // kind.itemsize
+                curve = hilbert_key(points(np.frombuffer(b"".join(found), kind).astype(np.uint64), ends))
+                width = pa.array(np.full(len(texts), kind.itemsize, np.int8))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(curve), width, pa.array(found, pa.binary())], ["doc_id", "curve", "width", "ids"])
                 at += len(texts)
+        give_back()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, curve long, ids binary")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, curve long, width byte, ids binary")
 
 
 class _Sequences:
@@ -184,7 +226,8 @@ class _Sequences:
 
     def take(self) -> pa.RecordBatch:
         rows, self.closed = self.closed, []
-        columns = [[r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], [zlib.crc32(r[2].tobytes()) for r in rows], [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows]]
+        doc, start, ids, total, sequence, offset = zip(*rows, strict=True) if rows else [()] * 6
+        columns = [doc, start, list(map(len, ids)), [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], total, sequence, offset]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PIECE)
 
 
@@ -199,15 +242,17 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences = _Sequences(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for doc, ids in zip(batch.column(0), batch.column(1), strict=True):
-                sequences.add(doc.as_py(), np.frombuffer(ids.as_buffer(), "<u4"))
+            for doc, width, ids in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                sequences.add(doc.as_py(), np.frombuffer(ids.as_buffer(), f"<u{width.as_py()}"))
             yield sequences.take()
         sequences.finish()
         yield sequences.take()
+        give_back()
 
     ranged = source.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    return ranged.select("doc_id", "ids").mapInArrow(cut, ", ".join(f"{c} long" for c in PIECE))
+    return ranged.select("doc_id", "width", "ids").mapInArrow(cut, ", ".join(f"{c} long" for c in PIECE))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence."""
     return pack(table(spark, sf_dir, "documents"))

@@ -10,16 +10,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 
-MOST_WORDS = 1_000_000  # kept by a worker; an evicted word is encoded again
+MOST_BYTES = 96_000_000  # of words and ids kept by a worker; an evicted word is encoded again
+ENTRY_BYTES = 200  # of a usual word with its ids; a longest one takes some 600
+LONG = 64  # characters from which on a word isn't kept
 SLICE_CHARS = 1_000_000  # texts encoded together
 CROSSING = re.compile(r" (?<=\s )(?=\s|\Z)")
+BESIDE = re.compile(r"\n(?:(?<=\s\n)|(?=\s|\Z)|(?<=\A\n))")  # a line's end beside white space, or first or last
+MARKS = frozenset(".,;:!?")
 
 
 #: A string stands for the word with a space before it, a tuple of one string for that string as it is.
 Key = str | tuple[str]
+LINE_END = ("\n",)
 
 
 def text_of(key: Key) -> str:
@@ -32,14 +38,25 @@ def key_of(text: str) -> Key:
 
 class WordCache:
     """Ids' bytes of words. ``learn(keys, known)`` adds new ones; ``split(text)`` cuts a text that can't be cut before spaces.
-    Of the words that are known, those not seen since the last half of the bound filled up are forgotten."""
+    What is kept is bounded in bytes: of the words that are known, those not seen since half of the bound filled up are
+    forgotten, and long words are forgotten at once."""
 
-    def __init__(self, learn: Callable[[list[Key], dict[Key, bytes]], None], split: Callable[[str], list[str]]):
-        self.learn, self.split, self.known, self.older = learn, split, {}, {}
+    def __init__(self, learn: Callable[[list[Key], dict[Key, bytes]], None], split: Callable[[str], list[str]], most: int = MOST_BYTES):
+        self.learn, self.split, self.most, self.known, self.older, self.held = learn, split, most, {}, {}, 0
 
     def cut(self, text: str) -> list[Key]:
         if CROSSING.search(text):
             return list(map(key_of, self.split(text)))
+        if "\n" in text and not BESIDE.search(text):  # each line's end stands alone between words
+            out: list[Key] = []
+            for line in text.split("\n"):
+                words = line.split(" ")
+                if words[0]:
+                    out.append((words[0],))
+                out += words[1:]
+                out.append(LINE_END)
+            out.pop()
+            return out
         words = text.split(" ")
         if words[0]:
             words[0] = (words[0],)
@@ -48,42 +65,68 @@ class WordCache:
         return words
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = list(map(self.cut, texts))
-        if len(self.known) > MOST_WORDS // 2:
-            self.older, self.known = self.known, {}
+        if self.held > self.most // 2:
+            self.older, self.known, self.held = self.known, {}, 0
         known, older = self.known, self.older
-        new = set().union(*cut).difference(known)
+        get, before, new = known.get, len(known), set()
+        cut, found = [], []
+        for words in map(self.cut, texts):
+            ids = list(map(get, words))
+            if None in ids:
+                new.update([w for w, x in zip(words, ids, strict=True) if x is None])
+            cut.append(words)
+            found.append(ids)
         if new:
             if older:
                 kept = {w: older[w] for w in new if w in older}
                 known.update(kept)
                 new.difference_update(kept)
             self.learn(list(new), known)
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
-
-
-def cut_words(keys: list[Key], split: Callable[[str], list[str]], known: dict[Key, bytes]) -> tuple[list[Key], list[tuple[Key, list[Key]]]]:
-    """Of new words, the pieces to encode (matches of the pattern, by ``split``, that aren't known), and the words of several
-    pieces with their pieces. Letters, and letters before one mark, need no search."""
-    pieces: dict[Key, None] = {}
+            for words, ids in zip(cut, found, strict=True):
+                if None in ids:
+                    ids[:] = map(known.__getitem__, words)
+            for w in [w for w in new if len(w) >= LONG or type(w) is tuple and len(w[0]) >= LONG]:
+                del known[w]
+            self.held += ENTRY_BYTES * (len(known) - before)
+        return list(map(b"".join, found))
+
+
+@dataclass
+class Pieces:
+    """New words taken apart: ``plain`` ones of letters with a space before them, other single ``pieces`` to encode, words of letters and one ``marked`` end, and
+    ``several``, words of several pieces with those."""
+
+    plain: list[str]
+    pieces: list[Key]
+    marked: list[str]
+    several: list[tuple[Key, list[Key]]]
+
+    def join(self, known: dict[Key, bytes]) -> None:
+        """Add the words of several pieces, all of which are known by now."""
+        marks = {m: known[(m,)] for m in {w[-1] for w in self.marked}}
+        known.update([(w, known[w[:-1]] + marks[w[-1]]) for w in self.marked])
+        for w, parts in self.several:
+            known[w] = b"".join([known[p] for p in parts])
+
+
+def cut_words(keys: list[Key], split: Callable[[str], list[str]], known: dict[Key, bytes]) -> Pieces:
+    """Matches of the pattern (by ``split``) that aren't known. Letters, and letters before one mark, need no search."""
+    plain = [k for k in keys if type(k) is str and k.isalpha()]
+    marked = [k for k in keys if type(k) is str and k[-1:] in MARKS and k[:-1].isalpha()]
+    plain += {k[:-1] for k in marked}.difference(known, plain)
+    pieces: dict[Key, None] = {(m,): None for m in {k[-1] for k in marked} if (m,) not in known}
     several = []
+    done = {*plain, *marked}
     for k in keys:
-        word = k if isinstance(k, str) else k[0]
-        if word.isalpha():
-            pieces[k] = None
+        if k in done:
             continue
-        if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            parts = [word[:-1] if isinstance(k, str) else (word[:-1],), (word[-1],)]
-        else:
-            parts = list(map(key_of, split(text_of(k))))
+        parts = list(map(key_of, split(text_of(k))))
         if parts == [k]:
             pieces[k] = None
         else:
             several.append((k, parts))
-            for p in parts:
-                if p not in known:
-                    pieces[p] = None
-    return list(pieces), several
+            pieces.update((p, None) for p in parts if p not in known and p not in done)
+    return Pieces(plain, list(pieces), marked, several)
 
 
 def slices(column: pa.Array) -> Iterator[list[str]]:
