@@ -60,6 +60,19 @@ def relation(holding: Column) -> Column:
     return F.when(holding > 50, "subsidiary").when(holding >= 20, "associate").otherwise("none")
 
 
+def is_small(capital: Column, turnover: Column, public: Column, most_capital: float = 4e7, most_turnover: float = 4e8) -> Column:
+    """Small company: private, and within both limits, which are included."""
+    return ~public & (capital <= most_capital) & (turnover <= most_turnover)
+
+
+def band(value: Column, bands: tuple[tuple[float, str], ...], lowest: str) -> Column:
+    """Label of the highest band whose lower bound the value exceeds."""
+    out = F.lit(lowest)
+    for bound, label in sorted(bands):
+        out = F.when(value > bound, label).otherwise(out)
+    return out
+
+
 def frontmatter(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
 

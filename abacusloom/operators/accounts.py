@@ -80,7 +80,7 @@ def comparative_advantage(output: DataFrame, good_a: str, good_b: str) -> DataFr
 def cross_rates(rates: DataFrame, base: str) -> DataFrame:
     """Rates of all currencies against ``base``, through the common currency that ``rate`` counts."""
     at = rates.filter(F.col("currency") == base).select(F.col("day"), F.col("rate").alias("_base"))
-    return rates.join(F.broadcast(at), "day").select("day", "currency", F.round(F.col("rate") / F.col("_base") + 1e-8, 6).alias("cross"))
+    return rates.join(at, "day").select("day", "currency", F.round(F.col("rate") / F.col("_base") + 1e-8, 6).alias("cross"))
 
 
 def consolidation(holdings: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def stratified_draw(pool: DataFrame, targets: DataFrame, paper: str, group: str,
     ``source`` tells ``target`` from ``backfill``."""
     h = chance(seed, paper, item)
     w = Window.partitionBy(paper, group).orderBy("_h", item)
-    rows = pool.withColumn("_h", h).withColumn("_at", F.row_number().over(w)).join(F.broadcast(targets.select(paper, group, "target")), [paper, group], "left")
+    rows = pool.withColumn("_h", h).withColumn("_at", F.row_number().over(w)).join(targets.select(paper, group, "target"), [paper, group], "left")
     rows = rows.withColumn("_in", F.coalesce(F.col("_at") <= F.col("target"), F.lit(False)))
     want = targets.groupBy(paper).agg(F.sum("target").alias("_want"))
     have = rows.groupBy(paper).agg(F.count_if("_in").alias("_have"))
@@ -62,6 +62,18 @@ def stratified_draw(pool: DataFrame, targets: DataFrame, paper: str, group: str,
     return kept.select(paper, group, item, F.when(F.col("_in"), "target").otherwise("backfill").alias("source"))
 
 
+def chapter_weight(due: Column, mastery: Column) -> Column:
+    """Weight of a chapter in a mixed set: more for what is due, up to five, and for what is little known."""
+    return (1 + F.least(F.coalesce(due, F.lit(0)), F.lit(5))) * (3 - F.least(F.coalesce(mastery, F.lit(0)), F.lit(2)))
+
+
+def draw_shortfall(drawn: DataFrame, targets: DataFrame, paper: str) -> DataFrame:
+    """Of each paper what ``stratified_draw`` was to give, what the groups gave, what they lacked, and how much of that the rest filled."""
+    want = targets.groupBy(paper).agg(F.sum("target").alias("want"))
+    have = drawn.groupBy(paper).agg(F.count_if(F.col("source") == "target").alias("drawn"), F.count_if(F.col("source") == "backfill").alias("backfilled"))
+    return want.join(have, paper, "left").fillna(0, ["drawn", "backfilled"]).withColumn("short", F.col("want") - F.col("drawn"))
+
+
 def weighted_set(units: DataFrame, key: str, chapter: str, unit: str, size: int, seed: str) -> DataFrame:
     """A mixed set per key: one unit of each chapter first, then by weight (Efraimidis and Spirakis' keys), whole units that still fit.
 

@@ -33,7 +33,7 @@ def statements(moves: DataFrame, signs: DataFrame, entity: str) -> DataFrame:
     """Totals of every statement: moves (entity, kind, amount) by the sign that the dimension (statement, kind, sign) gives their kind. Moves are summed by kind
     before they meet it; a kind may count in several statements and a statement without moves has no row."""
     sums = moves.groupBy(entity, "kind").agg(exact("amount").alias("amount"))
-    return sums.join(F.broadcast(signs), "kind").groupBy(entity, "statement").agg(F.sum(F.col("amount") * F.col("sign")).cast("double").alias("total"))
+    return sums.join(signs, "kind").groupBy(entity, "statement").agg(F.sum(F.col("amount") * F.col("sign")).cast("double").alias("total"))
 
 
 def commission(rows: DataFrame, rate: float) -> DataFrame:

@@ -130,7 +130,7 @@ def due_by_chapter(mistakes: DataFrame, questions: DataFrame, now: str) -> DataF
 def chapter_levels(learners: DataFrame, chapters: DataFrame, mastered: DataFrame) -> DataFrame:
     """Level of every learner in every chapter of their deck by the chapter's mastery topic, 0 without evidence."""
     first = chapters.groupBy("chapter").agg(F.min_by("topic", "ord").alias("topic"))
-    rows = learners.join(F.broadcast(first), "chapter")
+    rows = learners.join(first, "chapter")
     return rows.join(mastered.select("learner_id", "topic", "level"), ["learner_id", "topic"], "left").select("learner_id", "chapter", "topic", F.coalesce("level", F.lit(0)).alias("level"))
 
 
@@ -158,6 +158,22 @@ def variant_pick(served: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.select(*[served[c] for c in ("prefix", "paper", "question_id")], F.coalesce(other("near"), other("far"), F.col("question_id")).alias("variant_id"))
 
 
+def session_variants(served: DataFrame, questions: DataFrame) -> DataFrame:
+    """Variants of the questions that a session serves (``session``, ``question_id``, ``prefix``), of which no two are the same: the served questions of a prefix
+    take the session's free questions of that prefix in turn, by a hash; where these run out a question stays itself. ``questions`` has question_id, prefix, is_case."""
+    turn = F.crc32(F.concat_ws("/", F.col("session").cast("string"), F.col("question_id").cast("string")))
+    w = Window.partitionBy("session", "prefix")
+    asked = served.withColumns({"_at": F.row_number().over(w.orderBy("question_id")), "_n": F.count("*").over(w)})
+    need = asked.groupBy("session", "prefix").agg(F.max("_n").alias("_n"))
+    pool = questions.filter(~F.col("is_case")).select("prefix", "question_id")
+    ranked = pool.withColumn("_rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.crc32(F.col("question_id").cast("string")), "question_id")))
+    # twice as many candidates as served ones are enough: at most that many of them are served themselves
+    near = need.join(ranked, "prefix").filter(F.col("_rank") <= 2 * F.col("_n"))
+    free = near.join(served.select("session", "question_id"), ["session", "question_id"], "left_anti").withColumn("_turn", turn)
+    free = free.select("session", "prefix", F.col("question_id").alias("_free"), F.row_number().over(w.orderBy("_turn", "question_id")).alias("_at"))
+    return asked.join(free, ["session", "prefix", "_at"], "left").select("session", "prefix", "question_id", F.coalesce("_free", "question_id").alias("variant_id"))
+
+
 RIGHT, WRONG = 1.0, -0.25  # marks of an answer in an exam with negative marking
 
 
@@ -173,7 +189,7 @@ def mock_totals(items: DataFrame, bar: float = 40.0) -> DataFrame:
 def group_stats(items: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Accuracy and time per mock and group; groups that the dimension lacks are ``ungrouped``."""
     if groups is not None:
-        items = items.join(F.broadcast(groups.select("group_id", F.lit(True).alias("known"))), "group_id", "left").withColumn("group_id", F.when(F.col("known"), F.col("group_id")).otherwise("ungrouped"))
+        items = items.join(groups.select("group_id", F.lit(True).alias("known")), "group_id", "left").withColumn("group_id", F.when(F.col("known"), F.col("group_id")).otherwise("ungrouped"))
     n = lambda s: F.count_if(F.col("status") == s)
     sums = items.groupBy("mock_id", "group_id").agg(F.count("*").alias("n"), n("correct").alias("correct"), n("wrong").alias("wrong"), n("blank").alias("blank"), F.sum("secs").alias("secs"))
     return sums.withColumn("net", F.col("correct") * RIGHT + F.col("wrong") * WRONG)
@@ -185,10 +201,11 @@ def case_scores(items: DataFrame) -> DataFrame:
 
 
 def time_stats(items: DataFrame) -> DataFrame:
-    """Fastest, slowest and middle seconds of each mock; of an even number the upper middle, an element of the list."""
-    ordered = Window.partitionBy("mock_id").orderBy("secs")
-    rows = items.select("mock_id", "secs", F.row_number().over(ordered).alias("at"), F.count("*").over(Window.partitionBy("mock_id")).alias("n"))
-    middle = F.max(F.when(F.col("at") == F.floor(F.col("n") / 2) + 1, F.col("secs")))
+    """Fastest, slowest and middle seconds of each mock; of an even number the upper middle, an element of the list. Only distinct seconds are sorted."""
+    w = Window.partitionBy("mock_id")
+    counts = items.groupBy("mock_id", "secs").agg(F.count("*").alias("c"))
+    rows = counts.withColumns({"upto": F.sum("c").over(w.orderBy("secs")), "n": F.sum("c").over(w)})
+    middle = F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 2) + 1, F.col("secs")))
     return rows.groupBy("mock_id").agg(F.min("secs").alias("fastest"), middle.alias("middle"), F.max("secs").alias("slowest"))
 
 
@@ -206,6 +223,11 @@ def self_grade(points: DataFrame, paper_marks: float = 100.0) -> DataFrame:
     return total.withColumn("scaled", F.round(paper_marks * F.col("earned") / F.col("possible"), 2))
 
 
+def missed_by_slot(points: DataFrame) -> DataFrame:
+    """Marks that each slot of a paper missed. ``points`` has ``mock_id``, ``slot``, ``marks`` and ``ticked``."""
+    return points.groupBy("mock_id", "slot").agg(F.sum(F.when(F.col("ticked"), 0.0).otherwise(F.col("marks"))).alias("missed"), F.count("*").alias("points"))
+
+
 def review_queue(mistakes_due: DataFrame, cards_due_: DataFrame) -> DataFrame:
     """Items and minutes of the daily queue: one more than what is due, a minute and a half each, five at least."""
     m = mistakes_due.groupBy("learner_id").agg(F.count("*").alias("mistakes"))

@@ -242,12 +242,16 @@ def product_interest(rows: DataFrame, key: str, rate: float) -> DataFrame:
 def amortisation(loans: DataFrame) -> DataFrame:
     """One row per loan and instalment: interest, principal and balance, from the closed form of the balance.
 
-    ``loans`` has loan_id, principal, rate (a period), n."""
-    i, n, k = F.col("rate"), F.col("n"), F.col("k")
+    ``loans`` has loan_id, principal, rate (a period), n. The instalment is computed once per loan, and loans are dealt out before they unfold: a small
+    file would unfold in one task."""
+    i, n = F.col("rate"), F.col("n")
     instalment = F.when(i == 0, F.col("principal") / n).otherwise(F.col("principal") * i / (1 - F.pow(1 + i, -n)))
-    after = lambda k: F.when(i == 0, F.col("principal") - instalment * k).otherwise(F.col("principal") * F.pow(1 + i, k) - instalment * (F.pow(1 + i, k) - 1) / i)
-    rows = loans.withColumn("k", F.explode(F.sequence(F.lit(1), n)))
-    return rows.select("loan_id", "k", money(instalment, 2).alias("instalment"), money(after(k - 1) * i, 2).alias("interest"), money(after(k), 2).alias("balance"))
+    rows = loans.repartition("loan_id").withColumn("pay", instalment).select("loan_id", "principal", "rate", "pay", F.explode(F.sequence(F.lit(1), n)).alias("k"))
+    grown = F.pow(1 + i, F.col("k") - 1)
+    before = F.when(i == 0, F.col("principal") - F.col("pay") * (F.col("k") - 1)).otherwise(F.col("principal") * grown - F.col("pay") * (grown - 1) / i)
+    rows = rows.withColumn("open", before)
+    cents = lambda x: F.floor((x + NUDGE) * 100 + 0.5) / 100
+    return rows.select("loan_id", "k", cents(F.col("pay")).alias("instalment"), cents(F.col("open") * i).alias("interest"), cents(F.col("open") * (1 + i) - F.col("pay")).alias("balance"))
 
 
 def loan_totals(loans: DataFrame) -> DataFrame:
@@ -316,7 +320,7 @@ def translate(lines: DataFrame, rates: DataFrame, key: str) -> DataFrame:
     An integral branch takes closing rates for monetary lines, historical ones for others and averages for income; a branch of its own
     closing rates for the balance sheet. The difference goes to profit or to the reserve accordingly."""
     kind = F.when(F.col("is_income"), "average").when(~F.col("integral") | F.col("monetary"), "closing").otherwise("historical")
-    rows = lines.withColumn("rate_kind", kind).join(F.broadcast(rates), ["currency", "rate_kind"])
+    rows = lines.withColumn("rate_kind", kind).join(rates, ["currency", "rate_kind"])
     sums = rows.groupBy(key, "integral").agg(money(F.sum(F.col("amount") * F.col("rate"))).alias("difference"))
     return sums.select(key, "difference", F.when(F.col("integral"), "profit").otherwise("reserve").alias("taken_to"))
 

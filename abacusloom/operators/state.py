@@ -1,41 +1,119 @@
-"""Replay of per-key histories: the spaced-repetition card, and its rules as plain functions that the stream shares."""
+"""Replay of per-key histories in the order of time and event: spaced-repetition cards, and the notebook that keeps so many mistakes.
+
+A history passes by as sorted rows and leaves one state, so a key of any number of events takes no more memory than any other. The
+rules are plain functions, which the streams share.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY = 86_400.0
-LEAST_EASE = 1.3
+LEAST_EASE, FIRST_EASE, LONGEST = 1.3, 2.5, 365.0
+KEPT_MISTAKES = 200
 
 
 def interval_cap(days_left: Column) -> Column:
     """Longest interval in days: the days left to the exam, in the last thirty a quarter of them but two at least; 365 without or
     after an exam."""
     near = F.greatest(F.lit(2.0), days_left / 4.0)
-    return F.when(days_left.isNull() | (days_left <= 0), 365.0).when(days_left <= 30, F.least(near, days_left.cast("double"))).otherwise(F.least(F.lit(365.0), days_left.cast("double")))
+    return F.when(days_left.isNull() | (days_left <= 0), LONGEST).when(days_left <= 30, F.least(near, days_left.cast("double"))).otherwise(F.least(F.lit(LONGEST), days_left.cast("double")))
+
+
+def cap_at(at: Column, exam: str | None) -> Column:
+    """Cap of a rating at its own time."""
+    if not exam:
+        return F.lit(LONGEST)
+    return interval_cap(F.ceil((F.unix_timestamp(F.lit(exam).cast("timestamp")) - F.unix_timestamp(at.cast("timestamp"))) / DAY))
+
+
+def rated(ivl: float, ease: float, rating: str, cap: float = LONGEST) -> tuple[float, float]:
+    """Interval and ease of a card after one more rating. What is due again at once isn't capped."""
+    if rating == "again":
+        return 0.0, max(LEAST_EASE, ease - 0.2)
+    if rating == "hard":
+        return min(cap, max(1.0, ivl * 1.2)), max(LEAST_EASE, ease - 0.15)
+    if rating == "good":
+        return min(cap, ivl * ease if ivl else 1.0), ease
+    ease += 0.15
+    return min(cap, ivl * ease * 1.3 if ivl else 4.0), ease
+
+
+def ordered_fold(rows: DataFrame, key: list[str], order: list[str], schema: str, start: Callable[[], Any], step: Callable[..., Any], finish: Callable[[tuple, Any], list[tuple]]) -> DataFrame:
+    """Fold of each key's rows in order. ``step(state, *others)`` gives the next state from the columns that follow the key, ``finish(key, state)`` the rows of
+    ``schema`` that are left. Keys are shuffled once and sorted within their partitions; only the state of the key that passes by is held."""
+    columns = [*key, *(c for c in rows.columns if c not in key)]
+    names = [part.strip().split(" ")[0].strip("`") for part in schema.split(",")]
+    width = len(key)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, done = None, None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:width] != held:
+                    if held is not None:
+                        done += finish(held, state)
+                    held, state = row[:width], start()
+                state = step(state, *row[width:])
+            if done:
+                yield _table(done)
+                done = []
+        if held is not None and (last := finish(held, state)):
+            yield _table(last)
+
+    def _table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*found, strict=True)), strict=True)), schema=wanted)
+
+    ordered = rows.select(*columns).repartition(*key).sortWithinPartitions(*key, *order)
+    wanted = _arrow(rows.sparkSession.createDataFrame([], schema))
+    return ordered.mapInArrow(fold, schema)
+
+
+def _arrow(empty: DataFrame) -> pa.Schema:
+    return empty.toArrow().schema
 
 
 def card_state(reviews: DataFrame, exam: str | None = None) -> DataFrame:
-    """Interval, ease, count and due time of each learner's card after all its ratings, in the order of time and event.
-
-    One card's ratings are folded within its row; the cap counts from the time of the rating."""
-    history = reviews.groupBy("learner_id", "card_id").agg(F.sort_array(F.collect_list(F.struct("at", "event_id", "rating"))).alias("h"))
-    zero = F.struct(F.lit(0.0).alias("ivl"), F.lit(2.5).alias("ease"), F.lit(0).alias("reps"))
-
-    def step(s: Column, e: Column) -> Column:
-        rating = e["rating"]
-        ease = F.when(rating == "again", F.greatest(F.lit(LEAST_EASE), s["ease"] - 0.2)).when(rating == "hard", F.greatest(F.lit(LEAST_EASE), s["ease"] - 0.15)).when(rating == "easy", s["ease"] + 0.15).otherwise(s["ease"])
-        new = s["ivl"] == 0
-        ivl = (
-            F.when(rating == "again", 0.0)
-            .when(rating == "hard", F.greatest(F.lit(1.0), s["ivl"] * 1.2))
-            .when(rating == "good", F.when(new, 1.0).otherwise(s["ivl"] * ease))
-            .otherwise(F.when(new, 4.0).otherwise(s["ivl"] * ease * 1.3))
-        )
-        cap = interval_cap(F.ceil((F.unix_timestamp(F.lit(exam).cast("timestamp")) - F.unix_timestamp(e["at"].cast("timestamp"))) / DAY) if exam else F.lit(None).cast("double"))
-        return F.struct(F.least(ivl, cap).alias("ivl"), ease.alias("ease"), (s["reps"] + 1).alias("reps"))
-
-    done = history.select("learner_id", "card_id", F.element_at("h", -1).alias("last"), F.aggregate("h", zero, step).alias("s"))
-    wait = F.when(F.col("last.rating") == "again", 600.0).otherwise(F.col("s.ivl") * DAY)
-    return done.select("learner_id", "card_id", F.round("s.ivl", 6).alias("ivl"), F.round("s.ease", 6).alias("ease"), "s.reps", F.timestamp_seconds(F.round(F.unix_timestamp(F.col("last.at").cast("timestamp")) + wait)).alias("due"))
+    """Interval, ease, count and due time of each learner's card after all its ratings. The cap counts from the time of the rating."""
+
+    def step(state: tuple, at: int, event_id: int, rating: str, cap: float) -> tuple:
+        ivl, ease = rated(state[0], state[1], rating, cap)
+        return ivl, ease, state[2] + 1, at, rating
+
+    def finish(key: tuple, state: tuple) -> list[tuple]:
+        return [(*key, *state)]
+
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    rows = reviews.select("learner_id", "card_id", micros.alias("us"), "event_id", "rating", cap_at(F.col("at"), exam).alias("cap"))
+    done = ordered_fold(rows, ["learner_id", "card_id"], ["us", "event_id"], "learner_id long, card_id long, ivl double, ease double, reps int, us long, rating string", lambda: (0.0, FIRST_EASE, 0, 0, None), step, finish)
+    wait = F.when(F.col("rating") == "again", 600.0).otherwise(F.col("ivl") * DAY)
+    return done.select("learner_id", "card_id", F.round("ivl", 6).alias("ivl"), F.round("ease", 6).alias("ease"), "reps", F.timestamp_seconds(F.round(F.floor(F.col("us") / 1e6) + wait)).alias("due"))
+
+
+def capped_notebook(answers: DataFrame, most: int = KEPT_MISTAKES) -> DataFrame:
+    """Open mistakes of each learner when a notebook holds ``most`` of them: a new one pushes out the one entered first, for good. A right answer clears a
+    mistake; a wrong one to a question in the notebook counts again. The state of a learner is as large as the notebook."""
+
+    def step(state: dict, us: int, event_id: int, question: int, correct: bool, sure: bool | None) -> dict:
+        if correct:
+            state.pop(question, None)
+        elif question in state:
+            first, _, reps, tag = state[question]
+            state[question] = first, us, reps + 1, tag if sure is None else sure
+        else:
+            state[question] = us, us, 0, sure
+            if len(state) > most:
+                del state[next(iter(state))]
+        return state
+
+    def finish(key: tuple, state: dict) -> list[tuple]:
+        return [(*key, q, *v) for q, v in state.items()]
+
+    rows = answers.filter(F.col("question_id").isNotNull()).select("learner_id", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), "event_id", "question_id", "correct", "sure")
+    done = ordered_fold(rows, ["learner_id"], ["us", "event_id"], "learner_id long, question_id long, first_us long, last_us long, reps int, sure boolean", dict, step, finish)
+    return done.select("learner_id", "question_id", F.timestamp_micros("first_us").alias("first_at"), F.timestamp_micros("last_us").alias("last_at"), "reps", "sure")

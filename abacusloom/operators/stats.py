@@ -70,7 +70,7 @@ def splice(old: DataFrame, new: DataFrame, key: Sequence[str], period: str, over
 
 def deflate(values: DataFrame, index: DataFrame, period: str, value: str) -> DataFrame:
     """Money values at base prices, by the cost index of their period, and what a unit of money then buys. The index is one row a period."""
-    rows = values.join(F.broadcast(index.select(period, "index")), period)
+    rows = values.join(index.select(period, "index"), period)
     return rows.withColumns({"real": r(100 * F.col(value) / F.col("index")), "purchasing_power": r(100 / F.col("index"), 6)}).drop("index")
 
 
@@ -87,10 +87,11 @@ def correlation(points: DataFrame, key: str) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Rank 1 for the highest; equal values share the mean of their ranks."""
-    order = Window.partitionBy(key).orderBy(F.desc(value))
-    ties = F.count("*").over(Window.partitionBy(key, value))
-    return rows.withColumns({name: F.rank().over(order) + (ties - 1) / 2})
+    """Rank 1 for the highest; equal values share the mean of their ranks. Only distinct values are sorted."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy(key).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counts.select(key, value, (F.coalesce(above, F.lit(0)) + 1 + (F.col("_n") - 1) / 2).alias(name))
+    return rows.join(ranks, [key, value])
 
 
 def spearman(points: DataFrame, key: str) -> DataFrame:
@@ -114,9 +115,15 @@ def averages(rows: DataFrame, key: str, value: str, weight: str | None = None) -
 
 
 def dispersion(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Range, population variance and deviation, coefficient of variation, and mean deviation about mean and median."""
-    base = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.median(value).alias("med"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.var_pop(value).alias("variance"))
-    about = rows.select(key, value).join(base, key).groupBy(key).agg(F.avg(F.abs(F.col(value) - F.col("m"))).alias("md_mean"), F.avg(F.abs(F.col(value) - F.col("med"))).alias("md_median"))
+    """Range, population variance and deviation, coefficient of variation, and mean deviation about mean and median. Distinct values with their counts stand for
+    the rows, so that no group's values are held together."""
+    w = Window.partitionBy(key)
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    ranked = counts.withColumns({"upto": F.sum("c").over(w.orderBy("v")), "all": F.sum("c").over(w)})
+    median = (_at("upto", "v", F.floor((F.col("all") + 1) / 2)) + _at("upto", "v", F.floor(F.col("all") / 2) + 1)) / 2
+    base = ranked.groupBy(key).agg(F.max("all").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("m"), median.alias("med"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    n = F.sum("c")
+    about = counts.join(base.select(key, "m", "med"), key).groupBy(key).agg(*((F.sum(x * F.col("c")) / n).alias(name) for name, x in (("md_mean", F.abs(F.col("v") - F.col("m"))), ("md_median", F.abs(F.col("v") - F.col("med"))), ("variance", (F.col("v") - F.col("m")) * (F.col("v") - F.col("m"))))))
     sd = F.sqrt("variance")
     return base.join(about, key).select(key, "n", r(F.col("m")).alias("mean"), r(F.col("med")).alias("median"), r(F.col("hi") - F.col("lo")).alias("range"), r(F.col("variance")).alias("variance"), r(sd).alias("sd"), r(100 * sd / F.col("m")).alias("cv"), r(F.col("md_mean")).alias("md_mean"), r(F.col("md_median")).alias("md_median"))
 
@@ -140,15 +147,24 @@ def mode_discrete(rows: DataFrame, key: str, value: str) -> DataFrame:
     return best.select(key, F.col("s.x").alias("mode"), (-F.col("s.m")).alias("freq"))
 
 
+def _at(upto: str, found: str, place: Column) -> Column:
+    """The value at a place (from 1) of the ordered values whose distinct ones have running counts ``upto``: the first that reaches the place."""
+    return F.min(F.when(F.col(upto) >= place, F.col(found)))
+
+
 def quartiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Quartiles at positions (n + 1) / 4 and so on of the ordered values, with their deviation and its coefficient."""
-    order = Window.partitionBy(key).orderBy(value)
-    ranked = rows.select(key, F.col(value).cast("double").alias("v"), F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy(key)).alias("n"), F.lead(value).over(order).cast("double").alias("next"))
+    """Quartiles at positions (n + 1) / 4 and so on of the ordered values, with their deviation and its coefficient. Only distinct values are sorted."""
+    w = Window.partitionBy(key)
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    ranked = counts.withColumns({"upto": F.sum("c").over(w.orderBy("v")), "n": F.sum("c").over(w)})
     found = {}
     for q in (1, 2, 3):
         at = (F.col("n") + 1) * q / 4
-        found[f"q{q}"] = F.max(F.when(F.col("at") == F.greatest(F.lit(1), F.least(F.col("n"), F.floor(at))), F.when(at < 1, F.col("v")).otherwise(F.col("v") + F.coalesce((at - F.floor(at)) * (F.col("next") - F.col("v")), F.lit(0.0)))))
+        low = F.greatest(F.lit(1), F.least(F.col("n"), F.floor(at)))
+        found |= {f"lo{q}": _at("upto", "v", low), f"hi{q}": _at("upto", "v", F.least(F.col("n"), low + 1)), f"part{q}": F.max(F.when(at < 1, 0.0).otherwise(at - F.floor(at)))}
     sums = ranked.groupBy(key).agg(*(c.alias(n) for n, c in found.items()))
+    for q in (1, 2, 3):
+        sums = sums.withColumn(f"q{q}", F.col(f"lo{q}") + F.col(f"part{q}") * (F.col(f"hi{q}") - F.col(f"lo{q}")))
     half = (F.col("q3") - F.col("q1")) / 2
     return sums.select(key, *(r(F.col(f"q{q}")).alias(f"q{q}") for q in (1, 2, 3)), r(half).alias("quartile_deviation"), r((F.col("q3") - F.col("q1")) / (F.col("q3") + F.col("q1"))).alias("coefficient"))
 

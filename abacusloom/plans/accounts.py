@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bill_due
+from ..functions.scalars import band, bill_due, is_small, relation
 from ..operators import accounts as op
 from ..operators import learner
 from ..sources.adapters import table
@@ -152,3 +152,15 @@ def share_to_exit(spark, sf_dir):
 def pass_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), learner.percent(F.col("c_custkey") % 50, F.lit(50)).alias("pct"))
     return rows.groupBy("nation").agg(F.count("*").alias("learners"), F.count_if(F.col("pct") >= 40).alias("passed"))
+
+
+@query("""WITH h AS (SELECT o_custkey AS company, o_orderkey % 20 AS holder, max(o_orderkey % 37) AS pct FROM orders GROUP BY 1, 2), t AS (SELECT company, count(*) AS holders, sum(pct) AS held FROM h GROUP BY 1)
+SELECT company, holders, held, CASE WHEN held > 50 THEN 'subsidiary' WHEN held >= 20 THEN 'associate' ELSE 'none' END AS relation, c_custkey % 3 <> 0 AND abs(c_acctbal) * 10000 <= 4e7 AND c_custkey % 800 * 1e6 <= 4e8 AS small,
+  CASE WHEN abs(c_acctbal) * 1000 > 2000000 THEN 'district' WHEN abs(c_acctbal) * 1000 > 300000 THEN 'senior' ELSE 'junior' END AS court FROM t JOIN customer ON c_custkey = company""")
+def company_classes(spark, sf_dir):
+    """Relation by shares held (a joint holding counts once), small companies, and the court that a claim's value leads to."""
+    held = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("company"), (F.col("o_orderkey") % 20).alias("holder")).agg(F.max(F.col("o_orderkey") % 37).alias("pct"))
+    sums = held.groupBy("company").agg(F.count("*").alias("holders"), F.sum("pct").alias("held"))
+    rows = sums.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("company"))
+    worth, k = F.abs("c_acctbal"), F.col("c_custkey")
+    return rows.select("company", "holders", "held", relation(F.col("held")).alias("relation"), is_small(worth * 10000, k % 800 * 1e6, k % 3 == 0).alias("small"), band(worth * 1000, ((300_000, "senior"), (2_000_000, "district")), "junior").alias("court"))

@@ -77,9 +77,16 @@ def stratified_draw(spark, sf_dir):
     return drawn.filter("source = 'target'").groupBy("paper", "grp").agg(F.count("*").alias("drawn"))
 
 
+@query(f"""WITH {TARGETS}, p AS (SELECT p_size % 10 AS paper, p_partkey % 8 AS grp, count(*) AS pool FROM part GROUP BY 1, 2), s AS (SELECT t.paper, sum(target) AS want, sum(least(target, coalesce(pool, 0))) AS drawn, sum(coalesce(pool, 0)) AS pool FROM target t LEFT JOIN p ON p.paper = t.paper AND p.grp = t.grp GROUP BY 1)
+SELECT paper, CAST(want AS BIGINT) AS want, CAST(drawn AS BIGINT) AS drawn, CAST(least(want - drawn, pool - drawn) AS BIGINT) AS backfilled, CAST(want - drawn AS BIGINT) AS short FROM s""")
+def draw_shortfall(spark, sf_dir):
+    drawn = op.stratified_draw(_pool(spark, sf_dir), _targets(spark, sf_dir), "paper", "grp", "item", "seed")
+    return op.draw_shortfall(drawn, _targets(spark, sf_dir), "paper")
+
+
 @query()
 def mixed_set(spark, sf_dir):
-    units = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("learner_id"), F.col("l_returnflag").alias("chapter"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("unit"), (F.col("l_linenumber") % 4 + 1.0).alias("questions"), (1 + F.least(F.lit(5), F.col("l_linenumber"))).alias("weight")).dropDuplicates(["learner_id", "unit"])
+    units = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("learner_id"), F.col("l_returnflag").alias("chapter"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("unit"), (F.col("l_linenumber") % 4 + 1.0).alias("questions"), op.chapter_weight(F.col("l_linenumber"), F.col("l_partkey") % 4).alias("weight")).dropDuplicates(["learner_id", "unit"])
     return op.weighted_set(units, "learner_id", "chapter", "unit", 20, "seed")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import learner as op
+from ..operators.compose import union_by_key
 from ..sources import adapters as a
 from ..sources.adapters import ANSWER, MOCK_ITEM, NOW
 
@@ -129,9 +130,10 @@ def chapter_levels(spark, sf_dir):
     return op.chapter_levels(answers.select("learner_id", "chapter").distinct(), chapters, _mastery(spark, sf_dir))
 
 
-@query(f"WITH {OPEN} SELECT p_partkey AS question_id, p_brand AS chapter FROM part WHERE p_partkey IN (SELECT question_id FROM book)")
+@query(f"WITH {OPEN} SELECT learner_id, p_partkey AS question_id, p_brand AS chapter FROM part JOIN book ON book.question_id = p_partkey")
 def notebook_deck(spark, sf_dir):
-    return _questions(spark, sf_dir).join(_notebook(spark, sf_dir), "question_id", "left_semi")
+    """Each learner's own deck: the questions of their notebook that the bank still has."""
+    return _questions(spark, sf_dir).join(_notebook(spark, sf_dir).select("learner_id", "question_id"), "question_id").select("learner_id", "question_id", "chapter")
 
 
 @query(f"WITH {ANSWER} SELECT p_partkey AS question_id, p_brand AS chapter FROM part WHERE p_partkey NOT IN (SELECT question_id FROM ans WHERE question_id IS NOT NULL)")
@@ -154,6 +156,15 @@ def variant_pick(spark, sf_dir):
     return op.variant_pick(questions, questions)
 
 
+@query(f"""WITH {ANSWER}, s AS (SELECT DISTINCT learner_id AS session, question_id FROM ans WHERE question_id % 3 = 0 AND question_id < (SELECT count(*) FROM part)) SELECT session, count(*) AS served, count(*) AS variants FROM s GROUP BY 1""")
+def session_variants(spark, sf_dir):
+    """Variants of what each session serves: as many different ones as questions. Which ones is up to the hash."""
+    part = a.table(spark, sf_dir, "part")
+    questions = part.select(F.col("p_partkey").alias("question_id"), F.lower(F.col("p_type")).alias("prefix"), F.col("p_brand").alias("paper"), (F.col("p_size") > 45).alias("is_case"))
+    served = a.fact_answer(spark, sf_dir).filter("question_id % 3 = 0").select(F.col("learner_id").alias("session"), "question_id").distinct().join(questions.drop("is_case"), "question_id")
+    return op.session_variants(served, questions).groupBy("session").agg(F.count("*").alias("served"), F.count_distinct("variant_id").alias("variants"))
+
+
 QUERIES["variant_pick"] = variant_pick
 
 
@@ -201,6 +212,31 @@ def self_grade(spark, sf_dir):
     return op.self_grade(_mock(spark, sf_dir).select("mock_id", F.col("group_id").alias("part"), "marks", (F.col("status") == "correct").alias("ticked")))
 
 
+@query(f"""WITH {MOCK_ITEM} SELECT mock_id, pos AS slot, sum(CASE WHEN status = 'correct' THEN 0 ELSE marks END) AS missed, count(*) AS points FROM mock GROUP BY 1, 2""")
+def missed_marks(spark, sf_dir):
+    return op.missed_by_slot(_mock(spark, sf_dir).select("mock_id", F.col("pos").alias("slot"), "marks", (F.col("status") == "correct").alias("ticked")))
+
+
+HALVES = f"""{ANSWER}, o AS (SELECT learner_id, question_id, max("at") AS "at", min(event_id) AS ord FROM ans WHERE event_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT learner_id, question_id, max("at") AS "at", min(event_id) AS ord FROM ans WHERE event_id % 2 = 1 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {HALVES} SELECT coalesce(n.learner_id, o.learner_id) AS learner_id, coalesce(n.question_id, o.question_id) AS question_id, coalesce(n."at", o."at") AS "at", CASE WHEN o.learner_id IS NULL THEN 1 ELSE 0 END AS from_new, coalesce(o.ord, n.ord) AS ord
+FROM o FULL JOIN n ON o.learner_id = n.learner_id AND o.question_id = n.question_id""")
+def restored_mistakes(spark, sf_dir):
+    """Mistakes of a restored backup over those that are there: by question, the backup wins, the first place is kept."""
+    answers = a.fact_answer(spark, sf_dir).filter("question_id IS NOT NULL")
+    of = lambda half: answers.filter(F.col("event_id") % 2 == half).groupBy("learner_id", "question_id").agg(F.max("at").alias("at"), F.min("event_id").alias("ord"))
+    return union_by_key(of(0), of(1), ["learner_id", "question_id"])
+
+
+@query(f"""WITH {ANSWER}, u AS (SELECT DISTINCT learner_id, question_id, "at" FROM ans), r AS (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY "at" DESC, question_id DESC) AS n FROM u) SELECT learner_id, question_id, "at" FROM r WHERE n <= 50""")
+def restored_history(spark, sf_dir):
+    """Answers of a backup and those that are there, once by question and time, the newest of them."""
+    answers = a.fact_answer(spark, sf_dir).select("learner_id", "question_id", "at", F.col("question_id").alias("event_id"))
+    both = answers.filter("event_id % 2 = 0").unionByName(answers).dropDuplicates(["learner_id", "question_id", "at"])
+    return op.newest(both, "learner_id", 50).select("learner_id", "question_id", "at")
+
+
 @query(f"""WITH {OPEN}, m AS (SELECT learner_id, count(*) AS mistakes FROM book WHERE due <= TIMESTAMP '{NOW}' GROUP BY 1),
 c AS (SELECT learner_id, count(DISTINCT question_id) AS cards FROM ans WHERE event_id % 4 = 0 GROUP BY 1),
 b AS (SELECT coalesce(m.learner_id, c.learner_id) AS learner_id, coalesce(mistakes, 0) AS mistakes, coalesce(cards, 0) AS cards FROM m FULL JOIN c ON m.learner_id = c.learner_id)

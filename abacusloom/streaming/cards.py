@@ -1,7 +1,7 @@
-"""Streaming forms of the stateful operators, each equal to its batch form once all events have come.
+"""Streaming forms of the stateful operators. With all events within the watermark each ends equal to its batch form.
 
-Events carry an ``event_id``: repeated deliveries are dropped within the watermark. What comes later than that is left to
-the batch form, which is the truth.
+Events carry an ``event_id``: repeated deliveries are dropped within the watermark. An event that comes behind one of its key that was taken already
+changes nothing here: it is what ``late_events`` finds, and the batch form, which is the truth, takes it in.
 """
 
 from __future__ import annotations
@@ -13,41 +13,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "ivl double, ease double, reps int, at_us long, event_id long"
-OUTPUT = "learner_id long, card_id long, ivl double, ease double, reps int, due timestamp"
+from ..operators.state import FIRST_EASE, cap_at, rated
 
+CARD_STATE = "ivl double, ease double, reps int, us long, event_id long"
+CARDS = "learner_id long, card_id long, ivl double, ease double, reps int, due timestamp"
+MISTAKE_STATE = "first_us long, last_us long, reps int, sure int, us long, event_id long"
+MISTAKES = "learner_id long, question_id long, open boolean, first_at timestamp, last_at timestamp, reps int, sure boolean, seen long"
+LEVEL_STATE = "seen int, day long, right int, days int, proficient long, us long, event_id long"
+LEVELS = "learner_id long, topic string, level int, proficient_days int, seen long"
+DAY_US = 86_400_000_000
 
-def rated(ivl: float, ease: float, rating: str, cap: float = 365.0) -> tuple[float, float]:
-    """Interval and ease of a card after one more rating."""
-    if rating == "again":
-        return 0.0, max(1.3, ease - 0.2)
-    if rating == "hard":
-        return min(cap, max(1.0, ivl * 1.2)), max(1.3, ease - 0.15)
-    if rating == "good":
-        return min(cap, ivl * ease if ivl else 1.0), ease
-    ease += 0.15
-    return min(cap, ivl * ease * 1.3 if ivl else 4.0), ease
 
+def in_order(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """Events of one key in a micro-batch by time and id; the first two columns are those."""
+    rows = [row for b in batches for row in b[["us", "event_id", *columns]].itertuples(index=False)]
+    return sorted(rows, key=lambda e: (e[0], e[1]))
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    events = sorted((row for b in batches for row in b[["at", "event_id", "rating"]].itertuples(index=False)), key=lambda e: (e[0], e[1]))
-    ivl, ease, reps, last, last_id = state.get if state.exists else (0.0, 2.5, 0, -1, -1)
+
+def _fresh(events: DataFrame, late: str) -> DataFrame:
+    found = events.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
+    return found.withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
+
+
+def _card(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    ivl, ease, reps, last, last_id = state.get if state.exists else (0.0, FIRST_EASE, 0, -1, -1)
     rating = None
-    for at, event_id, rating_ in events:
-        us = int(pd.Timestamp(at).value // 1000)
+    for us, event_id, rating_, cap in in_order(batches, ["rating", "cap"]):
         if (us, event_id) <= (last, last_id):
-            continue  # seen already, or too late for this form
-        (ivl, ease), reps, rating, last, last_id = rated(ivl, ease, rating_), reps + 1, rating_, us, int(event_id)
+            continue
+        (ivl, ease), reps, rating, last, last_id = rated(ivl, ease, rating_, cap), reps + 1, rating_, int(us), int(event_id)
     state.update((ivl, ease, reps, last, last_id))
     if rating:
-        wait = pd.Timedelta(seconds=600 if rating == "again" else round(ivl * 86_400))
-        yield pd.DataFrame([(*key, round(ivl, 6), round(ease, 6), reps, pd.Timestamp(last, unit="us") + wait)], columns=["learner_id", "card_id", "ivl", "ease", "reps", "due"])
+        wait = 600 if rating == "again" else ivl * 86_400
+        due = pd.Timestamp(round(last // 1_000_000 + wait), unit="s")
+        yield pd.DataFrame([(*key, round(ivl, 6), round(ease, 6), reps, due)], columns=["learner_id", "card_id", "ivl", "ease", "reps", "due"])
 
 
-def card_stream(reviews: DataFrame, late: str = "1 day") -> DataFrame:
+def card_stream(reviews: DataFrame, late: str = "1 day", exam: str | None = None) -> DataFrame:
     """Cards that new ratings changed, with their state; write in update mode. ``at`` is a timestamp."""
-    fresh = reviews.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
-    return fresh.groupBy("learner_id", "card_id").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    fresh = _fresh(reviews, late).withColumn("cap", cap_at(F.col("at"), exam))
+    return fresh.groupBy("learner_id", "card_id").applyInPandasWithState(_card, CARDS, CARD_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def _mistake(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    first, at, reps, sure, last, last_id = state.get if state.exists else (-1, -1, -1, -1, -1, -1)
+    for us, event_id, correct, tag in in_order(batches, ["correct", "sure"]):
+        if (us, event_id) <= (last, last_id):
+            continue
+        last, last_id = int(us), int(event_id)
+        if correct:
+            first, at, reps, sure = -1, -1, -1, -1
+            continue
+        first, at, reps = (last if reps < 0 else first), last, reps + 1
+        sure = sure if tag is None or pd.isna(tag) else int(tag)
+    state.update((first, at, reps, sure, last, last_id))
+    when = lambda us: pd.Timestamp(us, unit="us") if reps >= 0 else None
+    row = (*key, reps >= 0, when(first), when(at), reps if reps >= 0 else None, bool(sure) if sure >= 0 else None, last)
+    yield pd.DataFrame([row], columns=["learner_id", "question_id", "open", "first_at", "last_at", "reps", "sure", "seen"])
+
+
+def notebook_stream(answers: DataFrame, late: str = "1 day") -> DataFrame:
+    """Mistakes that new answers opened, changed or cleared (``open`` is false then); ``seen`` is the time of the last answer in microseconds."""
+    return _fresh(answers, late).groupBy("learner_id", "question_id").applyInPandasWithState(_mistake, MISTAKES, MISTAKE_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def _level(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seen, day, right, days, proficient, last, last_id = state.get if state.exists else (0, -1, 0, 0, -1, -1, -1)
+    for us, event_id, correct in in_order(batches, ["correct"]):
+        if (us, event_id) <= (last, last_id):
+            continue
+        last, last_id = int(us), int(event_id)
+        if last // DAY_US != day:
+            day, right = last // DAY_US, 0
+        if not correct:
+            continue
+        right += 1
+        seen = max(seen, 2 if right >= 3 else 1)
+        if right >= 3 and proficient != day:
+            days, proficient = days + 1, day
+    state.update((seen, day, right, days, proficient, last, last_id))
+    yield pd.DataFrame([(*key, 3 if days >= 3 else seen, days, last)], columns=["learner_id", "topic", "level", "proficient_days", "seen"])
+
+
+def mastery_stream(answers: DataFrame, late: str = "1 day") -> DataFrame:
+    """Mastery of each learner and topic as answers come; a session is a day in UTC, and levels never fall."""
+    return _fresh(answers, late).groupBy("learner_id", "topic").applyInPandasWithState(_level, LEVELS, LEVEL_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def late_events(events: DataFrame, late: str, key: list[str]) -> DataFrame:
+    """Of stored events (with ``taken_at``, when each came) those that came behind the watermark, which all that came before it had set: what a stream left to the batch form.
+    ``key`` names what else to keep."""
+    from pyspark.sql import Window
+
+    # days bound the sort: the highest time of all earlier days is one row each
+    day = F.to_date("taken_at")
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    tops = events.groupBy(day.alias("_day")).agg(F.max("at").alias("_top")).select("_day", F.max("_top").over(before).alias("_earlier"))
+    within = Window.partitionBy("_day").orderBy("taken_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("_day", day).withColumn("_inday", F.max("at").over(within)).join(F.broadcast(tops), "_day")
+    mark = F.greatest("_earlier", "_inday") - F.expr(f"INTERVAL {late}")
+    return rows.filter(F.col("at") < mark).select(*key, "event_id", "at", "taken_at")
 
 
 def week_stream(answers: DataFrame, late: str = "1 day") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from abacusloom.functions import scalars
-from abacusloom.operators import compose, ledger, plan, quality, state, stats
+from abacusloom.operators import compose, learner, ledger, plan, quality, state, stats
 from abacusloom.sources import banks
 from abacusloom.streaming import cards
 
@@ -77,17 +77,83 @@ def test_card_goldens(spark, ratings, want):
         assert got["due"] == dt.datetime(2026, 1, 2, 0, 10)
 
 
-def test_card_stream_equals_batch(spark, tmp_path):
-    rows = [(k % 7, k % 5, k, dt.datetime(2026, 1, 1) + dt.timedelta(hours=k), ("again", "hard", "good", "easy")[k * k % 4]) for k in range(200)]
-    schema = "learner_id long, card_id long, event_id long, at timestamp, rating string"
-    for n in range(4):
-        spark.createDataFrame(rows[n * 50 : n * 50 + 55], schema).write.mode("append").parquet(str(tmp_path / "in"))
+def streamed(spark, tmp_path, rows, schema, name, run):
+    """All rows that a stream over files of the rows (some delivered twice) has written in update mode."""
+    step = max(1, len(rows) // 4)
+    for n in range(0, len(rows), step):
+        spark.createDataFrame(rows[n : n + step + 5], schema).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
-    query = cards.card_stream(source, "30 days").writeStream.outputMode("update").format("memory").queryName("cards").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    query = run(source).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    last = spark.sql("SELECT learner_id, card_id, max_by(struct(ivl, ease, reps), reps) AS s FROM cards GROUP BY 1, 2").collect()
-    want = {(r["learner_id"], r["card_id"]): (round(r["ivl"], 4), round(r["ease"], 4), r["reps"]) for r in state.card_state(spark.createDataFrame(rows, schema)).collect()}
+    return spark.table(name)
+
+
+@pytest.mark.parametrize("exam", [None, "2026-01-20 00:00:00"])
+def test_card_stream_equals_batch(spark, tmp_path, exam):
+    rows = [(k % 7, k % 5, k, dt.datetime(2026, 1, 1) + dt.timedelta(hours=k), ("again", "hard", "good", "easy")[k * k % 4]) for k in range(200)]
+    schema = "learner_id long, card_id long, event_id long, at timestamp, rating string"
+    found = streamed(spark, tmp_path, rows, schema, f"cards_{bool(exam)}", lambda s: cards.card_stream(s, "30 days", exam))
+    last = found.groupBy("learner_id", "card_id").agg(F.max_by(F.struct("ivl", "ease", "reps", "due"), "reps").alias("s")).collect()
+    batch = state.card_state(spark.createDataFrame(rows, schema), exam).collect()
+    want = {(r["learner_id"], r["card_id"]): (round(r["ivl"], 4), round(r["ease"], 4), r["reps"]) for r in batch}
     assert {(r[0], r[1]): (round(r[2][0], 4), round(r[2][1], 4), r[2][2]) for r in last} == want
+    if exam:
+        assert max(r["ivl"] for r in batch) <= 20
+
+
+ANSWERS = [(k % 3, k * 7 % 11, k, dt.datetime(2026, 1, 1) + dt.timedelta(hours=5 * k), k * k % 3 > 0, (True, False, None)[k % 3], f"t{k % 2}") for k in range(240)]
+ANSWER = "learner_id long, question_id long, event_id long, at timestamp, correct boolean, sure boolean, topic string"
+
+
+def test_notebook_stream_equals_batch(spark, tmp_path):
+    found = streamed(spark, tmp_path, ANSWERS, ANSWER, "notebook", lambda s: cards.notebook_stream(s, "90 days"))
+    last = found.groupBy("learner_id", "question_id").agg(F.max_by(F.struct("open", "first_at", "last_at", "reps", "sure"), "seen").alias("s")).filter("s.open").collect()
+    batch = learner.notebook(spark.createDataFrame(ANSWERS, ANSWER), F.lit(3)).collect()
+    assert {(r[0], r[1]): tuple(r[2])[1:] for r in last} == {(r["learner_id"], r["question_id"]): (r["first_at"], r["last_at"], r["reps"], r["sure"]) for r in batch} and batch
+    whole = state.capped_notebook(spark.createDataFrame(ANSWERS, ANSWER)).collect()
+    assert {(r["learner_id"], r["question_id"], r["reps"], r["sure"]) for r in whole} == {(r["learner_id"], r["question_id"], r["reps"], r["sure"]) for r in batch}
+
+
+def test_capped_notebook_against_a_loop(spark):
+    books = {}
+    for who, question, _, at, correct, _, _ in ANSWERS:
+        book = books.setdefault(who, [])
+        if correct and question in book:
+            book.remove(question)
+        elif not correct and question not in book:
+            book.append(question)
+            del book[:-2]
+    got = state.capped_notebook(spark.createDataFrame(ANSWERS, ANSWER), most=2).collect()
+    assert {(r["learner_id"], r["question_id"]) for r in got} == {(w, q) for w, book in books.items() for q in book}
+
+
+def test_mastery_stream_equals_batch(spark, tmp_path):
+    rows = [(*r[:4], r[4] or r[2] % 4 > 0, *r[5:]) for r in ANSWERS]
+    rows = [(w, q, e, dt.datetime(2026, 1, 1) + dt.timedelta(minutes=20 * e), c, s, t) for w, q, e, _, c, s, t in rows] + [(w, q, e + 1_000, dt.datetime(2026, 1, 5) + dt.timedelta(hours=e), c, s, t) for w, q, e, _, c, s, t in rows]
+    found = streamed(spark, tmp_path, rows, ANSWER, "mastery", lambda s: cards.mastery_stream(s, "90 days"))
+    last = found.groupBy("learner_id", "topic").agg(F.max_by(F.struct("level", "proficient_days"), "seen").alias("s")).collect()
+    batch = learner.mastery(learner.session_levels(spark.createDataFrame(rows, ANSWER), [F.to_date("at")])).collect()
+    assert {(r[0], r[1]): tuple(r[2]) for r in last} == {(r["learner_id"], r["topic"]): (r["level"], r["proficient_days"]) for r in batch}
+    assert {r["level"] for r in batch} & {2, 3}
+
+
+def test_week_and_session_streams(spark, tmp_path):
+    rows = [r for r in ANSWERS if not 40 <= r[2] % 90 < 64]  # gaps of more than four days
+    found = streamed(spark, tmp_path, rows, ANSWER, "weeks", lambda s: cards.week_stream(s.dropDuplicates(["event_id"]), "90 days"))
+    weeks = {(r[0], r[1]): tuple(r[2]) for r in found.groupBy("learner_id", "window.end").agg(F.max_by(F.struct("attempted", "correct"), "attempted")).collect()}
+    for (who, end), counts in weeks.items():
+        inside = [r for r in rows if r[0] == who and end - dt.timedelta(days=7) <= r[3] < end]
+        assert counts == (len(inside), sum(r[4] for r in inside))
+    spans = cards.activity_sessions(spark.createDataFrame(rows, ANSWER)).groupBy("learner_id").agg((F.count("*") - 1).alias("returns")).collect()
+    batch = learner.returns_after_gap(spark.createDataFrame(rows, ANSWER), days=4).groupBy("learner_id").count().collect()
+    assert {r[0]: r[1] for r in spans} == {r[0]: r[1] for r in batch} and batch
+
+
+def test_late_events_lie_behind_the_watermark(spark):
+    at = lambda d, h=0: dt.datetime(2026, 1, d, h)
+    rows = [(1, at(1), at(1)), (2, at(5), at(5)), (3, at(2), at(6)), (4, at(4, 12), at(6, 1)), (5, at(1), at(5, 1)), (6, at(6), at(7))]
+    got = cards.late_events(spark.createDataFrame(rows, "event_id long, at timestamp, taken_at timestamp"), "2 days", []).collect()
+    assert {r["event_id"] for r in got} == {3, 5}
 
 
 def test_waterfall_never_exceeds_the_surplus(spark):
@@ -210,7 +276,7 @@ def test_plan_covers_every_day(spark):
     requests = spark.createDataFrame([(1, dt.date(2026, 1, 5), dt.date(2026, 5, 3)), (2, dt.date(2026, 5, 3), dt.date(2026, 5, 3))], "plan_id int, start_date date, exam_date date")
     days = plan.day_kinds(plan.runway(requests)).collect()
     assert {r["plan_id"] for r in days} == {1} and len(days) == 118 and all(r["kind"] for r in days)
-    assert [r["kind"] for r in days if r["date"] == dt.date(2026, 5, 2)] == ["eve"]
+    assert [r["kind"] for r in days if r["date"] == dt.date(2026, 5, 2)] == ["gap"]
 
 
 def test_moving_average_gathers_no_array(spark):

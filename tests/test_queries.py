@@ -15,6 +15,9 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, con, sf_dir, name):
     assert compare.compare(spark, con, sf_dir, QUERIES[name], ORACLES[name]) == ""
+    df = QUERIES[name](spark, sf_dir)
+    found = df.agg(F.count("*"), *(F.count(F.col(f"`{c}`")) for c in df.columns)).first()
+    assert found[0] and all(found), "no rows, or a column of nulls only"
 
 
 def test_every_sql_has_its_query():
@@ -74,3 +77,19 @@ def test_mixed_set_rules(spark, sf_dir):
         piles = {c: sum(x[1] == c for x in own) for c in r["c"]}
         for (_, a, *_), (_, b, *_) in zip(own, own[1:]):
             assert a != b or piles[a] > 1
+
+
+def test_composed_papers_fit_and_are_greedy(spark, sf_dir):
+    from abacusloom.plans import content
+
+    made = {}
+    for r in content.composed(spark, sf_dir).collect():
+        made.setdefault(r["request_id"], {}).setdefault(r["part"], []).append((r["unit"], r["marks"]))
+    assert made
+    for parts in made.values():
+        for part, room in ((1, 30), (2, 70)):
+            units = parts.get(part, [])
+            assert sum(m for _, m in units) <= room and len({u for u, _ in units}) == len(units)
+    lack = QUERIES["composed_papers"](spark, sf_dir).collect()
+    assert len(lack) == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert all(r["missing_choice"] == 30 - sum(m for _, m in made.get(r["request_id"], {}).get(1, [])) for r in lack)
