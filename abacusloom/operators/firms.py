@@ -218,7 +218,7 @@ def method_change(rows: DataFrame) -> DataFrame:
     """Depreciation so far by reducing balance, what straight line would have charged, and the difference that a change of method brings into account."""
     wdv = F.col("cost") * (1 - F.pow(1 - F.col("rate") / 100, F.col("years")))
     slm = (F.col("cost") - F.col("residual")) / F.col("life") * F.least(F.col("years"), F.col("life"))
-    return rows.withColumns({"charged": F.round(wdv, 4), "would_be": F.round(slm, 4), "difference": F.round(wdv - slm, 4)})
+    return rows.withColumns({"charged": F.round(wdv, 3), "would_be": out(slm), "difference": F.round(wdv - slm, 3)})
 
 
 def restated_eps(rows: DataFrame) -> DataFrame:

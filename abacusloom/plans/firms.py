@@ -287,7 +287,7 @@ def asset_disposal(spark, sf_dir):
     return op.asset_disposal(_assets(spark, sf_dir)).select("asset", "first_year", "by_use", "gain", "loss")
 
 
-@query(f"""WITH {ASSET}, c AS (SELECT asset, cost * (1 - pow(1 - rate / 100, years)) AS w, (cost - residual) / life * least(years, life) AS s FROM ast) SELECT asset, round(w, 4) AS charged, round(s, 4) AS would_be, round(w - s, 4) AS difference FROM c""")
+@query(f"""WITH {ASSET}, c AS (SELECT asset, cost * (1 - pow(1 - rate / 100, years)) AS w, (cost - residual) / life * least(years, life) AS s FROM ast) SELECT asset, round(w, 3) AS charged, round(s, 6) AS would_be, round(w - s, 3) AS difference FROM c""")
 def method_change(spark, sf_dir):
     return op.method_change(_assets(spark, sf_dir)).select("asset", "charged", "would_be", "difference")
 
