@@ -28,14 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, table
+from .common import give_back, shuffle_partitions, small_batches, table, take_over
 from .linking import link_by_bands
 
 PERIOD = 512  # the random bits repeat after so many steps
 DENSE = 128  # every step below this one is sampled
 PER_OCTAVE = 64
 OCTAVES = 34
-BANDS, BAND_WIDTH = 8, 8
+BANDS, BAND_WIDTH = 24, 6  # at likeness 0.8 symbols agree with 0.8125: a pair is missed with (1 - 0.8125 ** 6) ** 24 < 0.0004
+SHORTEST = 8  # steps of a walk that is banded
 CHANCE = 1 / 16  # that two unlike symbols agree
 SEED = 20_240
 
@@ -125,20 +126,25 @@ def likeness(a: str, b: str) -> float:
     return float(max(0.0, (total / weight - CHANCE) / (1 - CHANCE)))
 
 
+@lru_cache(OCTAVES + 8)
+def _places(octave: int) -> np.ndarray:
+    """The sampled symbols of each band of the first 2**octave steps, spread over them evenly."""
+    rng = np.random.Generator(np.random.PCG64(SEED + octave))
+    samples, steps = _walk()[2], 1 << octave
+    drawn = np.stack([np.sort(rng.choice(steps, BAND_WIDTH, replace=False, shuffle=False)) for _ in range(BANDS)])
+    return np.minimum(np.searchsorted(samples, drawn), np.searchsorted(samples, steps) - 1)
+
+
 def bands(value: str) -> list[str]:
-    """Keys of sampled symbols, from the last two octaves that the walk fills: texts whose lengths differ by
-    less than half share an octave. Short walks give one key, their whole fingerprint."""
+    """Keys of sampled symbols, from the steps below the last two powers of two that the walk fills: texts of which one is less
+    than twice as long as the other share one of these. Walks of fewer than ``SHORTEST`` steps give one key, their whole fingerprint."""
     length, symbols = value.split("-", 1)
-    if int(length, 16) < 2 * DENSE:
+    steps = int(length, 16)
+    if steps < SHORTEST:
         return [value]
-    _, _, samples, edges = _walk()
-    full = bisect_right([DENSE << i for i in range(OCTAVES)], int(length, 16)) - 1
-    out = []
-    for octave in range(max(1, full - 1), full + 1):
-        for band in range(BANDS):
-            at = edges[octave] + band * BAND_WIDTH
-            out.append(f"{octave}:{band}:{symbols[at : at + BAND_WIDTH]}")
-    return out
+    seen, full = np.frombuffer(symbols.encode(), np.uint8), steps.bit_length() - 1
+    octaves = range(max(SHORTEST.bit_length() - 1, full - 1), full + 1)
+    return [f"{octave}:{band}:{key.tobytes().decode()}" for octave in octaves for band, key in enumerate(seen[_places(octave)])]
 
 
 def band_hits(a: str, b: str) -> int:
@@ -165,6 +171,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", ke
 
     Equal fingerprints form one class first, however many they are; their representatives meet in bands and
     are linked where their likeness reaches ``threshold``. Empty texts form one class; an empty table gives none."""
+    small_batches(docs.sparkSession)
     prints = docs.select(F.col(key).alias("id"), fingerprint_of(F.coalesce(F.col(text), F.lit(""))).alias("content"))
 
     def verify(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -224,6 +231,7 @@ def with_edited(docs: DataFrame, text: str = "text", key: str = "doc_id", rows:
                 yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("fingerprints")
         out: list[tuple] = []
         held: tuple | None = None
         for key_, text_, ahead, bucket in rows_of(batches):
@@ -241,7 +249,9 @@ def with_edited(docs: DataFrame, text: str = "text", key: str = "doc_id", rows:
             held = None if ahead else (bucket, key_, text_, walk, value)
         if out:
             yield _batch(out)
+        give_back()
 
+    small_batches(spark)
     return dealt.mapInArrow(pairs, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_band_hits int").withColumnRenamed("id", key)
 
 
@@ -252,4 +262,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and how like they are to it and to the next document's."""
     return with_edited(table(spark, sf_dir, "documents"))
+
+
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of like fingerprints: those that meet in a band and agree for four fifths."""
+    return near_classes(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from .bpe import op9_bpe
 from .exact_dedup import OP3_SQL, op3_exact_dedup
-from .fingerprints import op1_fingerprints
+from .fingerprints import fingerprint_classes, op1_fingerprints
 from .language_id import op5_language_id
 from .license_scan import op8_license_scan
 from .line_dedup import op10_line_dedup
@@ -13,6 +13,6 @@ from .url_filter import op2_url_filter
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_url_filter, op3_exact_dedup, op4_packing, op5_language_id, op6_near_dedup, op7_quality, op8_license_scan, op9_bpe, op10_line_dedup)
+    for f in (op1_fingerprints, fingerprint_classes, op2_url_filter, op3_exact_dedup, op4_packing, op5_language_id, op6_near_dedup, op7_quality, op8_license_scan, op9_bpe, op10_line_dedup)
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}
