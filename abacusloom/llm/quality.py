@@ -4,23 +4,25 @@ The difference of the two compressed sizes, over their sum, is calibrated to a p
 curve that is fitted to a second bounded sample of labelled rows. A text of one word over and over is small under
 any dictionary, so the share of its bytes that the good dictionary leaves joins the curve as a second term.
 
-Null and empty texts score as the fitted curve's value of a text that neither dictionary shortens. Without labels of both
-kinds every score is the share of good labels (1 without any).
+Null and empty texts score as the fitted curve's value of a text that neither dictionary shortens. Rows that occur twice are
+judged alike. Without labels of both kinds every score is the share of good labels (1 without any); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
-from .compression import dictionary, sizes
+from .common import fold, give_back, small_batches, table, take_over
+from .compression import Sizer, dictionary, drawn, halves, passages
 
-SAMPLE_ROWS = 1_200  # labelled documents of each kind, at most about so many; half for the dictionaries
+SAMPLE_ROWS = 1_200  # labelled documents of each kind, at most about so many: half give a passage each, half are judged whole for the curve
 PASSAGE_CHARS = 2_000
 DICTIONARY_BYTES = 262_144
 ACCEPT = 0.3
@@ -34,33 +36,45 @@ class Model:
     constant: float = 1.0
 
 
-def features(text: str | None, good: bytes, bad: bytes) -> list[float]:
+def features(text: str | None, sizer: Sizer) -> list[float]:
     raw = (text or "").encode("utf-8", "replace")
-    a, b = sizes(raw, [good, bad])
+    a, b = sizer.sizes(raw)
     difference = (b - a) / (a + b) if a + b else 0.0
     left = min(1.0, a / len(raw)) if raw else 0.5
     return [1.0, difference * 10, difference * min(1.0, len(raw) / 400) * 10, left * 4]
 
 
+def _features(text: str, dictionaries: list[bytes]) -> Column:
+    @F.pandas_udf("array<double>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        take_over("quality")
+        sizer = Sizer(dictionaries)
+        for texts in batches:
+            yield texts.map(lambda x: features(x, sizer))
+
+    return found(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id") -> Model:
     """Dictionaries and curve from labels drawn by a hash of their key, so few that they are broadcast and no text is
     shuffled to meet them; the bounds above are the sample."""
+    small_batches(docs.sparkSession)
     labels = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
     counts = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}
     if len(counts) < 2:
         return Model(constant=1.0 if 1 in counts or not counts else 0.0)
-    draw = F.xxhash64(F.col("_key").cast("string"))
-    share = F.when(F.col("_label") == 1, min(1.0, SAMPLE_ROWS / counts[1])).otherwise(min(1.0, SAMPLE_ROWS / counts[0]))
-    drawn = F.broadcast(labels.withColumn("_draw", draw).filter(F.pmod("_draw", F.lit(1_000_000)) / 1_000_000 < share))
-    passage = F.substring(F.coalesce(F.col(text), F.lit("")), 1, PASSAGE_CHARS).alias("_passage")
-    rows = sorted(docs.select(key, passage).join(drawn, F.col(key) == F.col("_key")).select("_label", "_draw", "_passage").collect())
-    kinds = {k: [r[2] for r in rows if r[0] == k] for k in (0, 1)}
-    good, bad = (dictionary(kinds[k][::2], DICTIONARY_BYTES) for k in (1, 0))
-    rest = [(k, p) for k in (0, 1) for p in kinds[k][1::2]]
-    if not good or not bad or not rest:
+    few = F.broadcast(drawn(labels, "_label", "_key", counts, SAMPLE_ROWS))
+    texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_words")).join(few, F.col("_id") == F.col("_key"))
+    told, rest = halves(texts, "_id")
+    kinds: dict[int, list[str]] = {0: [], 1: []}
+    for r in sorted(passages(told, "_label", "_words", "_id", PASSAGE_CHARS).collect()):
+        kinds[r[0]].append(r[2])
+    good, bad = (dictionary(kinds[k], DICTIONARY_BYTES) for k in (1, 0))
+    judged = sorted(rest.select("_label", _features("_words", [good, bad]).alias("x")).collect()) if good and bad else []
+    if not judged:
         return Model(constant=counts[1] / (counts[0] + counts[1]))
-    x = np.array([features(p, good, bad) for _, p in rest])
-    y = np.array([k for k, _ in rest], float)
+    x = np.array([r[1] for r in judged])
+    y = np.array([r[0] for r in judged], float)
     prior = np.where(y == 1, counts[1] / max(1, y.sum()), counts[0] / max(1, len(y) - y.sum()))
     return Model(good, bad, list(_logistic(x, y, prior / prior.mean())))
 
@@ -77,25 +91,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
-def score_one(text: str | None, model: Model) -> float:
+def score_one(text: str | None, model: Model, sizer: Sizer) -> float:
     if not model.good:
         return model.constant
-    return float(1 / (1 + np.exp(-np.clip(np.dot(features(text, model.good, model.bad), model.weights), -30, 30))))
+    return float(1 / (1 + np.exp(-np.clip(np.dot(features(text, sizer), model.weights), -30, 30))))
 
 
 def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 from ``ACCEPT`` on); columns of these names are replaced."""
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([score_one(x if isinstance(x, str) else None, model) for x in texts], dtype=float)
-
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        take_over("quality")
+        sizer = Sizer([model.good, model.bad] if model.good else [])
+        for texts in batches:
+            yield pd.Series([score_one(x if isinstance(x, str) else None, model, sizer) for x in texts], dtype=float)
+        give_back()
+
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     rows = docs.withColumn("score", scored(text))
     return rows.withColumn("predicted", F.when(F.col("score") >= ACCEPT, 1).otherwise(0))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from labels of the rows that aren't held out. Null texts score as empty ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
     return judge(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
