@@ -118,7 +118,8 @@ def ratio(rows: DataFrame, model: DataFrame, url: str, keys: Sequence[str]) -> D
 def filter_urls(pages: DataFrame, labelled: DataFrame, url: str = "url", accepted: str = "accepted") -> DataFrame:
     """``pages`` with ``ratio`` (log-likelihood difference a character) and ``reject_probability``, one row per row.
 
-    Distinct URLs are scored once. One labelled URL of five, by a hash of it, is held back and calibrates."""
+    Columns of these names are replaced. Rows that occur twice are judged alike; an empty table gives an empty result. Distinct URLs are scored once. One labelled URL of five, by a hash of it, is held back and calibrates."""
+    pages = pages.drop("ratio", "reject_probability", "_h1", "_h2", "_chars", "_sum", "_url")
     known = labelled.filter(F.col(url).isNotNull() & (F.col(url) != "") & F.col(accepted).isNotNull())
     held = F.crc32(url) % 5 == 0
     model = learn(known.filter(~held), url, accepted)
@@ -148,6 +149,7 @@ def _calibrated(stats: dict[bool, tuple]) -> tuple[float, float]:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL with its host, path, rule and verdict."""
     pages = with_rule(table(spark, sf_dir, "pages").select("page_id", "url"))
     labelled = pages.select("url", (F.col("rule_verdict") == "allow").alias("accepted"))
     judged = filter_urls(pages, labelled)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -74,6 +75,48 @@ def test_walk_matches_step_by_step_definition():
     assert fingerprints.likeness("0-", "0-") == 1.0 and fingerprints.likeness("0-", walk.fingerprint()) == 0.0
 
 
+def test_fingerprints_against_a_walk_of_single_steps(spark, sf_dir):
+    moves = np.random.Generator(np.random.PCG64(fingerprints.SEED)).integers(0, 2, (256, fingerprints.PERIOD)).astype(bool)
+    moves[:, 0] = True  # the walk can't stay on a character for ever
+    _, symbols, samples, _ = fingerprints._walk()
+
+    def walked(text):
+        step, seen = 0, []
+        for c in text:
+            code = ord(c)
+            kind = (code ^ code >> 8 ^ code >> 16) & 255
+            while True:
+                seen.append(kind)
+                step += 1
+                if moves[kind][(step - 1) % fingerprints.PERIOD]:
+                    break
+        return f"{step:x}-" + "".join(chr(symbols[seen[j]]) for j in samples if j < step) if text else "0-"
+
+    rows = fingerprints.with_edited(documents(spark, sf_dir)).select("doc_id", "fingerprint").collect()
+    texts = texts_of(documents(spark, sf_dir))
+    assert all(r["fingerprint"] == walked(texts[r["doc_id"]]) for r in rows if len(texts[r["doc_id"]]) < 4_000)
+
+
+def test_fingerprint_bands_against_all_pairs(spark, sf_dir):
+    rnd = random.Random(9)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    changed = []
+    for i, t in sorted(texts_of(docs).items()):
+        for n, size in enumerate((15, 40, 100, 250, len(t))):
+            x = list(t[:size])
+            if len(x) > 10:
+                changed.append((1_000 * (2 * n + 1) + i, "".join(x)))
+                x[rnd.randrange(len(x))] = "q"
+                changed.append((1_000 * (2 * n + 2) + i, "".join(x)))
+    docs = docs.unionByName(spark.createDataFrame(changed, "doc_id long, text string"))
+    prints = {i: fingerprints.fingerprint(t) for i, t in texts_of(docs).items()}
+    ids = sorted(prints)
+    length = {i: int(p.split("-")[0], 16) for i, p in prints.items()}
+    near = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if 0.75 * length[a] <= length[b] <= length[a] / 0.75 and fingerprints.likeness(prints[a], prints[b]) >= 0.8]
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_classes(docs).collect()}
+    assert len(near) > 300 and np.mean([got[a] == got[b] for a, b in near]) > 0.995
+
+
 def test_fingerprint_classes(spark):
     rnd = random.Random(5)
     base = [" ".join("".join(rnd.choices("etaoinshr", k=rnd.randrange(2, 9))) for _ in range(300)) for _ in range(6)]
@@ -92,6 +135,12 @@ def test_exact_dedup_against_brute_force(spark, sf_dir):
     assert got == want
 
 
+def test_exact_dedup_keeps_one_of_rows_that_repeat(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (2, "a b"), (3, "c"), (3, "c"), (None, "d"), (None, "d"), (5, "e")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and Counter(r["keep_id"] for r in got if r["kept"]) == Counter([1, 3, None, 5])
+
+
 def test_exact_dedup_survives_a_full_filter(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(exact_dedup, "MAX_BLOCKS", 1)
     monkeypatch.setattr(exact_dedup, "BLOCK_BITS", 64)
@@ -238,6 +287,53 @@ def test_language_id_on_held_out_documents(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_size(data, content):
+    import zstandard
+
+    from abacusloom.llm import compression
+
+    settings = zstandard.ZstdCompressionParameters.from_level(compression.LEVEL, min_match=compression.SHORTEST, write_content_size=0, write_checksum=0, write_dict_id=0)
+    size = lambda b, d: len(zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress(b))
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return sum(size(data[i : i + compression.BLOCK], held) - size(b"", None) for i in range(0, len(data), compression.BLOCK))
+
+
+def test_language_id_against_plain_compression(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = language_id.learn(docs)
+    for r in language_id.identify(docs, model).limit(60).collect():
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert r["lang_pred"] == "und" and r["rejected"]
+            continue
+        data = " ".join(re.split(r"[\W\d_]+", r["text"].lower())).encode()
+        found = sorted((plain_size(data, d), k) for k, d in model.dictionaries.items())
+        assert r["lang_pred"] == found[0][1] and r["margin"] == pytest.approx((found[1][0] - found[0][0]) / found[1][0])
+
+
+def test_language_id_rejects_ties_and_what_it_never_learnt(spark):
+    rnd = random.Random(3)
+    words = {k: ["".join(rnd.choices(letters, k=rnd.randrange(3, 9))) for _ in range(300)] for k, letters in (("aa", "abcdefg"), ("bb", "hijklmn"), ("cc", "opqrstu"))}
+    text = lambda k, n=120: " ".join(rnd.choices(words[k], k=n))
+    rows = [(i, text(k), k) for i, k in enumerate(["aa", "bb"] * 200)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(labelled)
+    asked = [(0, text("aa")), (1, text("bb")), (2, text("cc")), (3, "xyz vwx"), (4, "..."), (5, None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got == {0: ("aa", False), 1: ("bb", False), 2: (got[2][0], True), 3: ("aa", True), 4: ("und", True), 5: ("und", True)}
+    assert language_id.identify(labelled, model).filter("rejected").count() <= 0.02 * len(rows)
+
+
+def test_quality_against_plain_compression(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    for r in quality.judge(docs, model).limit(40).collect():
+        raw = (r["text"] or "").encode()
+        a, b = plain_size(raw, model.good), plain_size(raw, model.bad)
+        d = (b - a) / (a + b) if a + b else 0.0
+        x = np.dot([1.0, d * 10, d * min(1.0, len(raw) / 400) * 10, (min(1.0, a / len(raw)) if raw else 0.5) * 4], model.weights)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(x, -30, 30))), abs=1e-9) and r["predicted"] == (r["score"] >= 0.3)
+
+
 def test_quality_on_held_out_labels(spark, sf_dir):
     rows = quality.op7_quality(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").filter("held_out").collect()
     good, bad = ([r for r in rows if r["quality"] == k] for k in (1, 0))
@@ -359,11 +455,14 @@ def test_url_model_keeps_its_strings_however_large_the_table(spark, monkeypatch)
 
 
 def test_url_method_separates_held_back_urls(spark, sf_dir):
-    rows = url_filter.op2_url_filter(spark, sf_dir).collect()
-    assert len(rows) == table(spark, sf_dir, "pages").count()
-    judged = [(r["verdict"], r["ratio"]) for r in rows if r["rule"]]
-    good, bad = ([x for v, x in judged if v == k] for k in ("allow", "block"))
-    assert np.mean([g > b for g in good for b in bad]) > 0.95
+    assert url_filter.op2_url_filter(spark, sf_dir).count() == table(spark, sf_dir, "pages").count()
+    pages = table(spark, str(Path(sf_dir).parent / "sf0.01"), "pages")  # some hundred URLs that a rule decides
+    ruled = url_filter.with_rule(pages.select("page_id", "url")).filter("rule IS NOT NULL").withColumn("accepted", F.col("rule_verdict") == "allow")
+    unseen = F.crc32(F.reverse("url")) % 4 == 0
+    rows = url_filter.filter_urls(ruled.filter(unseen), ruled.filter(~unseen)).collect()  # neither the models nor the calibration saw these
+    good, bad = ([r["ratio"] for r in rows if r["accepted"] == k] for k in (True, False))
+    assert good and bad and np.mean([g > b for g in good for b in bad]) > 0.95
+    assert np.mean([(r["reject_probability"] > 0.5) != r["accepted"] for r in rows]) > 0.9
 
 
 def brute_lines(texts, min_docs):
@@ -387,11 +486,13 @@ def brute_lines(texts, min_docs):
         for line in lines:
             for i, w in enumerate(tokens(line)):
                 share[i, w] += len(seen[line])
+        every = len(set().union(*(seen[x] for x in lines)))
         templates = defaultdict(set)
-        for line in lines:
-            t = tuple(w if share[i, w] >= min_docs and mask(w) == w else "<*>" for i, w in enumerate(tokens(line)))
-            if sum(w != "<*>" for w in t) >= n / 2:
-                templates[t].add(line)
+        for level in line_dedup.LEVELS:
+            for line in lines:
+                t = tuple(w if share[i, w] >= min_docs and share[i, w] >= level * every and mask(w) == w else "<*>" for i, w in enumerate(tokens(line)))
+                if sum(w != "<*>" for w in t) >= n / 2:
+                    templates[t].add(line)
         for group in templates.values():
             if len(set().union(*(seen[x] for x in group))) >= min_docs:
                 drop |= group
@@ -406,6 +507,15 @@ def test_line_dedup_against_brute_force(spark, sf_dir):
     assert all("printed" not in got[90_000 + i] for i in range(6))
 
 
+@pytest.mark.parametrize("names", [4, 40, 400])
+def test_line_templates_keep_their_fields_at_any_size(spark, names):
+    rnd = random.Random(7)
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(i, f"From the desk of {name(rnd.randrange(names))} in {name(rnd.randrange(names))} city written by hand\nw{name(i)} q{name(i * 7)} z{name(i * 3)} {name(i)}") for i in range(names * 8)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert np.mean(["From the desk" not in r["clean_text"] for r in got]) > 0.99 and np.mean([r["n_dropped"] for r in got]) < 1.05
+
+
 OPERATORS = {
     "fingerprints": fingerprints.with_edited,
     "fingerprint classes": fingerprints.near_classes,
@@ -457,3 +567,30 @@ def test_pipeline_stages(spark, sf_dir):
     assert not [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if similarity(texts[a], texts[b]) >= 0.8]
     assert docs.count() > 0.6 * documents(spark, sf_dir).count()
     assert {r[0] for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().collect()} == set(ids)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    clash = documents(spark, sf_dir).limit(60).select("doc_id", "text", "lang", F.lit("own").alias("row"), F.lit("own").alias("hash"), F.lit(1.5).alias("score"), F.lit(False).alias("kept"), F.lit("own").alias("place"))
+    docs = clash.unionByName(clash).unionByName(odd(spark).select("doc_id", "text", "lang", F.lit("own").alias("row"), F.lit("own").alias("hash"), "score", "kept", F.lit("own").alias("place")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.dtypes == docs.dtypes, name
+        rows = kept.collect()
+        assert rows and all(r["row"] == r["hash"] == r["place"] == "own" for r in rows), name
+        assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert len({r["text"] for r in docs.collect()}) == docs.count()
+    assert corpus_pipeline.packed(spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_near_stage_tells_rows_of_one_id_apart(spark, sf_dir):
+    import corpus_pipeline
+
+    rnd = random.Random(1)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    a, b = text(), text()
+    rows = spark.createDataFrame([(1, a), (2, b), (2, a + " more")], "doc_id long, text string")
+    kept = [r["text"] for r in corpus_pipeline.distinct(spark, rows, sf_dir).collect()]
+    assert b in kept and len(kept) == 2
