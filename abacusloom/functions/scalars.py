@@ -108,7 +108,7 @@ def table_rows(text: Column) -> Column:
     set the alignment and are left out."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|"))
     cells = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.substring(x, 2, 1 << 30), r"\|$", ""), r"\|"), lambda c: F.trim(c)))
-    return F.filter(cells, lambda row: F.exists(row, lambda c: ~c.rlike("^:?-+:?$")))
+    return F.filter(cells, lambda row: F.exists(row, lambda c: ~c.rlike("^[-:]+$")))
 
 
 def paper_number(text: Column) -> Column:

@@ -272,6 +272,50 @@ def test_same_rows_for_any_partitioning(spark, sf_dir):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_every_bank_file_comes_out_on_one_side(spark, tmp_path):
+    files = {"good.json": {"questions": [{"id": "q1", "marks": 2}]}, "typed.json": {"questions": [{"id": "q2", "marks": "two"}]}, "none.json": {"level": "x"}}
+    for name, bank in files.items():
+        (tmp_path / name).write_text(json.dumps(bank))
+    (tmp_path / "cut.json").write_text('{"questions": [')
+    good, broken = banks.read_banks(spark, str(tmp_path))
+    assert [r["path"].rsplit("/")[-1] for r in good.collect()] == ["good.json"]
+    assert sorted(r["path"].rsplit("/")[-1] for r in broken.collect()) == ["cut.json", "typed.json"]
+
+
+def test_appends_and_upgrades(spark, tmp_path):
+    for n in (1, 2):
+        banks.append(spark.createDataFrame([(n,)], "event_id int"), str(tmp_path / "facts"))
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "facts")).collect()) == [1, 2]
+    now = "2026-01-05 00:00:00"
+    old = spark.createDataFrame([(1, None, None), (2, 3, dt.datetime(2026, 1, 1))], "question_id int, reps int, due timestamp")
+    assert [(r["reps"], r["due"]) for r in banks.upgrade_mistakes(old, now).orderBy("question_id").collect()] == [(0, dt.datetime(2026, 1, 5)), (3, dt.datetime(2026, 1, 1))]
+    mastery = spark.createDataFrame([("a", dt.datetime(2026, 1, 2), None), ("b", None, None), ("c", None, [dt.date(2026, 1, 3)])], "topic string, mastered_at timestamp, days array<date>")
+    assert [r["days"] for r in banks.upgrade_mastery(mastery).orderBy("topic").collect()] == [[dt.date(2026, 1, 2)], [], [dt.date(2026, 1, 3)]]
+
+
+def test_plan_phases_and_mocks_by_hand(spark):
+    # Monday, 5 January to the eve of Wednesday, 4 February 2026: four Saturdays and the Wednesday of the third week are buffers
+    requests = spark.createDataFrame([(1, dt.date(2026, 1, 5), dt.date(2026, 2, 4))], "plan_id int, start_date date, exam_date date")
+    days = plan.day_kinds(plan.runway(requests)).orderBy("date").collect()
+    assert [r["date"].day for r in days if r["buffer"]] == [10, 17, 21, 24, 31] and len(days) == 30
+    work = [r for r in days if r["work"]]
+    # 24 work days: 12 for study, 5 (a fifth, rounded) at the end, 7 between; from 21 January on the third revision, but one day at least is the second
+    assert [sum(r["phase"] == p for r in work) for p in ("study", "revision1", "revision2", "revision3")] == [12, 7, 1, 4]
+    # all work days up to the fourth before the exam may be mocks, but for the last two of the third revision: a fifth of 24 is four; three are Sundays, the fourth is 22 days before
+    assert [r["date"].day for r in days if r["mock"]] == [11, 13, 18, 25]
+
+
+def test_tables_front_matter_and_inline_marks(spark):
+    text = "| a | b\n|---|:-:|\n|- x | 2 |\n not | one\n| - | : |"
+    front = "title : 'A b'\nempty:\nlist :\n\n  - x\nlast: "
+    row = one(spark.createDataFrame([(text, front, "<b>On</b> **the** `law` a_b * c")], "t string, f string, h string").select(
+        scalars.table_rows(F.col("t")).alias("t"), scalars.front_value(F.col("f"), "title").alias("v"), scalars.front_value(F.col("f"), "none").alias("n"), *(scalars.has_value(F.col("f"), k).alias(k) for k in ("title", "empty", "list", "last")), scalars.plain_text(F.col("h")).alias("h")
+    ))
+    assert row["t"] == [["a", "b"], ["- x", "2"]]
+    assert (row["v"], row["n"], row["title"], row["list"], row["last"]) == ("A b", None, True, True, False)
+    assert row["h"] == "On the law a_b * c"
+
+
 def test_plan_covers_every_day(spark):
     requests = spark.createDataFrame([(1, dt.date(2026, 1, 5), dt.date(2026, 5, 3)), (2, dt.date(2026, 5, 3), dt.date(2026, 5, 3))], "plan_id int, start_date date, exam_date date")
     days = plan.day_kinds(plan.runway(requests)).collect()
