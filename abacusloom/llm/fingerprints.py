@@ -39,6 +39,7 @@ BANDS, BAND_WIDTH = 24, 6  # at likeness 0.8 symbols agree with 0.8125: a pair i
 SHORTEST = 8  # steps of a walk that is banded
 CHANCE = 1 / 16  # that two unlike symbols agree
 SEED = 20_240
+MOST_BUCKETS, PER_BUCKET = 100_000, 20  # buckets that texts are dealt by, sampled keys for each
 
 
 @lru_cache(1)
@@ -183,11 +184,14 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", ke
 
 
 def _bounds(docs: DataFrame, key: str, rows: int) -> list[int]:
-    """First keys of buckets of about ``rows`` rows in key order: as many as a range partitioner would hold."""
-    n = docs.count()
-    parts = min(max(1, n // rows), 100_000)
-    found = docs.approxQuantile(key, [i / parts for i in range(parts)], 0.1 / parts)
-    return sorted({int(x) for x in found})
+    """First keys of buckets of about ``rows`` rows in key order, but of ``MOST_BUCKETS`` at most: the first key and some of a sample, as a range
+    partitioner takes them. All of them are keys that occur."""
+    n, least = docs.agg(F.count("*"), F.min(key)).first()
+    parts = min(max(1, n // rows), MOST_BUCKETS)
+    share = PER_BUCKET * parts / max(1, n)
+    keys = docs.select(key) if share >= 1 else docs.select(key).sample(share, SEED)
+    drawn = np.sort(keys.toArrow().column(0).to_numpy())
+    return sorted({int(x) for x in drawn[:: max(1, len(drawn) // parts)]} | ({least} if n else set()))
 
 
 def _neighbours(bounds: list[int], key: Column) -> Column:
