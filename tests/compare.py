@@ -53,6 +53,10 @@ def compare(spark, con, sf_dir, run, sql):
     df = run(spark, sf_dir)
     names = sorted(df.columns)
     mine = [tuple(r[c] for c in names) for r in df.collect()]
+    if not mine:
+        return "no rows"
+    if empty := [c for i, c in enumerate(names) if all(r[i] is None for r in mine)]:
+        return f"columns of nulls only: {empty}"
     found = con.execute(sql)
     theirs_names = [d[0] for d in found.description]
     if sorted(theirs_names) != names:
