@@ -27,13 +27,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, table
+from .common import give_back, kept_by_worker, small_batches, table, take_over
 from .words import Key, WordCache, cut_words, slices, text_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 MOST_PAIRS = 200_000  # whose rank is kept, some 25 MB; of others it is looked up again
 
 
+@kept_by_worker
 @lru_cache(2)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -154,6 +155,7 @@ class Replay:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@kept_by_worker
 @lru_cache(2)
 def _replay(path: str, pattern: str) -> Replay:
     return Replay(load_ranks(path), pattern)
@@ -164,6 +166,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("bpe")
         replay = _replay(path, pattern)
         for batch in batches:
             at = 0
@@ -194,6 +197,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("bpe")
         replay = _replay(path, pattern)
         for batch in batches:
             at = 0

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+_held_by: list[str] = []
+_forget: list[Callable[[], None]] = []
+
+
+def kept_by_worker(cached):
+    """An ``lru_cache`` of a reused Python worker that is emptied when a task of another operator begins there."""
+    _forget.append(cached.cache_clear)
+    return cached
+
+
+def take_over(operator: str) -> None:
+    """Called when a task begins: what tasks of other operators left in this worker is freed."""
+    if _held_by != [operator]:
+        for forget in _forget:
+            forget()
+        give_back()
+        _held_by[:] = [operator]
+
+
 def give_back() -> None:
     """Return what a finished task of a reused Python worker no longer needs to the system."""
     gc.collect()

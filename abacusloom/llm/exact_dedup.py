@@ -3,11 +3,12 @@
 The first pass hashes every normalised text to two bits of a filter and keeps the bits that more than
 one row set. In the second pass a row goes to the shuffle only if both of its bits are among them; all
 other rows are unique for certain and pass straight through. False positives cost a shuffle of one row,
-never a wrong result, so the filter may stay within a fixed size whatever the input.
+never a wrong result. The filter grows with the rows: up to ``MAX_BLOCKS`` it is broadcast, beyond it rows meet their block
+of it in a join.
 
 Texts are equal when identical after each run of ASCII white space became one space; null counts as
-empty. Of equal texts the row with the smallest key stays; rows of equal text and equal key are one
-group as well, of which one row stays. Only DataFrame functions are used.
+empty. Of equal texts the row with the smallest key stays, a null key only where the whole group has none; of rows that
+have that key and that text, one stays. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -15,11 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import BLOCK_BITS, MAX_BLOCKS, bit_set, bitmaps, materialise, table
 
-BLOCK_BITS = 32_768  # Spark's bitmap functions build blocks of 4 KB
 BITS_PER_ROW = 32
-MAX_BLOCKS = 8_192  # 32 MB: what each executor may hold
 
 
 def normalised(text: str = "text") -> Column:
@@ -29,19 +28,13 @@ def normalised(text: str = "text") -> Column:
 def repeated_bits(hashes: DataFrame, blocks: int) -> DataFrame:
     """The filter: for each block a bitmap of the bits that rows of ``hashes`` set more than once."""
     bits = hashes.select(F.pmod("hash", F.lit(blocks)).alias("block"), F.explode(F.array_distinct(F.array(_bit(1), _bit(2)))).alias("bit"))
-    often = bits.groupBy("block", "bit").agg(F.count("*").alias("n")).filter("n > 1")
-    return often.groupBy("block").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bitmap"))
+    return bitmaps(bits.groupBy("block", "bit").agg(F.count("*").alias("n")).filter("n > 1"))
 
 
 def _bit(which: int) -> Column:
     return F.pmod(F.shiftrightunsigned("hash", 13 + 16 * which), F.lit(BLOCK_BITS)).cast("long")
 
 
-def _is_set(bit: Column) -> Column:
-    byte = F.conv(F.hex(F.col("bitmap").substr((bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.col("bitmap").isNotNull() & (F.coalesce(byte, F.lit(0)).bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (bit % 8).cast("int") + 1)) > 0)
-
-
 def with_keys(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the 64-bit ``hash`` and the ``text_sha256`` of its normalised text."""
     plain = normalised(text)
@@ -51,28 +44,37 @@ def with_keys(docs: DataFrame, text: str = "text") -> DataFrame:
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``; one row per row of ``docs``.
 
-    Columns of these names (and ``hash``) are replaced. Rows that carry both the text and the smallest key of their group
-    stay alike; a null key stays only where its whole group has none. An empty table gives an empty result."""
-    return dedup_keyed(with_keys(docs.drop("keep_id", "group_size", "kept", "hash"), text), key)
+    Columns of these names (and ``hash``) are replaced. An empty table gives an empty result."""
+    return dedup_keyed(with_keys(docs.drop("keep_id", "group_size", "kept", "hash", "text_sha256"), text), key)
 
 
 def dedup_keyed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The same for rows that have ``hash`` and ``text_sha256`` already. Only rows that may repeat are shuffled: the
     equal ones are counted on the map side first, and a hot group meets its one result row in a join that adaptive
     execution splits."""
-    blocks = max(1, min(MAX_BLOCKS, docs.count() * BITS_PER_ROW // BLOCK_BITS))
-    filled = F.broadcast(repeated_bits(docs.select("hash"), blocks).withColumnRenamed("block", "filter_block"))
-    marked = docs.join(filled, F.pmod("hash", F.lit(blocks)) == F.col("filter_block"), "left")
-    again = _is_set(_bit(1)) & _is_set(_bit(2))
+    docs = docs.drop("keep_id", "group_size", "kept")
+    blocks = max(1, docs.count() * BITS_PER_ROW // BLOCK_BITS)
+    filled = repeated_bits(docs.select("hash"), blocks)
+    marked = docs.join(F.broadcast(filled) if blocks <= MAX_BLOCKS else filled, F.pmod("hash", F.lit(blocks)) == F.col("_block"), "left")
+    again = bit_set("_bitmap", _bit(1)) & bit_set("_bitmap", _bit(2))
     own = [F.col(c) for c in docs.columns if c != "hash"]
     once = marked.filter(~again).select(*own, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     often = marked.filter(again).select(*own)
-    groups = materialise(often.groupBy("text_sha256").agg(F.min(key).alias("keep_id"), F.count("*").alias("group_size")))
-    kept = F.coalesce(F.col(key) == F.col("keep_id"), F.col("keep_id").isNull())
-    return once.unionByName(often.join(groups, "text_sha256").withColumn("kept", kept))
+    keys = often.groupBy("text_sha256", F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    first = F.min(F.struct(F.col("_key").isNull(), "_key", "_n"))
+    groups = keys.groupBy("text_sha256").agg(first.alias("_first"), F.sum("_n").alias("group_size"))
+    groups = materialise(groups.select("text_sha256", F.col("_first._key").alias("keep_id"), F.col("_first._n").alias("_ties"), "group_size"))
+    found = often.join(groups, "text_sha256").withColumn("kept", F.col(key).eqNullSafe(F.col("keep_id")))
+    if not groups.filter("_ties > 1").isEmpty():  # rows of one key and text: one of them stays
+        tied = materialise(found.filter("kept AND _ties > 1").withColumn("_row", F.monotonically_increasing_id()))
+        stays = tied.groupBy("text_sha256").agg(F.min("_row").alias("_stays"))
+        tied = tied.join(stays, "text_sha256").withColumn("kept", F.col("_row") == F.col("_stays")).drop("_row", "_stays")
+        found = found.filter("NOT kept OR _ties = 1").unionByName(tied)
+    return once.unionByName(found.drop("_ties"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its group that stays."""
     keyed = materialise(with_keys(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     return dedup_keyed(keyed).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

@@ -16,13 +16,14 @@ five words is one shingle; null and word-less texts have none, are alike to each
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import give_back, kept_by_worker, materialise, maybe_among, small_batches, table, take_over
 from .linking import in_blocks, link_by_bands
 from .words import slices
 
@@ -31,7 +32,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 18
+KEPT_POWERS = PART_BYTES + 4_096
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 U = np.uint64
@@ -46,17 +48,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            steps = np.full(n + PART_BYTES, base, U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i below n."""
+    found = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        steps = np.full(n, base, U)
+        steps[0] = 1
+        found.append(np.multiply.accumulate(steps))
+    return found[0], found[1]
+
+
+_kept_powers = kept_by_worker(lru_cache(1)(_powers))
 
 
 def word_hashes(data: bytes) -> np.ndarray:
@@ -68,7 +72,7 @@ def word_hashes(data: bytes) -> np.ndarray:
         while to < len(data) and not SPACE[data[to]]:
             to += 1
         part = np.frombuffer(data, np.uint8, to - at, at)
-        power, inverse = _power_tables(len(part) + 1)
+        power, inverse = _kept_powers(KEPT_POWERS) if len(part) < KEPT_POWERS else _powers(len(part) + 1)  # a word may be longer
         gap = np.concatenate([[True], SPACE[part], [True]])
         change = np.flatnonzero(gap[1:] != gap[:-1])
         start, end = change[::2], change[1::2]
@@ -146,6 +150,7 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
+        take_over("near dedup")
         for batch in batches:
             at = 0
             for texts in slices(batch.column(1)):
@@ -159,7 +164,9 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
                 digests = pa.array([blake2b(w.tobytes(), digest_size=16).digest() for w in words], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), digests, pa.array(keys, pa.list_(pa.int64()))], ["id", "content", "bands"])
                 at += len(texts)
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, content binary, bands array<long>")
 
 
@@ -167,13 +174,16 @@ def element_sets(docs: DataFrame) -> DataFrame:
     """``id`` and ``elements`` (32 bits of each) of rows ``id``, ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("near dedup")
         for batch in batches:
             at = 0
             for texts in slices(batch.column(1)):
                 sets = [np.unique((elements(word_hashes(x.lower().encode("utf-8", "surrogatepass"))) >> U(32)).astype(np.uint32)).view(np.int32) for x in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.list_(pa.int32()))], ["id", "elements"])
                 at += len(texts)
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, "id long, elements array<int>")
 
 
@@ -222,8 +232,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "t
     rows = materialise(sketch(docs, text, key))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-        return materialise(element_sets(texts).dropDuplicates(["id"]))
+        """Elements of the texts of some keys; hardly more than those are shuffled."""
+        ids = materialise(ids)
+        texts = maybe_among(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", ids, "_asked")
+        return materialise(element_sets(texts.filter("_asked").drop("_asked").join(ids, "id", "left_semi")).dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -246,4 +258,5 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "t
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies."""
     return near_classes(table(spark, sf_dir, "documents"))

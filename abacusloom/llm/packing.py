@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, materialise, small_batches, table
+from .common import give_back, kept_by_worker, materialise, small_batches, table, take_over
 from .words import Key, WordCache, cut_words, slices, text_of
 
 SEQUENCE = 2048
@@ -117,6 +117,7 @@ class Encoder:
         return [whole.get(i, x) for i, x in enumerate(found)] if whole else found
 
 
+@kept_by_worker
 @lru_cache(2)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -174,6 +175,7 @@ def tokenised(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
     """``doc_id``, ``curve`` (Hilbert key), ``width`` (bytes of an id) and ``ids`` (little-endian, unsigned) with the end token last."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("packing")
         encoder = _encoder(path)
         kind = np.dtype(encoder.id_type)
         end = np.array([END_ID], kind).tobytes()

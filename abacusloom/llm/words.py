@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 
-MOST_BYTES = 96_000_000  # of words and ids kept by a worker; an evicted word is encoded again
+MOST_BYTES = 64_000_000  # of words and ids kept by a worker; an evicted word is encoded again
 ENTRY_BYTES = 200  # of a usual word with its ids; a longest one takes some 600
 LONG = 64  # characters from which on a word isn't kept
 SLICE_CHARS = 1_000_000  # texts encoded together
+SLICE_TEXTS = 2_000
 CROSSING = re.compile(r" (?<=\s )(?=\s|\Z)")
 BESIDE = re.compile(r"\n(?:(?<=\s\n)|(?=\s|\Z)|(?<=\A\n))")  # a line's end beside white space, or first or last
 MARKS = frozenset(".,;:!?")
@@ -135,7 +136,7 @@ def slices(column: pa.Array) -> Iterator[list[str]]:
     for value in column:
         texts.append(value.as_py() or "")
         chars += len(texts[-1])
-        if chars >= SLICE_CHARS:
+        if chars >= SLICE_CHARS or len(texts) >= SLICE_TEXTS:
             yield texts
             texts, chars = [], 0
     if texts:
