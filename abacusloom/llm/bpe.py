@@ -31,7 +31,8 @@ from .common import give_back, kept_by_worker, small_batches, table, take_over
 from .words import Key, WordCache, cut_words, slices, text_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MOST_PAIRS = 200_000  # whose rank is kept, some 25 MB; of others it is looked up again
+MOST_PAIRS = 500_000  # whose rank is kept, some 60 MB; of others it is looked up again
+MOST_BYTES = 200_000_000  # of words kept by a worker: a replay is dear
 
 
 @kept_by_worker
@@ -49,7 +50,7 @@ class Replay:
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[int, int] = {}
-        self.cache = WordCache(self.learn, self.split)
+        self.cache = WordCache(self.learn, self.split, MOST_BYTES)
 
     def rank(self, a: int, b: int) -> int:
         """Rank of the token that the pair makes, or -1."""
