@@ -9,10 +9,28 @@ from .line_dedup import op10_line_dedup
 from .near_dedup import op6_near_dedup
 from .packing import op4_packing
 from .quality import op7_quality
+from .search import OP11_SQL, op11_ranked_search
+from .secrets import op13_secret_scan
 from .url_filter import op2_url_filter
+from .whitening import op12_embedding_whitening
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, fingerprint_classes, op2_url_filter, op3_exact_dedup, op4_packing, op5_language_id, op6_near_dedup, op7_quality, op8_license_scan, op9_bpe, op10_line_dedup)
+    for f in (
+        op1_fingerprints,
+        fingerprint_classes,
+        op2_url_filter,
+        op3_exact_dedup,
+        op4_packing,
+        op5_language_id,
+        op6_near_dedup,
+        op7_quality,
+        op8_license_scan,
+        op9_bpe,
+        op10_line_dedup,
+        op11_ranked_search,
+        op12_embedding_whitening,
+        op13_secret_scan,
+    )
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op11_ranked_search": OP11_SQL}
