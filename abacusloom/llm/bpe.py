@@ -54,11 +54,11 @@ class Replay:
 
     def rank(self, a: int, b: int) -> int:
         """Rank of the token that the pair makes, or -1."""
-        found = self.pairs.get(a << 20 | b)
+        found = self.pairs.get(a << 32 | b)
         if found is None:
             found = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
             if len(self.pairs) < MOST_PAIRS:
-                self.pairs[a << 20 | b] = found
+                self.pairs[a << 32 | b] = found
         return found
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
@@ -80,7 +80,7 @@ class Replay:
         a = -1
         for at, b in enumerate(token, -1):
             if a >= 0 and b >= 0:
-                r = known(a << 20 | b)
+                r = known(a << 32 | b)
                 if r is None:
                     r = rank(a, b)
                 if r >= 0:
@@ -93,7 +93,7 @@ class Replay:
 
         def note(at: int, a: int, b: int) -> bool:
             """Add a pair to the index; whether it precedes the pair that is being merged."""
-            new = known(a << 20 | b)
+            new = known(a << 32 | b)
             if new is None:
                 new = rank(a, b)
             if new < 0:
@@ -114,7 +114,7 @@ class Replay:
                 if a < 0:
                     continue
                 b = token[j]
-                if b < 0 or known(a << 20 | b, -3) != r and rank(a, b) != r:
+                if b < 0 or known(a << 32 | b, -3) != r and rank(a, b) != r:
                     continue
                 token[i], token[j] = r, -2
                 k, h = right[j], left[i]

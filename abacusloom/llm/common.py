@@ -107,7 +107,8 @@ def bitmaps(bits: DataFrame) -> DataFrame:
 
 def maybe_among(rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
     """``rows`` with whether their key may be among ``ids`` (one column of the key's type): false only if it certainly isn't, so that what has to meet
-    ``ids`` in a join is little more than those. The filter is broadcast; it takes 16 bits an id, 32 MB at most, beyond which it tells less."""
+    ``ids`` in a join is little more than those. The filter is broadcast; it takes 16 bits an id, 32 MB at most: beyond 16 million ids it lets
+    more and more others through, which costs their way to the join and changes no result."""
     blocks = max(1, min(MAX_BLOCKS, ids.count() * 16 // BLOCK_BITS))
     place = lambda c: (F.pmod(F.xxhash64(c), F.lit(blocks)), F.pmod(F.shiftrightunsigned(F.xxhash64(c), 32), F.lit(BLOCK_BITS)))
     block, bit = place(ids.columns[0])

@@ -3,8 +3,8 @@
 The first pass hashes every normalised text to two bits of a filter and keeps the bits that more than
 one row set. In the second pass a row goes to the shuffle only if both of its bits are among them; all
 other rows are unique for certain and pass straight through. False positives cost a shuffle of one row,
-never a wrong result. The filter grows with the rows: up to ``MAX_BLOCKS`` it is broadcast, beyond it rows meet their block
-of it in a join.
+never a wrong result. The filter grows with the rows: up to ``MAX_BLOCKS`` it is broadcast. Beyond it, hashes alone meet their block of it in a
+join, and those found there are looked for by a filter of their own, so that rows that don't repeat stay where they are at any size.
 
 Texts are equal when identical after each run of ASCII white space became one space; null counts as
 empty. Of equal texts the row with the smallest key stays, a null key only where the whole group has none; of rows that
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BITS, MAX_BLOCKS, bit_set, bitmaps, materialise, table
+from .common import BLOCK_BITS, MAX_BLOCKS, bit_set, bitmaps, materialise, maybe_among, table
 
 BITS_PER_ROW = 32
 
@@ -48,15 +48,23 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return dedup_keyed(with_keys(docs.drop("keep_id", "group_size", "kept", "hash", "text_sha256"), text), key)
 
 
+def _marked(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` with what tells whether both bits of a row's hash are in the filter, and that condition."""
+    blocks = max(1, docs.count() * BITS_PER_ROW // BLOCK_BITS)
+    filled = repeated_bits(docs.select("hash"), blocks)
+    place, found = F.pmod("hash", F.lit(blocks)) == F.col("_block"), bit_set("_bitmap", _bit(1)) & bit_set("_bitmap", _bit(2))
+    if blocks <= MAX_BLOCKS:
+        return docs.join(F.broadcast(filled), place, "left"), found
+    hashes = materialise(docs.select("hash").join(filled, place).filter(found).select("hash").distinct())
+    return maybe_among(docs, "hash", hashes, "_again"), F.col("_again")
+
+
 def dedup_keyed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The same for rows that have ``hash`` and ``text_sha256`` already. Only rows that may repeat are shuffled: the
     equal ones are counted on the map side first, and a hot group meets its one result row in a join that adaptive
     execution splits."""
     docs = docs.drop("keep_id", "group_size", "kept")
-    blocks = max(1, docs.count() * BITS_PER_ROW // BLOCK_BITS)
-    filled = repeated_bits(docs.select("hash"), blocks)
-    marked = docs.join(F.broadcast(filled) if blocks <= MAX_BLOCKS else filled, F.pmod("hash", F.lit(blocks)) == F.col("_block"), "left")
-    again = bit_set("_bitmap", _bit(1)) & bit_set("_bitmap", _bit(2))
+    marked, again = _marked(docs)
     own = [F.col(c) for c in docs.columns if c != "hash"]
     once = marked.filter(~again).select(*own, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     often = marked.filter(again).select(*own)

@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from .common import fold, give_back, small_batches, table, take_over
 from .compression import Sizer, dictionary, drawn, halves, passages
 
-SAMPLE_ROWS = 1_200  # labelled documents of each kind, at most about so many: half give a passage each, half are judged whole for the curve
-PASSAGE_CHARS = 2_000
-DICTIONARY_BYTES = 262_144
+SAMPLE_ROWS = 250  # labelled documents of each kind that give a passage each, at most about so many
+CALIBRATION_ROWS = 600  # labelled documents of each kind that are judged whole for the curve, at most about so many
+PASSAGE_CHARS = 4_000
+DICTIONARY_BYTES = 1 << 22  # more than the passages take, so that none is cut
 ACCEPT = 0.3
 
 
@@ -63,9 +64,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     counts = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}
     if len(counts) < 2:
         return Model(constant=1.0 if 1 in counts or not counts else 0.0)
-    few = F.broadcast(drawn(labels, "_label", "_key", counts, SAMPLE_ROWS))
-    texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_words")).join(few, F.col("_id") == F.col("_key"))
-    told, rest = halves(texts, "_id")
+    told, rest = halves(labels, "_key")
+    texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_words"))
+    told, rest = (texts.join(F.broadcast(drawn(part, "_label", "_key", counts, 2 * rows)), F.col("_id") == F.col("_key")) for part, rows in ((told, SAMPLE_ROWS), (rest, CALIBRATION_ROWS)))
     kinds: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(passages(told, "_label", "_words", "_id", PASSAGE_CHARS).collect()):
         kinds[r[0]].append(r[2])

@@ -135,6 +135,22 @@ def test_exact_dedup_against_brute_force(spark, sf_dir):
     assert got == want
 
 
+def test_large_filter_moves_hashes_alone(spark, sf_dir, monkeypatch):
+    """Beyond the bound of a broadcast the filter meets hashes without the rows' other columns, and rows that can't repeat stay where they are."""
+    monkeypatch.setattr(exact_dedup, "MAX_BLOCKS", 0)
+    docs = exact_dedup.with_keys(documents(spark, sf_dir).withColumn("row", F.struct("text", "source")))
+    written = []
+    keep = exact_dedup.materialise
+    monkeypatch.setattr(exact_dedup, "materialise", lambda df: (written.append(df), keep(df))[1])
+    marked, again = exact_dedup._marked(docs)
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "hashpartitioning" in line]
+    assert exchanges and written[0].columns == ["hash"] and "text_sha256" not in "".join(exchanges) and "row#" not in "".join(exchanges)
+    assert "hashpartitioning" not in marked._jdf.queryExecution().optimizedPlan().toString().replace("REPARTITION", "")
+    doubtful, copies = marked.filter(again).count(), docs.groupBy("hash").count().filter("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    assert copies <= doubtful <= copies + 0.05 * docs.count()
+
+
 def test_exact_dedup_keeps_one_of_rows_that_repeat(spark):
     rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (2, "a b"), (3, "c"), (3, "c"), (None, "d"), (None, "d"), (5, "e")]
     got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -585,6 +601,34 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir):
     assert corpus_pipeline.packed(spark, docs.limit(0), sf_dir).collect() == []
 
 
+def test_pairs_of_ids_beyond_20_bits():
+    """Ids as large as a vocabulary of many languages has them: pairs that agreed in their last bits were taken for one another."""
+    high = 1 << 20
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": high, b"c" + b"d": high + 1, b"ab" + b"cd": high + 2, b"abe": high * 3}
+    words = ["abcd", "abe", "cdab", "xab", "abcde", "ab"]
+    want = []
+    for w in words:
+        ids = [ranks[bytes([c])] for c in w.encode()]
+        of = {i: t for t, i in ranks.items()}
+        while pairs := [(r, i) for i in range(len(ids) - 1) if (r := ranks.get(of[ids[i]] + of[ids[i + 1]])) is not None]:
+            r, i = min(pairs)
+            ids[i : i + 2] = [r]
+        want.append(ids)
+    assert bpe.Replay(ranks, r"\S+|\s+").replay([w.encode() for w in words]) == want
+
+
+def test_quality_dictionaries_hold_every_passage(spark, monkeypatch):
+    """No labelled passage that is drawn is thrown away."""
+    texts = [(i, f"mark{i:04d} " + "good words here " * (80 if i % 3 else 2), i % 2) for i in range(900)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, quality int")
+    passages, kept = quality.passages, []
+    monkeypatch.setattr(quality, "passages", lambda *a: kept.append(passages(*a)) or kept[-1])
+    model = quality.fit(df, df)
+    drawn = Counter(r["kind"] for r in kept[0].collect())
+    assert (model.bad.count(b"\n"), model.good.count(b"\n")) == (drawn[0], drawn[1])
+    assert min(drawn.values()) > 150
+
+
 def test_near_stage_tells_rows_of_one_id_apart(spark, sf_dir):
     import corpus_pipeline
 
