@@ -1,5 +1,9 @@
 """Every query with SQL returns the same rows as its SQL on the given tables; the others are tested by their rules."""
 
+import os
+import subprocess
+import sys
+
 import compare
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +94,11 @@ def test_composed_papers_fit_and_are_greedy(spark, sf_dir):
     lack = QUERIES["composed_papers"](spark, sf_dir).collect()
     assert len(lack) == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
     assert all(r["missing_choice"] == 30 - sum(m for _, m in made.get(r["request_id"], {}).get(1, [])) for r in lack)
+
+
+def test_a_missing_library_costs_no_other_query():
+    """Without a library that only the optional subpackage needs, all other queries are there."""
+    code = "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['zstandard'] = None; import __spark_entry__ as e; from abacusloom.plans.registry import QUERIES, ORACLES; print(set(QUERIES) == set(e.queries()), set(ORACLES) == set(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == ["True", "True"]
