@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def chance(seed: str, *keys: str) -> Column:
-    """A number from 0 to 1 that the seed and the keys fix."""
-    return (F.crc32(F.concat_ws("/", F.lit(seed), *(F.col(k).cast("string") for k in keys))) + 0.5) / 4294967296.0
+def chance(seed: str, *keys: str | Column) -> Column:
+    """A number from 0 to 1 that the seed and the keys fix: 48 bits of their MD5, which any SQL engine has too."""
+    parts = (F.col(k) if isinstance(k, str) else k for k in keys)
+    digits = F.substring(F.md5(F.concat_ws("/", F.lit(seed), *(p.cast("string") for p in parts))), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def _remainders(rows: DataFrame, key: str, order: str, exact: Column, total: Column) -> DataFrame:
@@ -74,20 +76,61 @@ def draw_shortfall(drawn: DataFrame, targets: DataFrame, paper: str) -> DataFram
     return want.join(have, paper, "left").fillna(0, ["drawn", "backfilled"]).withColumn("short", F.col("want") - F.col("drawn"))
 
 
-def weighted_set(units: DataFrame, key: str, chapter: str, unit: str, size: int, seed: str) -> DataFrame:
-    """A mixed set per key: one unit of each chapter first, then by weight (Efraimidis and Spirakis' keys), whole units that still fit.
-
-    ``units`` has ``questions`` (its size) and ``weight``.  Units come in the order of their draw; consecutive ones from different
-    chapters while chapters last, as each chapter gives one unit a round."""
-    rows = units.withColumn("_draw", -F.log(chance(seed, key, unit)) / F.col("weight"))
-    rows = rows.withColumn("_round", F.row_number().over(Window.partitionBy(key, chapter).orderBy("_draw", unit)))
-    first = F.when(F.col("_round") == 1, 0).otherwise(1)
-    turns = rows.withColumn("_place", F.struct(first.alias("first"), F.col("_draw").alias("draw"), F.col(unit).alias("unit")))
-    taken = greedy_fit(turns, key, "_place", "questions", F.lit(size), [chapter, unit, "questions", "_round"])
-    pile = F.count("*").over(Window.partitionBy(key, chapter))
-    turn = F.row_number().over(Window.partitionBy(key, chapter).orderBy("_round"))
-    taken = taken.withColumns({"_pile": pile, "_turn": turn})
-    return taken.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_turn", F.desc("_pile"), chapter))).select(key, "place", chapter, unit, "questions")
+def interleaved(taken: Column, chapter: str = "chapter") -> Column:
+    """An array of units so ordered that neighbours come from different chapters wherever they can: each place goes to the largest pile but for the
+    last place's chapter, of equal piles to the one that stood first, at first by chapter. Units of a chapter keep their order."""
+    chapters = F.array_sort(F.array_distinct(F.transform(taken, lambda t: t[chapter])))
+    piles = F.transform(chapters, lambda c: F.struct(F.size(F.filter(taken, lambda t: t[chapter] == c)).alias("left"), c.alias("of")))
+    start = F.struct(piles.alias("piles"), F.slice(chapters, 1, 0).alias("order"))
+
+    def place(state: Column, _: Column) -> Column:
+        """Piles are sorted anew for each place; the sort keeps the order of equal ones."""
+        ranked = F.array_sort(F.filter(state["piles"], lambda p: p["left"] > 0), lambda a, b: b["left"] - a["left"])
+        last = F.try_element_at(state["order"], F.lit(-1))
+        of = F.coalesce(F.get(F.filter(ranked, lambda p: ~p["of"].eqNullSafe(last)), F.lit(0))["of"], F.get(ranked, F.lit(0))["of"])
+        left = F.transform(ranked, lambda p: F.struct((p["left"] - F.when(p["of"] == of, 1).otherwise(0)).alias("left"), p["of"].alias("of")))
+        return F.struct(left.alias("piles"), F.concat(state["order"], F.array(of)).alias("order"))
+
+    order = F.aggregate(taken, start, place)["order"]
+    nth = lambda c, i: F.size(F.filter(F.slice(order, F.lit(1), i + 1), lambda x: x == c))
+    return F.transform(order, lambda c, i: F.element_at(F.filter(taken, lambda t: t[chapter] == c), nth(c, i)))
+
+
+def mixed_set(units: DataFrame, key: str, chapter: str, unit: str, size: int, seed: str) -> DataFrame:
+    """A mixed set of up to ``size`` questions per key: ``place``, chapter, unit, questions.
+
+    ``units`` has ``questions`` (a unit's size; units are never cut), and of the chapter ``weight`` and ``started``. Chapters that aren't started
+    are left out unless none is. Each chapter first gives one unit, the heaviest chapter first; then chapters are picked by weight again and again. These picks are a race of
+    Poisson processes: a chapter's k-th pick comes at the sum of k exponential times over its weight, so that in order of time the next
+    pick is a chapter's in proportion to its weight, however many units it has. A pick takes the chapter's first unit, in an order by chance,
+    that still fits; a chapter without one loses its picks, which leaves the others' chances as they are. Units come interleaved.
+
+    Of a chapter's units of one size only as many as fill a set can be taken, so a key's candidates are few, however many units it has."""
+    like = Window.partitionBy(key, chapter, "questions").orderBy("_h", unit)
+    fits = units.filter(F.col("questions").between(1, size)).withColumn("_h", chance(seed, key, unit)).withColumn("_n", F.row_number().over(like))
+    fits = fits.filter((F.col("_n") <= size) & (F.col("_n") * F.col("questions") <= size))
+    pool = F.sort_array(F.collect_list(F.struct("_h", F.col(unit).alias("unit"), F.col("questions").cast("int").alias("questions"))))
+    pools = fits.groupBy(key, F.col(chapter).alias("chapter")).agg(F.max("weight").alias("weight"), F.max("started").alias("started"), pool.alias("pool"))
+    gaps = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: -F.log(chance(f"{seed}/pick", key, "chapter", k)) / F.col("weight"))
+    times = F.transform("_gaps", lambda _, i: F.aggregate(F.slice("_gaps", F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x))
+    pools = pools.withColumn("_gaps", gaps).withColumn("times", times)
+    per_key = pools.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("chapter", "weight", "started", "pool", "times"))).alias("all"))
+    per_key = per_key.select(key, F.filter("all", lambda c: c["started"] | ~F.exists("all", lambda x: x["started"])).alias("pools"))
+    pick = lambda turn, at, c: F.struct(F.lit(turn).alias("turn"), at.alias("at"), c.alias("chapter"))
+    picks = F.transform("pools", lambda c: F.concat(F.array(pick(0, -c["weight"].cast("double"), c["chapter"])), F.transform(c["times"], lambda t: pick(1, t, c["chapter"]))))
+    per_key = per_key.select(key, "pools", F.array_sort(F.flatten(picks)).alias("picks"))
+
+    def take(taken: Column, at: Column) -> Column:
+        used = F.aggregate(taken, F.lit(0), lambda a, t: a + t["questions"])
+        of = F.get(F.filter("pools", lambda c: c["chapter"] == at["chapter"]), F.lit(0))["pool"]
+        fit = F.filter(of, lambda u: (u["questions"] <= size - used) & ~F.exists(taken, lambda t: t["unit"] == u["unit"]))
+        return F.concat(taken, F.transform(F.slice(fit, 1, 1), lambda u: F.struct(at["chapter"].alias("chapter"), u["unit"].alias("unit"), u["questions"].alias("questions"))))
+
+    kinds = dict(pools.dtypes) | {"unit": dict(units.dtypes)[unit]}
+    none = F.array().cast(f"array<struct<chapter:{kinds['chapter']},unit:{kinds['unit']},questions:int>>")
+    sets = per_key.select(key, F.aggregate("picks", none, take).alias("taken"))
+    placed = sets.select(key, F.posexplode(interleaved(F.col("taken"))).alias("at", "t"))
+    return placed.select(key, (F.col("at") + 1).alias("place"), F.col("t.chapter").alias(chapter), F.col("t.unit").alias(unit), "t.questions")
 
 
 def greedy_fit(rows: DataFrame, key: str, order: str, size: str, room: Column, keep: Sequence[str]) -> DataFrame:

@@ -84,10 +84,37 @@ def draw_shortfall(spark, sf_dir):
     return op.draw_shortfall(drawn, _targets(spark, sf_dir), "paper")
 
 
-@query()
+def chance(seed: str, *keys: str) -> str:
+    """SQL of ``compose.chance``."""
+    return f"((CAST('0x' || substr(md5(concat_ws('/', '{seed}', {', '.join(keys)})), 1, 12) AS BIGINT) + 0.5) / {float(1 << 48)!r})"
+
+
+@query(f"""WITH RECURSIVE line AS MATERIALIZED (SELECT DISTINCT l_suppkey AS learner_id, l_partkey % 9 AS chapter, concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS unit, l_linenumber % 4 + 1 AS questions, l_returnflag = 'R' AS wrong, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem),
+ch AS MATERIALIZED (SELECT learner_id, chapter, max(quantity) FILTER (WHERE wrong) % 7 AS due, (sum(quantity) + chapter) % 4 AS mastery FROM line GROUP BY 1, 2),
+wt AS MATERIALIZED (SELECT learner_id, chapter, (1 + least(coalesce(due, 0), 5)) * (3 - least(mastery, 2)) AS weight, mastery >= 1 AS started FROM ch),
+el AS MATERIALIZED (SELECT * FROM (SELECT *, bool_or(started) OVER (PARTITION BY learner_id) AS begun FROM wt) WHERE started OR NOT begun),
+pool AS MATERIALIZED (SELECT learner_id, chapter, list({{'h': h, 'unit': unit, 'questions': questions}} ORDER BY h, unit) AS units FROM (SELECT DISTINCT learner_id, chapter, unit, questions, {chance('seed', 'learner_id', 'unit')} AS h FROM line) GROUP BY 1, 2),
+pick AS MATERIALIZED (SELECT learner_id, chapter, 0 AS turn, CAST(-weight AS DOUBLE) AS moment FROM el UNION ALL SELECT learner_id, chapter, 1, sum(-ln({chance('seed/pick', 'learner_id', 'chapter', 'k')}) / weight) OVER (PARTITION BY learner_id, chapter ORDER BY k) FROM el, range(1, 21) AS r(k)),
+ev AS MATERIALIZED (SELECT learner_id, p.chapter, units, row_number() OVER (PARTITION BY learner_id ORDER BY turn, moment, p.chapter) AS i FROM pick p JOIN pool USING (learner_id, chapter)),
+tk AS (SELECT DISTINCT learner_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS names, CAST([] AS STRUCT(chapter BIGINT, unit VARCHAR, questions INTEGER)[]) AS taken FROM el
+UNION ALL SELECT learner_id, i, used + coalesce(one.questions, 0), CASE WHEN one IS NULL THEN names ELSE list_append(names, one.unit) END, CASE WHEN one IS NULL THEN taken ELSE list_append(taken, {{'chapter': chapter, 'unit': one.unit, 'questions': CAST(one.questions AS INTEGER)}}) END
+  FROM (SELECT t.*, e.i AS nxt, e.chapter, list_filter(e.units, lambda x: x.questions <= 20 - t.used AND NOT list_contains(t.names, x.unit))[1] AS one FROM tk t JOIN ev e ON e.learner_id = t.learner_id AND e.i = t.i + 1) s(learner_id, before, used, names, taken, i, chapter, one)),
+fin AS MATERIALIZED (SELECT learner_id, arg_max(taken, i) AS taken FROM tk GROUP BY 1),
+cnt AS MATERIALIZED (SELECT learner_id, x.chapter AS chapter, count(*) AS n FROM (SELECT learner_id, unnest(taken) AS x FROM fin) GROUP BY 1, 2),
+il AS (SELECT learner_id, 0 AS place, CAST(NULL AS BIGINT) AS chapter, list({{'k': -n, 'pos': 0, 'c': chapter}} ORDER BY chapter) AS piles FROM cnt GROUP BY 1
+UNION ALL SELECT learner_id, place + 1, of, list_transform(ranked, lambda p: {{'k': p.k + CASE WHEN p.c = of THEN 1 ELSE 0 END, 'pos': 0, 'c': p.c}})
+  FROM (SELECT *, coalesce(list_filter(ranked, lambda p: p.c IS DISTINCT FROM chapter)[1].c, ranked[1].c) AS of
+    FROM (SELECT *, list_sort(list_transform(list_filter(piles, lambda p: p.k < 0), lambda p, i: {{'k': p.k, 'pos': CAST(i AS INTEGER), 'c': p.c}})) AS ranked FROM il) WHERE len(ranked) > 0)),
+put AS (SELECT learner_id, place, chapter, row_number() OVER (PARTITION BY learner_id, chapter ORDER BY place) AS j FROM il WHERE place > 0)
+SELECT learner_id, place, put.chapter, list_filter(taken, lambda x: x.chapter = put.chapter)[j].unit AS unit, list_filter(taken, lambda x: x.chapter = put.chapter)[j].questions AS questions FROM put JOIN fin USING (learner_id)""")
 def mixed_set(spark, sf_dir):
-    units = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("learner_id"), F.col("l_returnflag").alias("chapter"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("unit"), (F.col("l_linenumber") % 4 + 1.0).alias("questions"), op.chapter_weight(F.col("l_linenumber"), F.col("l_partkey") % 4).alias("weight")).dropDuplicates(["learner_id", "unit"])
-    return op.weighted_set(units, "learner_id", "chapter", "unit", 20, "seed")
+    """Lines as units of their supplier; a part's key names the chapter, whose mastery and mistakes come from quantities."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("learner_id"), (F.col("l_partkey") % 9).alias("chapter"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("unit"), (F.col("l_linenumber") % 4 + 1).alias("questions"), (F.col("l_returnflag") == "R").alias("wrong"), F.col("l_quantity").cast("long").alias("quantity")).distinct()
+    due, mastery = F.max(F.when(F.col("wrong"), F.col("quantity"))) % 7, (F.sum("quantity") + F.col("chapter")) % 4
+    chapters = line.groupBy("learner_id", "chapter").agg(due.alias("due"), mastery.alias("mastery"))
+    chapters = chapters.select("learner_id", "chapter", op.chapter_weight(F.col("due"), F.col("mastery")).alias("weight"), (F.col("mastery") >= 1).alias("started"))
+    units = line.select("learner_id", "chapter", "unit", "questions").distinct().join(chapters, ["learner_id", "chapter"])
+    return op.mixed_set(units, "learner_id", "chapter", "unit", 20, "seed")
 
 
 @query("""WITH r AS (SELECT l_suppkey AS k, l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS i, count(*) OVER (PARTITION BY l_suppkey) AS c FROM lineitem)

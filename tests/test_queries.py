@@ -65,21 +65,6 @@ def test_moving_average_follows_the_loop(spark, sf_dir):
         assert r["units"] == pytest.approx(n, abs=1e-3) and r["value"] == pytest.approx(v, abs=1e-2)
 
 
-def test_mixed_set_rules(spark, sf_dir):
-    sets = {}
-    for r in QUERIES["mixed_set"](spark, sf_dir).collect():
-        sets.setdefault(r["learner_id"], []).append((r["place"], r["chapter"], r["unit"], r["questions"]))
-    chapters = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").agg(F.collect_set("l_returnflag").alias("c")).collect()
-    assert len(sets) == len(chapters)
-    for r in chapters:
-        own = sorted(sets[r["l_suppkey"]])
-        assert sum(x[3] for x in own) <= 20 and len({x[2] for x in own}) == len(own)
-        assert {x[1] for x in own} == set(r["c"])
-        piles = {c: sum(x[1] == c for x in own) for c in r["c"]}
-        for (_, a, *_), (_, b, *_) in zip(own, own[1:]):
-            assert a != b or piles[a] > 1
-
-
 def test_composed_papers_fit_and_are_greedy(spark, sf_dir):
     from abacusloom.plans import content
 
