@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import BLOCK_ROWS, running
+
 
 def chance(seed: str, *keys: str | Column) -> Column:
     """A number from 0 to 1 that the seed and the keys fix: 48 bits of their MD5, which any SQL engine has too."""
@@ -48,20 +50,44 @@ def pool_sizes(pool: DataFrame, targets: DataFrame, paper: str, group: str, tota
     return sizes.groupBy(paper).agg(F.sum("pool").alias("pool"), F.least(F.lit(total), F.sum(F.least("target", "pool")) + F.sum(F.greatest(F.lit(0), F.col("pool") - F.col("target")))).alias("composable"))
 
 
+BUCKETS = 4_096
+
+
+def _cuts(rows: DataFrame, key: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """For each key of ``wanted`` (with ``_want``) the bucket of chance in which that many rows are reached, ``_cut`` (null if there are fewer), the rows in
+    buckets before it, and all its rows, ``_size``. A key has at most ``BUCKETS`` counts, whatever its rows."""
+    counts = rows.groupBy(*key, "_bucket").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    reached = wanted.join(counts.withColumn("_upto", upto), list(key), "left")
+    first = F.min(F.when(F.col("_upto") >= F.col("_want"), F.struct("_bucket", (F.col("_upto") - F.col("_n")).alias("before"))))
+    return reached.groupBy(*key, "_want").agg(first.alias("_at"), F.coalesce(F.sum("_n"), F.lit(0)).alias("_size")).select(*key, "_want", F.col("_at._bucket").alias("_cut"), F.col("_at.before").alias("_before"), "_size")
+
+
+def _lowest(rows: DataFrame, key: Sequence[str], item: str, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ``_want`` rows of lowest ``_h`` of each key, and the others. Rows of buckets below the cut are among them and rows above are not, without being
+    ranked; only those of the bucket of the cut are."""
+    marked = rows.join(cuts, list(key), "left")
+    edge = marked.filter(F.col("_bucket") == F.col("_cut")).withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("_h", item)) + F.col("_before"))
+    below, above = F.coalesce(F.col("_bucket") < F.col("_cut"), F.col("_want").isNotNull()), F.coalesce(F.col("_bucket") > F.col("_cut"), F.col("_want").isNull())
+    first = marked.filter(below).select(*rows.columns).unionByName(edge.filter(F.col("_at") <= F.col("_want")).select(*rows.columns))
+    return first, marked.filter(above).select(*rows.columns).unionByName(edge.filter(F.col("_at") > F.col("_want")).select(*rows.columns))
+
+
 def stratified_draw(pool: DataFrame, targets: DataFrame, paper: str, group: str, item: str, seed: str) -> DataFrame:
     """Per paper, items drawn without replacement to the targets of its groups; what groups lack is filled from the rest of the pool.
+    ``source`` tells ``target`` from ``backfill``.
 
-    ``source`` tells ``target`` from ``backfill``."""
+    Drawn are the items of lowest chance. A histogram of the chances tells the bucket in which a group's target falls; only the items of that bucket are
+    ranked, so that a group of any number of items is the work of many tasks."""
     h = chance(seed, paper, item)
-    w = Window.partitionBy(paper, group).orderBy("_h", item)
-    rows = pool.withColumn("_h", h).withColumn("_at", F.row_number().over(w)).join(targets.select(paper, group, "target"), [paper, group], "left")
-    rows = rows.withColumn("_in", F.coalesce(F.col("_at") <= F.col("target"), F.lit(False)))
-    want = targets.groupBy(paper).agg(F.sum("target").alias("_want"))
-    have = rows.groupBy(paper).agg(F.count_if("_in").alias("_have"))
-    rest = Window.partitionBy(paper, "_in").orderBy("_h", item)
-    rows = rows.withColumn("_rest", F.row_number().over(rest)).join(want.join(have, paper), paper)
-    kept = rows.filter(F.col("_in") | (F.col("_rest") <= F.col("_want") - F.col("_have")))
-    return kept.select(paper, group, item, F.when(F.col("_in"), "target").otherwise("backfill").alias("source"))
+    rows = pool.select(paper, group, item, h.alias("_h"), F.floor(h * BUCKETS).cast("int").alias("_bucket"))
+    wanted = targets.groupBy(paper, group).agg(F.sum("target").alias("_want")).filter("_want > 0")
+    cuts = _cuts(rows, [paper, group], wanted)
+    drawn, rest = _lowest(rows, [paper, group], item, cuts)
+    short = cuts.groupBy(paper).agg(F.sum(F.greatest(F.lit(0), F.col("_want") - F.col("_size"))).alias("_want")).filter("_want > 0")
+    rest = rest.join(short.select(paper), paper, "left_semi")
+    filled, _ = _lowest(rest, [paper], item, _cuts(rest, [paper], short))
+    return drawn.select(paper, group, item, F.lit("target").alias("source")).unionByName(filled.select(paper, group, item, F.lit("backfill").alias("source")))
 
 
 def chapter_weight(due: Column, mastery: Column) -> Column:
@@ -151,17 +177,18 @@ def greedy_fit(rows: DataFrame, key: str, order: str, size: str, room: Column, k
     return done.select(key, *(F.col(f"t.k{i}").alias(c) for i, c in enumerate(keep)))
 
 
-def systematic(rows: DataFrame, key: str, order: str, n: int, start: int = 1) -> DataFrame:
-    """Every k-th row of each stratum from ``start`` on, k being its size over n."""
-    w = Window.partitionBy(key)
-    placed = rows.withColumns({"_at": F.row_number().over(w.orderBy(order)), "_k": F.greatest(F.lit(1), F.floor(F.count("*").over(w) / n))})
-    return placed.filter(((F.col("_at") - start) % F.col("_k") == 0) & (F.col("_at") >= start)).drop("_at", "_k")
+def systematic(rows: DataFrame, key: str, order: str, n: int, start: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every k-th row of each stratum from ``start`` on, k being its size over n. Large strata are numbered in blocks."""
+    placed = running(rows, [key], [order], {"_at": F.lit(1)}, {"_size": "_at"}, block_rows=block_rows)
+    k = F.greatest(F.lit(1), F.floor(F.col("_size") / n))
+    return placed.filter(((F.col("_at") - start) % k == 0) & (F.col("_at") >= start)).drop("_at", "_size")
 
 
 def proportional_strata(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Sample size of each stratum in proportion to it."""
-    every = rows.count()
-    return rows.groupBy(key).agg(F.count("*").alias("size"), F.round(n * F.count("*") / every, 4).alias("sample"))
+    every = rows.agg(F.count("*").alias("_every"))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("size")).join(F.broadcast(every))  # one row
+    return sizes.select(key, "size", F.round(n * F.col("size") / F.col("_every"), 4).alias("sample"))
 
 
 def union_by_key(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:

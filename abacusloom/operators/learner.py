@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import BLOCK_ROWS, running
+
 
 def half_up(x: Column) -> Column:
     """The whole number nearest to ``x``, halves upwards also below zero."""
@@ -200,11 +202,10 @@ def case_scores(items: DataFrame) -> DataFrame:
     return items.groupBy("mock_id", "case_id").agg(F.count("*").alias("size"), F.count_if(F.col("status") == "correct").alias("correct")).withColumn("whole", F.col("size") == F.col("correct"))
 
 
-def time_stats(items: DataFrame) -> DataFrame:
+def time_stats(items: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Fastest, slowest and middle seconds of each mock; of an even number the upper middle, an element of the list. Only distinct seconds are sorted."""
-    w = Window.partitionBy("mock_id")
     counts = items.groupBy("mock_id", "secs").agg(F.count("*").alias("c"))
-    rows = counts.withColumns({"upto": F.sum("c").over(w.orderBy("secs")), "n": F.sum("c").over(w)})
+    rows = running(counts, ["mock_id"], ["secs"], {"upto": "c"}, {"n": "upto"}, block_rows=block_rows, source=items)
     middle = F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 2) + 1, F.col("secs")))
     return rows.groupBy("mock_id").agg(F.min("secs").alias("fastest"), middle.alias("middle"), F.max("secs").alias("slowest"))
 

@@ -1,18 +1,20 @@
 """Ledger operators: stock valuation, postings, allocation, schedules, tests and rates over tables keyed by entity.
 
-Amounts stay doubles until the last column, which is rounded to ``PLACES``. Running totals are windows within one item,
-account or case; nothing is gathered across keys, and the moving average folds one item's movements as they pass.
+Amounts stay doubles until the last column, which is rounded to ``PLACES``. Running totals lie within one item, account or case;
+those that may be large are cut into blocks, so that no task holds a whole item. Nothing is gathered across keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import BLOCK_ROWS, before_blocks, in_blocks, meet, running
+from .state import ordered_fold
+
 PLACES = 5
 NUDGE = 1e-7
 
@@ -29,15 +31,13 @@ def signed(amount: Column, side: Column, positive: str = "dr") -> Column:
 # stock
 
 
-def _left_units(lots: DataFrame, issued: DataFrame, newest_first: bool) -> DataFrame:
+def _left_units(lots: DataFrame, issued: DataFrame, newest_first: bool, block_rows: int) -> DataFrame:
     """Units of each lot that the issues leave; lots are used up from the oldest, or from the newest."""
-    order = [F.desc("ts"), F.desc("seq")] if newest_first else [F.asc("ts"), F.asc("seq")]
-    upto = Window.partitionBy("item_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lots.join(issued, "item_id", "left").withColumn("cum", F.sum("units").over(upto))
+    rows = running(lots, ["item_id"], ["ts", "seq"], {"cum": "units"}, descending=newest_first, block_rows=block_rows).join(issued, "item_id", "left")
     return rows.withColumn("left_units", F.greatest(F.lit(0.0), F.least(F.col("units"), F.col("cum") - F.coalesce("issued", F.lit(0.0)))))
 
 
-def closing_stock(lots: DataFrame, issues: DataFrame, method: str = "fifo") -> DataFrame:
+def closing_stock(lots: DataFrame, issues: DataFrame, method: str = "fifo", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Units and value left per item by ``fifo``, ``lifo`` or ``periodic`` average. Items issued beyond their lots are
     ``short``: an error, with a null value. ``lots`` has item_id, ts, seq, units, rate; ``issues`` has item_id, units."""
     issued = issues.groupBy("item_id").agg(F.sum("units").alias("issued"))
@@ -46,46 +46,41 @@ def closing_stock(lots: DataFrame, issues: DataFrame, method: str = "fifo") -> D
     if method == "periodic":
         value = total.withColumn("value", F.col("cost") / F.col("bought") * closing)
     else:
-        left = _left_units(lots, issued, method == "lifo").groupBy("item_id").agg(F.sum(F.col("left_units") * F.col("rate")).alias("value"))
+        left = _left_units(lots, issued, method == "lifo", block_rows).groupBy("item_id").agg(F.sum(F.col("left_units") * F.col("rate")).alias("value"))
         value = total.join(left, "item_id")
     return value.select("item_id", closing.alias("units"), F.when(closing >= 0, money(F.col("value"))).alias("value"), (closing < 0).alias("short"))
 
 
-def moving_average(moves: DataFrame) -> DataFrame:
-    """Units and value per item when each issue leaves at the average cost of that moment: an ordered fold of one item's
-    movements, which pass by in order and leave only the state. ``moves`` has item_id, ts, seq, units (issues below zero), rate."""
+def moving_average(moves: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Units and value per item when each issue leaves at the average cost of that moment. ``moves`` has item_id, ts, seq, units (issues below zero), rate.
+
+    A movement maps the value before it to ``a * value + b``: a receipt adds its cost, an issue takes its share of the units that are there (nothing, where
+    there are none). Such maps compose to one of the same form, so each block of an item's movements passes by in order and leaves one map; an item's maps, in the order of its blocks, give its
+    value. Units that are null leave nothing known, a null rate no value."""
+    kind, order = moves.schema["item_id"].dataType.simpleString(), ["ts", "seq", "units", "rate"]
     double = lambda c: F.col(c).cast("double").alias(c)
-    ordered = moves.select("item_id", "ts", "seq", double("units"), double("rate")).repartition("item_id").sortWithinPartitions("item_id", "ts", "seq", "units", "rate")
-    kind = moves.schema["item_id"].dataType.simpleString()
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item, units, value, begun, arrow = None, 0.0, 0.0, False, None
-        for batch in batches:
-            arrow, done = batch.schema.field(0).type, []
-            for key, moved, rate in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if not begun or key != item:
-                    if begun:
-                        done.append((item, units, value))
-                    item, units, value, begun = key, 0.0, 0.0, True
-                if moved is None or units is None:
-                    units = value = None
-                    continue
-                if moved <= 0:
-                    rate = value / units if units > 0 and value is not None else None if units > 0 else 0.0
-                value = None if value is None or rate is None else value + moved * rate
-                units += moved
-            if done:
-                yield _states(done, arrow)
-        if begun:
-            yield _states([(item, units, value)], arrow)
-
-    end = ordered.select("item_id", "units", "rate").mapInArrow(fold, f"item_id {kind}, units double, value double")
-    return end.select("item_id", F.round("units", 4).alias("units"), money(F.col("value")).alias("value"))
-
-
-def _states(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key, pa.float64(), pa.float64()), strict=True)], ["item_id", "units", "value"])
+    cut, any_cut = in_blocks(moves.select("item_id", "ts", "seq", double("units"), double("rate")), ["item_id"], order, block_rows)
+    prior = before_blocks(cut, ["item_id"], {"before": "units"}) if any_cut else None
+    rows = meet(cut, prior.drop("_all_before"), ["item_id", "_block"]) if any_cut else cut.withColumn("before", F.lit(None).cast("double"))
+
+    def step(state: tuple, ts, seq, moved: float | None, rate: float | None, before: float | None) -> tuple:
+        units, a, b = state or (before or 0.0, 1.0, 0.0)
+        if moved is None or units is None:
+            return None, None, None
+        if moved > 0:
+            b = None if b is None or rate is None else b + moved * rate
+        elif units > 0 and b is not None:
+            a, b = a * (1 + moved / units), b * (1 + moved / units)
+        return units + moved, a, b
+
+    rows = rows.select("item_id", "_block", "ts", "seq", "units", "rate", "before")
+    maps = ordered_fold(rows, ["item_id", "_block"], order, f"item_id {kind}, _block int, units double, a double, b double", lambda: None, step, lambda key, state: [(*key, *state)])
+    if any_cut:
+        listed = maps.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("_block", "units", "a", "b"))).alias("maps"))
+        known = lambda c: ~F.exists("maps", lambda m: m[c].isNull())
+        value = F.aggregate("maps", F.lit(0.0), lambda v, m: m["a"] * v + m["b"])
+        maps = listed.select("item_id", F.when(known("units"), F.element_at("maps", -1)["units"]).alias("units"), F.when(known("b"), value).alias("b"))
+    return maps.select("item_id", F.round("units", 4).alias("units"), money(F.col("b")).alias("value"))
 
 
 def lower_of_cost_and_nrv(lines: DataFrame, key: str) -> DataFrame:
@@ -150,12 +145,11 @@ def reconcile(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
 # allocation
 
 
-def waterfall(claims: DataFrame, key: str, order: str, available: str = "available", due: str = "due") -> DataFrame:
+def waterfall(claims: DataFrame, key: str, order: str, available: str = "available", due: str = "due", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A surplus fills the claims of its key in order; ``applied`` never exceeds a claim, nor all of them the surplus."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    previous = F.coalesce(F.sum(due).over(before), F.lit(0.0))
-    applied = F.greatest(F.lit(0.0), F.least(F.col(due), F.col(available) - previous))
-    return claims.withColumns({"applied": money(applied), "unpaid": money(F.col(due) - applied)})
+    rows = running(claims, [key], [order], {"_upto": due}, block_rows=block_rows)
+    applied = F.greatest(F.lit(0.0), F.least(F.col(due), F.col(available) - (F.col("_upto") - F.col(due))))
+    return rows.withColumns({"applied": money(applied), "unpaid": money(F.col(due) - applied)}).drop("_upto")
 
 
 def tiered(claims: DataFrame, key: str, tier: str = "tier", due: str = "due", available: str = "available") -> DataFrame:

@@ -1,7 +1,8 @@
 """Replay of per-key histories in the order of time and event: spaced-repetition cards, and the notebook that keeps so many mistakes.
 
-A history passes by as sorted rows and leaves one state, so a key of any number of events takes no more memory than any other. The
-rules are plain functions, which the streams share.
+A history passes by as sorted rows and leaves one state, so a key of any number of events takes no more memory than any other; a card's long
+history is cut into blocks, each of which leaves the map from the state before it to the state after it. The rules are plain functions, which
+the streams share.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import BLOCK_ROWS, in_blocks, meet
+
 DAY = 86_400.0
 LEAST_EASE, FIRST_EASE, LONGEST = 1.3, 2.5, 365.0
 KEPT_MISTAKES = 200
@@ -78,19 +81,60 @@ def _arrow(empty: DataFrame) -> pa.Schema:
     return empty.toArrow().schema
 
 
-def card_state(reviews: DataFrame, exam: str | None = None) -> DataFrame:
-    """Interval, ease, count and due time of each learner's card after all its ratings. The cap counts from the time of the rating."""
+Ease = tuple[float, float]  # (c, d): an ease e becomes max(c, e + d)
+Interval = tuple[float, float, float, float]  # (zero, low, high, g): 0 becomes zero, a positive x becomes min(high, max(low, g * x))
+SAME_EASE: Ease = (float("-inf"), 0.0)
+SAME_INTERVAL: Interval = (0.0, 0.0, float("inf"), 1.0)
+
+
+def rate_ease(ease: Ease, rating: str) -> Ease:
+    """The map of eases after one more rating."""
+    least, step = {"again": (LEAST_EASE, -0.2), "hard": (LEAST_EASE, -0.15), "good": SAME_EASE}.get(rating, (float("-inf"), 0.15))
+    return max(least, ease[0] + step), ease[1] + step
+
+
+def rate_interval(interval: Interval, ease: float, rating: str, cap: float) -> Interval:
+    """The map of intervals after one more rating of a card that has this ease before it."""
+    zero, low, high, g = interval
+    zero = rated(zero, ease, rating, cap)[0]
+    if rating == "again" or high == 0:  # a positive interval is 0 by now, or was, and is what a single card's would be
+        now = rated(0.0, ease, rating, cap)[0]
+        return zero, now, now, 0.0
+    least, times = {"hard": (1.0, 1.2), "good": (0.0, ease)}.get(rating, (0.0, (ease + 0.15) * 1.3))
+    return zero, max(least, times * low), min(cap, max(least, times * high)), times * g
 
-    def step(state: tuple, at: int, event_id: int, rating: str, cap: float) -> tuple:
-        ivl, ease = rated(state[0], state[1], rating, cap)
-        return ivl, ease, state[2] + 1, at, rating
 
-    def finish(key: tuple, state: tuple) -> list[tuple]:
-        return [(*key, *state)]
+def card_state(reviews: DataFrame, exam: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Interval, ease, count and due time of each learner's card after all its ratings. The cap counts from the time of the rating.
 
+    Ratings map the ease before them to a bounded sum, and given the ease the interval to a clamped product; both kinds of maps compose. So each block
+    of a card's ratings passes by in order and leaves its map, and a card's maps give its state: a card of any number of ratings is the work of many tasks."""
+    key, order = ["learner_id", "card_id"], ["us", "event_id"]
     micros = F.unix_micros(F.col("at").cast("timestamp"))
-    rows = reviews.select("learner_id", "card_id", micros.alias("us"), "event_id", "rating", cap_at(F.col("at"), exam).alias("cap"))
-    done = ordered_fold(rows, ["learner_id", "card_id"], ["us", "event_id"], "learner_id long, card_id long, ivl double, ease double, reps int, us long, rating string", lambda: (0.0, FIRST_EASE, 0, 0, None), step, finish)
+    rows = reviews.select(*key, micros.alias("us"), "event_id", "rating", cap_at(F.col("at"), exam).alias("cap"))
+    cut, any_cut = in_blocks(rows, key, order, block_rows)
+    first = F.lit(FIRST_EASE)
+    if any_cut:
+        eases = ordered_fold(cut.filter("_block IS NOT NULL").select(*key, "_block", *order, "rating"), [*key, "_block"], order, "learner_id long, card_id long, _block int, c double, d double", lambda: SAME_EASE, lambda ease, us, event, rating: rate_ease(ease, rating), lambda k, ease: [(*k, *ease)])
+        listed = eases.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_block", "c", "d"))).alias("maps"))
+        upto = lambda i: F.aggregate(F.slice("maps", F.lit(1), i), first, lambda e, m: F.greatest(m["c"], e + m["d"]))
+        before = listed.select(*key, F.explode(F.transform("maps", lambda m, i: F.struct(m["_block"].alias("_block"), upto(i).alias("before")))).alias("m")).select(*key, "m.*")
+        cut = meet(cut, before, [*key, "_block"]).withColumn("before", F.coalesce("before", first))
+    else:
+        cut = cut.withColumn("before", first)
+
+    def step(state: tuple | None, us: int, event_id: int, rating: str, cap: float, before: float) -> tuple:
+        interval, ease, reps, *_ = state or (SAME_INTERVAL, before, 0)
+        return rate_interval(interval, ease, rating, cap), rated(0.0, ease, rating)[1], reps + 1, us, rating
+
+    shape = "learner_id long, card_id long, _block int, zero double, low double, high double, g double, ease double, reps int, us long, rating string"
+    maps = ordered_fold(cut.select(*key, "_block", *order, "rating", "cap", "before"), [*key, "_block"], order, shape, lambda: None, step, lambda k, s: [(*k, *s[0], *s[1:])])
+    done = maps.withColumn("ivl", F.col("zero"))
+    if any_cut:
+        listed = maps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_block", "zero", "low", "high", "g", "ease", "reps", "us", "rating"))).alias("maps"))
+        ivl = F.aggregate("maps", F.lit(0.0), lambda x, m: F.when(x == 0, m["zero"]).otherwise(F.least(m["high"], F.greatest(m["low"], m["g"] * x))))
+        reps = F.aggregate("maps", F.lit(0), lambda n, m: n + m["reps"])
+        done = listed.select(*key, ivl.alias("ivl"), reps.alias("reps"), F.element_at("maps", -1).alias("last")).select(*key, "ivl", "last.ease", "reps", "last.us", "last.rating")
     wait = F.when(F.col("rating") == "again", 600.0).otherwise(F.col("ivl") * DAY)
     return done.select("learner_id", "card_id", F.round("ivl", 6).alias("ivl"), F.round("ease", 6).alias("ease"), "reps", F.timestamp_seconds(F.round(F.floor(F.col("us") / 1e6) + wait)).alias("due"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import BLOCK_ROWS, running
 
 NUDGE = 1e-8
 
@@ -86,11 +87,11 @@ def correlation(points: DataFrame, key: str) -> DataFrame:
     return sums.select(key, "n", r(F.col("cov")).alias("cov"), r(corr).alias("r"), r(byx).alias("slope_yx"), r(bxy).alias("slope_xy"), r(F.col("my") - byx * F.col("mx")).alias("intercept"), r(F.signum(byx) * F.sqrt(byx * bxy)).alias("r_from_slopes"), r(0.6745 * (1 - corr * corr) / F.sqrt("n")).alias("probable_error"))
 
 
-def average_ranks(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Rank 1 for the highest; equal values share the mean of their ranks. Only distinct values are sorted."""
+def average_ranks(rows: DataFrame, key: str, value: str, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rank 1 for the highest; equal values share the mean of their ranks. Only distinct values are sorted, a large group's in blocks."""
     counts = rows.groupBy(key, value).agg(F.count("*").alias("_n"))
-    above = F.sum("_n").over(Window.partitionBy(key).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(key, value, (F.coalesce(above, F.lit(0)) + 1 + (F.col("_n") - 1) / 2).alias(name))
+    above = running(counts, [key], [value], {"_upto": "_n"}, descending=True, block_rows=block_rows, source=rows)
+    ranks = above.select(key, value, (F.col("_upto") - F.col("_n") + 1 + (F.col("_n") - 1) / 2).alias(name))
     return rows.join(ranks, [key, value])
 
 
@@ -114,12 +115,11 @@ def averages(rows: DataFrame, key: str, value: str, weight: str | None = None) -
     return rows.groupBy(key).agg(r(F.avg(v)).alias("mean"), r(F.sum(v * w) / F.sum(w)).alias("weighted"), r(F.exp(F.avg(F.log(v)))).alias("geometric"), r(F.count("*") / F.sum(1 / v)).alias("harmonic"))
 
 
-def dispersion(rows: DataFrame, key: str, value: str) -> DataFrame:
+def dispersion(rows: DataFrame, key: str, value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Range, population variance and deviation, coefficient of variation, and mean deviation about mean and median. Distinct values with their counts stand for
     the rows, so that no group's values are held together."""
-    w = Window.partitionBy(key)
     counts = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    ranked = counts.withColumns({"upto": F.sum("c").over(w.orderBy("v")), "all": F.sum("c").over(w)})
+    ranked = running(counts, [key], ["v"], {"upto": "c"}, {"all": "upto"}, block_rows=block_rows, source=rows)
     median = (_at("upto", "v", F.floor((F.col("all") + 1) / 2)) + _at("upto", "v", F.floor(F.col("all") / 2) + 1)) / 2
     base = ranked.groupBy(key).agg(F.max("all").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("m"), median.alias("med"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     n = F.sum("c")
@@ -152,11 +152,10 @@ def _at(upto: str, found: str, place: Column) -> Column:
     return F.min(F.when(F.col(upto) >= place, F.col(found)))
 
 
-def quartiles(rows: DataFrame, key: str, value: str) -> DataFrame:
+def quartiles(rows: DataFrame, key: str, value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Quartiles at positions (n + 1) / 4 and so on of the ordered values, with their deviation and its coefficient. Only distinct values are sorted."""
-    w = Window.partitionBy(key)
     counts = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    ranked = counts.withColumns({"upto": F.sum("c").over(w.orderBy("v")), "n": F.sum("c").over(w)})
+    ranked = running(counts, [key], ["v"], {"upto": "c"}, {"n": "upto"}, block_rows=block_rows, source=rows)
     found = {}
     for q in (1, 2, 3):
         at = (F.col("n") + 1) * q / 4

@@ -65,16 +65,17 @@ def periodic_average_value(spark, sf_dir):
     return _stock(spark, sf_dir, "periodic")
 
 
+@query("""WITH RECURSIVE mv AS MATERIALIZED (SELECT item_id, units, rate, row_number() OVER (PARTITION BY item_id ORDER BY ts, k1, k2, k3, k4, k5, units, rate) AS i, count(*) OVER (PARTITION BY item_id) AS n
+  FROM (SELECT l_partkey AS item_id, l_shipdate AS ts, l_orderkey AS k1, l_linenumber AS k2, l_suppkey AS k3, l_quantity AS k4, l_extendedprice AS k5, CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE -l_quantity / 2 END AS units, CASE WHEN l_linestatus = 'O' THEN l_extendedprice / l_quantity ELSE 0 END AS rate FROM lineitem WHERE l_linestatus IN ('O', 'F')) m),
+f AS (SELECT item_id, n, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS v FROM mv WHERE i = 1
+UNION ALL SELECT f.item_id, f.n, mv.i, u + units, CASE WHEN units > 0 THEN v + units * mv.rate WHEN u > 0 THEN v + units * (v / u) ELSE v END FROM f JOIN mv ON mv.item_id = f.item_id AND mv.i = f.i + 1)
+SELECT item_id, round(u, 4) AS units, round(v, 5) AS value FROM f WHERE i = n""")
 def moving_average_value(spark, sf_dir):
-    """An ordered fold; tested against a loop."""
     lots = a.lots(spark, sf_dir).select("item_id", "ts", "seq", "units", "rate")
     out = a.issues(spark, sf_dir).select("item_id", "ts", "seq", (-F.col("units")).alias("units"), F.lit(0.0).alias("rate"))
     return op.moving_average(lots.unionByName(out))
 
 
-QUERIES["moving_average_value"] = moving_average_value
-
-
 @query("""SELECT l_suppkey AS entity, round(sum(least(l_extendedprice, l_extendedprice * (1 + l_tax - l_discount * 2))), 5) AS carried,
   round(sum(greatest(0, l_extendedprice - l_extendedprice * (1 + l_tax - l_discount * 2))), 5) AS write_down FROM lineitem GROUP BY 1""")
 def cost_or_nrv(spark, sf_dir):
