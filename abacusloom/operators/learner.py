@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .ranges import BLOCK_ROWS, running
 
+WEEK_MS = 7 * 86_400_000
+
 
 def half_up(x: Column) -> Column:
     """The whole number nearest to ``x``, halves upwards also below zero."""
@@ -29,6 +31,17 @@ def week_stats(answers: DataFrame, now: str) -> DataFrame:
     return recent.groupBy("learner_id").agg(F.count("*").alias("attempted"), F.count_if("correct").alias("correct"))
 
 
+def week_changes(answers: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Each learner's answers of the trailing seven days at every moment at which they change: ``at`` (to the millisecond), ``attempted``, ``correct``. An answer
+    counts from its own moment to seven days later, that moment included, and is gone a millisecond after."""
+    at = F.unix_millis(F.col("at").cast("timestamp"))
+    right = F.col("correct").cast("long")
+    moves = F.array(F.struct(at.alias("ms"), F.lit(1).cast("long").alias("n"), right.alias("r")), F.struct((at + WEEK_MS + 1).alias("ms"), F.lit(-1).cast("long").alias("n"), (-right).alias("r")))
+    steps = answers.select("learner_id", F.inline(moves)).groupBy("learner_id", "ms").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
+    rows = running(steps, ["learner_id"], ["ms"], {"attempted": "n", "correct": "r"}, block_rows=block_rows)
+    return rows.select("learner_id", F.timestamp_millis("ms").alias("at"), "attempted", "correct")
+
+
 def calibration(answers: DataFrame) -> DataFrame:
     """How often sure and unsure answers were right, per learner, and what that says about the learner's confidence.
 

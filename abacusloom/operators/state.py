@@ -104,8 +104,9 @@ def rate_interval(interval: Interval, ease: float, rating: str, cap: float) -> I
     return zero, max(least, times * low), min(cap, max(least, times * high)), times * g
 
 
-def card_state(reviews: DataFrame, exam: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Interval, ease, count and due time of each learner's card after all its ratings. The cap counts from the time of the rating.
+def card_snapshot(reviews: DataFrame, exam: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Each learner's card after all its ratings: learner_id, card_id, ivl, ease, reps, and of the last rating us (its time), event_id and rating. The
+    cap counts from the time of the rating.
 
     Ratings map the ease before them to a bounded sum, and given the ease the interval to a clamped product; both kinds of maps compose. So each block
     of a card's ratings passes by in order and leaves its map, and a card's maps give its state: a card of any number of ratings is the work of many tasks."""
@@ -125,39 +126,65 @@ def card_state(reviews: DataFrame, exam: str | None = None, block_rows: int = BL
 
     def step(state: tuple | None, us: int, event_id: int, rating: str, cap: float, before: float) -> tuple:
         interval, ease, reps, *_ = state or (SAME_INTERVAL, before, 0)
-        return rate_interval(interval, ease, rating, cap), rated(0.0, ease, rating)[1], reps + 1, us, rating
+        return rate_interval(interval, ease, rating, cap), rated(0.0, ease, rating)[1], reps + 1, us, event_id, rating
 
-    shape = "learner_id long, card_id long, _block int, zero double, low double, high double, g double, ease double, reps int, us long, rating string"
+    shape = "learner_id long, card_id long, _block int, zero double, low double, high double, g double, ease double, reps int, us long, event_id long, rating string"
     maps = ordered_fold(cut.select(*key, "_block", *order, "rating", "cap", "before"), [*key, "_block"], order, shape, lambda: None, step, lambda k, s: [(*k, *s[0], *s[1:])])
     done = maps.withColumn("ivl", F.col("zero"))
     if any_cut:
-        listed = maps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_block", "zero", "low", "high", "g", "ease", "reps", "us", "rating"))).alias("maps"))
+        listed = maps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_block", "zero", "low", "high", "g", "ease", "reps", "us", "event_id", "rating"))).alias("maps"))
         ivl = F.aggregate("maps", F.lit(0.0), lambda x, m: F.when(x == 0, m["zero"]).otherwise(F.least(m["high"], F.greatest(m["low"], m["g"] * x))))
         reps = F.aggregate("maps", F.lit(0), lambda n, m: n + m["reps"])
-        done = listed.select(*key, ivl.alias("ivl"), reps.alias("reps"), F.element_at("maps", -1).alias("last")).select(*key, "ivl", "last.ease", "reps", "last.us", "last.rating")
+        done = listed.select(*key, ivl.alias("ivl"), reps.alias("reps"), F.element_at("maps", -1).alias("last")).select(*key, "ivl", "last.ease", "reps", "last.us", "last.event_id", "last.rating")
+    return done.select(*key, "ivl", "ease", "reps", "us", "event_id", "rating")
+
+
+def card_state(reviews: DataFrame, exam: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Interval, ease, count and due time of each learner's card after all its ratings."""
+    done = card_snapshot(reviews, exam, block_rows)
     wait = F.when(F.col("rating") == "again", 600.0).otherwise(F.col("ivl") * DAY)
     return done.select("learner_id", "card_id", F.round("ivl", 6).alias("ivl"), F.round("ease", 6).alias("ease"), "reps", F.timestamp_seconds(F.round(F.floor(F.col("us") / 1e6) + wait)).alias("due"))
 
 
-def capped_notebook(answers: DataFrame, most: int = KEPT_MISTAKES) -> DataFrame:
-    """Open mistakes of each learner when a notebook holds ``most`` of them: a new one pushes out the one entered first, for good. A right answer clears a
-    mistake; a wrong one to a question in the notebook counts again. The state of a learner is as large as the notebook."""
-
-    def step(state: dict, us: int, event_id: int, question: int, correct: bool, sure: bool | None) -> dict:
-        if correct:
-            state.pop(question, None)
-        elif question in state:
-            first, _, reps, tag = state[question]
-            state[question] = first, us, reps + 1, tag if sure is None else sure
+def mistake(entry: tuple | None, us: int, correct: bool, sure: bool | None) -> tuple | None:
+    """A notebook's entry (first_us, last_us, reps, sure) after one more answer to its question; None is no entry."""
+    if correct:
+        return None
+    if entry is None:
+        return us, us, 0, sure
+    return entry[0], us, entry[2] + 1, entry[3] if sure is None else sure
+
+
+def notebook_snapshot(answers: DataFrame, most: int = KEPT_MISTAKES) -> DataFrame:
+    """Each learner's capped notebook with what a stream needs to go on from it: learner_id, question_id, first_us, last_us, reps, sure, ``entered`` (the
+    entry's number), and of the learner's last answer ``us`` and ``event_id``. A learner without open mistakes has one row, of null question."""
+
+    def step(state: tuple, us: int, event_id: int, question: int, correct: bool, sure: bool | None) -> tuple:
+        entries, numbers, entered, *_ = state
+        found = mistake(entries.get(question), us, correct, sure)
+        if found is None:
+            entries.pop(question, None)
+            numbers.pop(question, None)
+        elif question in entries:
+            entries[question] = found
         else:
-            state[question] = us, us, 0, sure
-            if len(state) > most:
-                del state[next(iter(state))]
-        return state
+            entries[question], numbers[question], entered = found, entered, entered + 1
+            if len(entries) > most:
+                oldest = next(iter(entries))
+                del entries[oldest], numbers[oldest]
+        return entries, numbers, entered, us, event_id
 
-    def finish(key: tuple, state: dict) -> list[tuple]:
-        return [(*key, q, *v) for q, v in state.items()]
+    def finish(key: tuple, state: tuple) -> list[tuple]:
+        entries, numbers, _, us, event_id = state
+        return [(*key, q, *v, numbers[q], us, event_id) for q, v in entries.items()] or [(*key, *[None] * 6, us, event_id)]
 
     rows = answers.filter(F.col("question_id").isNotNull()).select("learner_id", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), "event_id", "question_id", "correct", "sure")
-    done = ordered_fold(rows, ["learner_id"], ["us", "event_id"], "learner_id long, question_id long, first_us long, last_us long, reps int, sure boolean", dict, step, finish)
+    shape = "learner_id long, question_id long, first_us long, last_us long, reps int, sure boolean, entered long, us long, event_id long"
+    return ordered_fold(rows, ["learner_id"], ["us", "event_id"], shape, lambda: ({}, {}, 0, None, None), step, finish)
+
+
+def capped_notebook(answers: DataFrame, most: int = KEPT_MISTAKES) -> DataFrame:
+    """Open mistakes of each learner when a notebook holds ``most`` of them: a new one pushes out the one entered first, for good. A right answer clears a
+    mistake; a wrong one to a question in the notebook counts again."""
+    done = notebook_snapshot(answers, most).filter(F.col("question_id").isNotNull())
     return done.select("learner_id", "question_id", F.timestamp_micros("first_us").alias("first_at"), F.timestamp_micros("last_us").alias("last_at"), "reps", "sure")
