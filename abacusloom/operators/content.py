@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import chapter_number, paper_number, slug
 from .compose import chance, greedy_fit
+from .intervals import within
 
 NEGATIVE_PAPERS = (3, 4)
 MCQ_MARKS, MCQ_PART, WRITTEN_PART = 2, 30, 70
@@ -126,6 +127,9 @@ def unverified(sittings: DataFrame) -> DataFrame:
     return sittings.filter("NOT verified").select("sitting", F.size("verify").alias("open"))
 
 
-def upto_cutoff(changes: DataFrame, sittings: DataFrame) -> DataFrame:
-    """Which changes count for which sitting: those that apply up to its cut-off."""
-    return changes.join(sittings, changes["applies_from"] <= sittings["cutoff"]).select("sitting", "amendment_id")
+def upto_cutoff(changes: DataFrame, sittings: DataFrame, days: int = 366) -> DataFrame:
+    """Which changes count for which sitting: those that apply up to its cut-off. A sitting's range begins with the first change there is; changes and ranges meet
+    in buckets of so many days."""
+    first = F.broadcast(changes.agg(F.unix_date(F.min("applies_from")).alias("_first")))  # one row
+    found = within(changes, sittings.join(first), F.unix_date("applies_from"), F.col("_first"), F.unix_date("cutoff"), days)
+    return found.select("sitting", "amendment_id")

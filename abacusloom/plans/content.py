@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import content as op
 from ..operators import quality
+from ..sources import dimensions
 from ..sources.adapters import table
 
 QUERIES, ORACLES = {}, {}
@@ -298,6 +299,34 @@ def applicable_changes(spark, sf_dir):
     return op.upto_cutoff(_changes(spark, sf_dir), _sittings(spark, sf_dir))
 
 
+LOADS = """loads AS (SELECT make_date(CAST(year(o_orderdate) AS BIGINT), CAST(CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 7 END AS BIGINT), 1) AS loaded, o_custkey % 200 AS topic, count(*) % 3 AS weight, min(o_orderpriority) AS label FROM orders GROUP BY 1, 2),
+dates AS (SELECT loaded, lead(loaded) OVER (ORDER BY loaded) AS nxt FROM (SELECT DISTINCT loaded FROM loads)),
+marks AS (SELECT loads.*, nxt, CASE WHEN lag(weight) OVER w IS NOT DISTINCT FROM weight AND lag(label) OVER w IS NOT DISTINCT FROM label AND lag(nxt) OVER w IS NOT DISTINCT FROM loaded THEN 0 ELSE 1 END AS begins FROM loads JOIN dates USING (loaded) WINDOW w AS (PARTITION BY topic ORDER BY loaded)),
+runs AS (SELECT *, sum(begins) OVER (PARTITION BY topic ORDER BY loaded) AS version FROM marks),
+ver AS (SELECT topic, min(weight) AS weight, min(label) AS label, min(loaded) AS valid_from, CASE WHEN bool_or(nxt IS NULL) THEN NULL ELSE max(nxt) END AS valid_to FROM runs GROUP BY topic, version)"""
+
+
+def _loads(spark, sf_dir):
+    """Half-yearly snapshots of topics with a weight and a label, as the half-year's orders give them; a topic without orders isn't in the load."""
+    orders = table(spark, sf_dir, "orders")
+    half = F.make_date(F.year("o_orderdate"), F.when(F.month("o_orderdate") < 7, 1).otherwise(7), F.lit(1))
+    return orders.groupBy(half.alias("loaded"), (F.col("o_custkey") % 200).alias("topic")).agg((F.count("*") % 3).alias("weight"), F.min("o_orderpriority").alias("label"))
+
+
+@query(f"WITH {LOADS} SELECT topic, weight, label, valid_from, valid_to FROM ver")
+def dimension_versions(spark, sf_dir):
+    return dimensions.versions(_loads(spark, sf_dir), ["topic"], "loaded").select("topic", "weight", "label", "valid_from", "valid_to")
+
+
+@query(f"""WITH {LOADS}, f AS (SELECT c_custkey % 200 AS topic, DATE '1994-06-01' + CAST(c_custkey % 3000 AS INTEGER) AS date FROM customer)
+SELECT weight, label, count(*) AS facts FROM f LEFT JOIN ver ON ver.topic = f.topic AND date >= valid_from AND coalesce(date < valid_to, true) GROUP BY 1, 2""")
+def weights_as_of(spark, sf_dir):
+    """Facts by the weight and label that their topic had on their date."""
+    facts = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 200).alias("topic"), F.date_add(F.lit("1994-06-01").cast("date"), (F.col("c_custkey") % 3000).cast("int")).alias("date"))
+    held = dimensions.versions(_loads(spark, sf_dir), ["topic"], "loaded")
+    return dimensions.as_of(facts, held, ["topic"], "date").groupBy("weight", "label").agg(F.count("*").alias("facts"))
+
+
 @query("""WITH r AS (SELECT c_mktsegment AS scheme, c_nationkey AS ord, round(100.0 * count(*) FILTER (WHERE c_acctbal > 0) / count(*), 2) AS pct, CASE WHEN c_nationkey % 3 = 0 THEN count(*) END AS appeared FROM customer GROUP BY 1, 2)
 SELECT scheme, min(pct) AS lo, max(pct) AS hi, max_by(pct, ord) AS latest, count(*) AS sittings, count(appeared) AS with_counts FROM r GROUP BY 1""")
 def pass_rates(spark, sf_dir):

@@ -42,6 +42,13 @@ def week_stats(spark, sf_dir):
     return op.week_stats(a.fact_answer(spark, sf_dir), NOW)
 
 
+@query(f"""WITH {ANSWER}, s AS (SELECT learner_id, epoch_us("at") // 1000 AS ms, 1 AS n, CAST(correct AS INTEGER) AS r FROM ans UNION ALL SELECT learner_id, epoch_us("at") // 1000 + 604800001, -1, -CAST(correct AS INTEGER) FROM ans),
+g AS (SELECT learner_id, ms, sum(n) AS n, sum(r) AS r FROM s GROUP BY 1, 2) SELECT learner_id, make_timestamp(ms * 1000) AS "at", CAST(sum(n) OVER w AS BIGINT) AS attempted, CAST(sum(r) OVER w AS BIGINT) AS correct FROM g WINDOW w AS (PARTITION BY learner_id ORDER BY ms)""")
+def week_changes(spark, sf_dir):
+    """The trailing seven days at each moment at which they change."""
+    return op.week_changes(a.fact_answer(spark, sf_dir)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 LEVELS = f"""{ANSWER}, lev AS (SELECT learner_id, chapter AS topic, "at", event_id,
   CASE WHEN NOT correct THEN 0 WHEN sum(CASE WHEN correct THEN 1 ELSE 0 END) OVER (PARTITION BY learner_id, chapter, CAST("at" AS DATE) ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) >= 3 THEN 2 ELSE 1 END AS level FROM ans),
 mas AS (SELECT learner_id, topic, count(DISTINCT CASE WHEN level >= 2 THEN CAST("at" AS DATE) END) AS proficient_days, max(level) AS seen FROM lev GROUP BY 1, 2),
