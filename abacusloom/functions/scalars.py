@@ -12,13 +12,25 @@ def half_up_whole(x: Column) -> Column:
 
 
 def human_date(text: Column) -> Column:
-    """A date written as ``3 Jul 2026`` (September as Sep or Sept) or in ISO form; null otherwise."""
-    plain = F.regexp_replace(F.trim(text), r"\bSept\b", "Sep")
+    """A date written as ``3 July 2026`` (or Jul; September as Sep or Sept) or in ISO form; null otherwise."""
+    plain = F.regexp_replace(F.trim(text), r"\b(Jun|Jul|Sep)[elty]\b", "$1")
     return F.coalesce(F.try_to_date(plain, "d MMM yyyy"), F.try_to_date(plain, "yyyy-MM-dd"))
 
 
 def human_label(date: Column) -> Column:
-    return F.regexp_replace(F.date_format(date, "d MMM yyyy"), "Sep ", "Sept ")
+    """A date as ``3 July 2026``: names of months of more than four letters are cut to three, September to Sept."""
+    return F.regexp_replace(F.regexp_replace(F.date_format(date, "d MMMM yyyy"), "September", "Sept"), r"([A-Z][a-z]{2})[a-z]{2,}", "$1").cast("string")
+
+
+def month_label(date: Column) -> Column:
+    return F.date_format(date, "MMMM yyyy")
+
+
+def topic_list(topics: Column) -> Column:
+    """The themes of a chapter: each topic's first segment, or where that gives fewer than three themes its last one; each once, in the order of the topics."""
+    segments = F.filter(F.transform(topics, topic_segments), lambda s: F.size(s) > 0)
+    of = lambda at: F.array_distinct(F.transform(segments, lambda s: F.element_at(s, at)))
+    return F.when(F.size(of(1)) >= 3, of(1)).otherwise(of(-1))
 
 
 def days_to_exam(exam: Column, now: Column, zone: str = "Asia/Kolkata") -> Column:

@@ -72,13 +72,6 @@ def branch_accounts(rows: DataFrame, loading: float) -> DataFrame:
     return rows.withColumns({"stock_reserve": out(F.col("stock") * loading / (100 + loading)), "closing_debtors": debtors, "in_transit": over(F.col("sent") - F.col("arrived"))})
 
 
-def amalgamation(rows: DataFrame, assent: float = 0.9) -> DataFrame:
-    """Goodwill or reserve of a purchase, and whether holders of nine tenths agree, shares that the buyer held before left out."""
-    gap = F.col("consideration") - F.col("net_assets")
-    outside = F.col("shares") - F.col("held_before")
-    return rows.withColumns({"goodwill": over(gap), "reserve": over(-gap), "merger": F.coalesce(F.col("agreed") >= outside * assent, F.lit(False)) & (outside > 0)})
-
-
 def reconstruction(rows: DataFrame) -> DataFrame:
     """What holders and creditors give up, the losses that it writes off, and the balance to reserve, or the loss that stays."""
     credit = F.col("capital_cut") + F.col("creditors_cut") + F.col("revalued")
@@ -134,11 +127,12 @@ def taxes(rows: DataFrame, key: str, rate: float) -> DataFrame:
 
 
 def forward_contracts(rows: DataFrame, year_end: str) -> DataFrame:
-    """Premium of contracts that hedge, by the months of the term up to the year's end; gain of those that speculate at the closing rate; the liability restated."""
+    """Premium of contracts that hedge, by the months of the term up to the year's end; gain of those that speculate at the forward rate that the year's end has
+    for the ``remaining`` time; the liability restated at the closing spot rate."""
     term = F.months_between("ends", "begins")
     gone = F.least(term, over(F.months_between(F.lit(year_end).cast("date"), F.col("begins"))))
     premium = (F.col("forward") - F.col("spot")) * F.col("units")
-    return rows.withColumns({"premium": F.when(~F.col("speculates"), out(premium * F.try_divide(gone, term))), "gain": F.when(F.col("speculates"), out((F.col("closing") - F.col("forward")) * F.col("units"))), "restated": out(F.col("closing") * F.col("units"))})
+    return rows.withColumns({"premium": F.when(~F.col("speculates"), out(premium * F.try_divide(gone, term))), "gain": F.when(F.col("speculates"), out((F.col("remaining") - F.col("forward")) * F.col("units"))), "restated": out(F.col("closing") * F.col("units"))})
 
 
 def grants(rows: DataFrame) -> DataFrame:
@@ -148,9 +142,10 @@ def grants(rows: DataFrame) -> DataFrame:
 
 
 def benefit_obligation(rows: DataFrame) -> DataFrame:
-    """Net liability of a benefit plan, or its asset up to the ceiling, and the gain of curtailing a share of it."""
+    """Net liability of a benefit plan, or its asset up to the ceiling, and the gain of curtailing a share of it: the cut of the obligation less the same share of past
+    service cost that isn't recognised yet."""
     net = F.col("obligation") - F.col("plan_assets") - F.col("unrecognised")
-    return rows.withColumns({"liability": over(net), "asset": F.least(over(-net), F.col("ceiling")), "curtailment": out(F.col("obligation") * F.col("curtailed") / 100)})
+    return rows.withColumns({"liability": over(net), "asset": F.least(over(-net), F.col("ceiling")), "curtailment": out((F.col("obligation") - F.col("unrecognised")) * F.col("curtailed") / 100)})
 
 
 def finance_lease(rows: DataFrame) -> DataFrame:
@@ -162,14 +157,6 @@ def finance_lease(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"initial": F.round(first, 4), "after": F.round(first * grown - F.col("payment") * (grown - 1) / i, 4)})
 
 
-def contract_dues(rows: DataFrame, key: str) -> DataFrame:
-    """Revenue and cost of contracts from their eligible parts, and what customers owe or are owed: cost and profit so far less what was billed."""
-    of = lambda kind: F.sum(F.when((F.col("kind") == kind) & F.col("eligible"), F.col("amount").cast("decimal(18,2)")).otherwise(0)).cast("double")
-    sums = rows.groupBy(key).agg(*(of(k).alias(k) for k in ("revenue", "cost", "billed")))
-    due = F.col("revenue") - F.col("billed")
-    return sums.withColumns({"profit": F.col("revenue") - F.col("cost"), "due_from": over(due), "due_to": over(-due)})
-
-
 def purchasing_power(rows: DataFrame) -> DataFrame:
     """Opening equity restated by the index, and the profit that is left once that, or the physical stock at its closing price, is maintained."""
     restated = F.col("opening") * F.col("index_close") / F.col("index_open")

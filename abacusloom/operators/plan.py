@@ -165,6 +165,15 @@ def paired_days(days: DataFrame, items: DataFrame, phase: str) -> DataFrame:
     return deal(rows, "days", "pair").drop("pair").join(teaching.select("plan_id", "day", "date"), ["plan_id", "day"]).drop("day", "ord")
 
 
+def paper_cycle(days: DataFrame, papers: DataFrame, phase: str = "revision3", a_day: int = 2) -> DataFrame:
+    """Papers as wholes in turn, by number, so many on each teaching day of the last phase: with n papers place ``k`` of the phase's days goes to the paper k modulo n."""
+    plan = Window.partitionBy("plan_id")
+    teaching = days.filter(F.col("kind") == phase).select("plan_id", "date", (F.row_number().over(plan.orderBy("date")) - 1).alias("_day"))
+    places = teaching.select("plan_id", "date", F.explode(F.sequence(F.lit(0), F.lit(a_day - 1))).alias("slot"), (F.col("_day") * a_day).alias("_first"))
+    ranked = papers.select("plan_id", "paper", (F.row_number().over(plan.orderBy("number", "paper")) - 1).alias("_at"), F.count("*").over(plan).alias("_n"))
+    return places.join(ranked, "plan_id").filter((F.col("_first") + F.col("slot")) % F.col("_n") == F.col("_at")).select("plan_id", "date", "slot", "paper")
+
+
 def day_of(plan_days: DataFrame, dates: DataFrame) -> DataFrame:
     """The plan's record for each asked date."""
     return dates.join(plan_days, ["plan_id", "date"])

@@ -114,6 +114,14 @@ def stamp_dates(files: DataFrame, date: str, green: Column | None = None) -> Dat
     return rows.withColumn("stamped", F.when(green if green is not None else F.lit(True), text).otherwise(F.col("text")))
 
 
-def not_exactly_one(members: DataFrame, member: str, group: str) -> DataFrame:
-    """Members that belong to several groups."""
-    return members.groupBy(member).agg(F.count_distinct(group).alias("groups")).filter("groups <> 1")
+def not_exactly_one(members: DataFrame, member: str, group: str, all_members: DataFrame | None = None) -> DataFrame:
+    """Members that belong to several groups, and those of ``all_members`` that belong to none."""
+    counts = members.groupBy(member).agg(F.count_distinct(group).alias("groups"))
+    if all_members is not None:
+        counts = all_members.select(member).distinct().join(counts, member, "left").fillna(0, ["groups"])
+    return counts.filter("groups <> 1")
+
+
+def unresolved(references: DataFrame, known: DataFrame, slug: str, *of: str) -> DataFrame:
+    """References (``of`` and the slug) to what isn't known, each once; a null slug resolves to nothing."""
+    return references.select(*of, slug).distinct().join(known.select(slug).distinct(), slug, "left_anti").select(*of, slug)

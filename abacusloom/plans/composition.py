@@ -165,9 +165,19 @@ def blind_gate(spark, sf_dir):
     return quality.consistency_gate(quality.compare_answers(labels, fresh, "doc_id", "k", "fresh"))
 
 
-@query("SELECT l_partkey AS item, count(DISTINCT l_suppkey) AS groups FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) <> 1")
+@query("SELECT p_partkey AS item, count(DISTINCT l_suppkey) AS groups FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity < 4 GROUP BY 1 HAVING count(DISTINCT l_suppkey) <> 1")
 def not_exactly_one(spark, sf_dir):
-    return quality.not_exactly_one(table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "item"), "item", "l_suppkey")
+    """Parts as chapters, suppliers of their small lines as groups: of none or of several."""
+    members = table(spark, sf_dir, "lineitem").filter("l_quantity < 4").withColumnRenamed("l_partkey", "item")
+    return quality.not_exactly_one(members, "item", "l_suppkey", table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "item"))
+
+
+@query("SELECT DISTINCT o_orderpriority AS confusable, o_custkey AS slug FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
+def unresolved_slugs(spark, sf_dir):
+    """Priorities as sets of slugs that are customers' keys; those of one segment were renamed."""
+    known = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").withColumnRenamed("c_custkey", "slug")
+    references = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("confusable"), F.col("o_custkey").alias("slug"))
+    return quality.unresolved(references, known, "slug", "confusable")
 
 
 @query("SELECT DISTINCT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) AND n_nationkey IN (SELECT c_nationkey FROM customer)")

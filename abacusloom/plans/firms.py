@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import firms as op
+from ..operators import reporting
 from ..sources.adapters import table
 
 QUERIES, ORACLES = {}, {}
@@ -27,7 +28,7 @@ SIGNS = {
     "income_of_the_year": {"receipts": 1, "accrued": 1, "prepaid": -1},
     "debtors_account": {"opening": 1, "sales": 1, "returns_in": -1, "receipts": -1, "provision": -1},
     "creditors_account": {"opening": 1, "purchases": 1, "returns_out": -1, "payments": -1},
-    "operating_cash": {"receipts": 1, "payments": -1, "carriage": -1},
+    "receipts_less_payments": {"receipts": 1, "payments": -1, "carriage": -1},
     "special_fund": {"receipts": 1, "accrued": 1, "payments": -1},
     "profit_after_adjustments": {"closing": 1, "accrued": -1, "prepaid": 1, "provision": -1},
 }
@@ -110,14 +111,6 @@ def branch_accounts(spark, sf_dir):
     return op.branch_accounts(rows, 25.0).select("branch", "stock_reserve", "closing_debtors", "in_transit")
 
 
-@query("""WITH a AS (SELECT c_custkey AS company, CAST(c_custkey % 997 * 100 AS DOUBLE) AS consideration, CAST(c_custkey % 613 * 150 AS DOUBLE) AS net_assets, 1000 AS shares, c_custkey % 400 AS held, c_custkey * 7 % 1000 AS agreed FROM customer)
-SELECT company, greatest(consideration - net_assets, 0) AS goodwill, greatest(net_assets - consideration, 0) AS reserve, agreed >= (shares - held) * CAST(0.9 AS DOUBLE) AS merger FROM a""")
-def amalgamation(spark, sf_dir):
-    k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(k.alias("company"), (k % 997 * 100).cast("double").alias("consideration"), (k % 613 * 150).cast("double").alias("net_assets"), F.lit(1000).alias("shares"), (k % 400).alias("held_before"), (k * 7 % 1000).alias("agreed"))
-    return op.amalgamation(rows).select("company", "goodwill", "reserve", "merger")
-
-
 @query("""WITH a AS (SELECT c_custkey AS company, CAST(c_custkey % 97 * 10 AS DOUBLE) AS cut, CAST(c_custkey % 41 * 5 AS DOUBLE) AS cred, CAST(c_custkey % 13 AS DOUBLE) AS rev, CAST(c_custkey % 800 AS DOUBLE) AS losses FROM customer), b AS (SELECT *, cut + cred + rev AS credit FROM a)
 SELECT company, credit, greatest(credit - losses, 0) AS to_reserve, greatest(losses - credit, 0) AS loss_left, round(cut / nullif(credit, 0), 6) AS share_of_holders FROM b""")
 def reconstruction(spark, sf_dir):
@@ -176,12 +169,12 @@ def taxes(spark, sf_dir):
     return op.taxes(rows, "company", 30.0)
 
 
-@query("""WITH c AS (SELECT o_orderkey AS contract, DATE '1998-01-01' AS begins, CAST(DATE '1998-01-01' + to_months(CAST(o_orderkey % 11 + 1 AS INTEGER)) AS DATE) AS ends, o_orderkey % 11 + 1 AS term, CAST(60 + o_custkey % 5 AS DOUBLE) AS spot, CAST(61 + o_custkey % 7 AS DOUBLE) AS forward, CAST(62 + o_custkey % 3 AS DOUBLE) AS closing, CAST(o_orderkey % 100 AS DOUBLE) AS units, o_orderkey % 4 = 0 AS speculates FROM orders)
-SELECT contract, CASE WHEN NOT speculates THEN round((forward - spot) * units * (CAST(least(term, 3) AS DOUBLE) / term), 6) END AS premium, CASE WHEN speculates THEN round((closing - forward) * units, 6) END AS gain, round(closing * units, 6) AS restated FROM c""")
+@query("""WITH c AS (SELECT o_orderkey AS contract, DATE '1998-01-01' AS begins, CAST(DATE '1998-01-01' + to_months(CAST(o_orderkey % 11 + 1 AS INTEGER)) AS DATE) AS ends, o_orderkey % 11 + 1 AS term, CAST(60 + o_custkey % 5 AS DOUBLE) AS spot, CAST(61 + o_custkey % 7 AS DOUBLE) AS forward, CAST(62 + o_custkey % 3 AS DOUBLE) AS closing, CAST(60 + o_custkey % 11 AS DOUBLE) AS remaining, CAST(o_orderkey % 100 AS DOUBLE) AS units, o_orderkey % 4 = 0 AS speculates FROM orders)
+SELECT contract, CASE WHEN NOT speculates THEN round((forward - spot) * units * (CAST(least(term, 3) AS DOUBLE) / term), 6) END AS premium, CASE WHEN speculates THEN round((remaining - forward) * units, 6) END AS gain, round(closing * units, 6) AS restated FROM c""")
 def forward_contracts(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     begins = F.lit("1998-01-01").cast("date")
-    rows = table(spark, sf_dir, "orders").select(k.alias("contract"), begins.alias("begins"), F.add_months(begins, (k % 11 + 1).cast("int")).alias("ends"), (60.0 + c % 5).alias("spot"), (61.0 + c % 7).alias("forward"), (62.0 + c % 3).alias("closing"), (k % 100).cast("double").alias("units"), (k % 4 == 0).alias("speculates"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("contract"), begins.alias("begins"), F.add_months(begins, (k % 11 + 1).cast("int")).alias("ends"), (60.0 + c % 5).alias("spot"), (61.0 + c % 7).alias("forward"), (62.0 + c % 3).alias("closing"), (60.0 + c % 11).alias("remaining"), (k % 100).cast("double").alias("units"), (k % 4 == 0).alias("speculates"))
     return op.forward_contracts(rows, "1998-04-01").select("contract", "premium", "gain", "restated")
 
 
@@ -192,13 +185,17 @@ def grants(spark, sf_dir):
     return op.grants(rows).select("asset", "charge_if_deducted", "income_if_deferred", "against_deferred", "to_profit")
 
 
-@query("""WITH b AS (SELECT c_custkey AS company, CAST(c_custkey % 1000 AS DOUBLE) AS o, CAST(c_custkey * 3 % 1000 AS DOUBLE) AS a, CAST(c_custkey % 50 AS DOUBLE) AS u, CAST(c_custkey % 80 AS DOUBLE) AS ceil, c_custkey % 20 AS cut FROM customer)
-SELECT company, greatest(o - a - u, 0) AS liability, least(greatest(a + u - o, 0), ceil) AS asset, round(o * cut / 100, 6) AS curtailment FROM b""")
+BENEFITS = ("obligation", "plan_assets", "unrecognised", "ceiling")
+
+
+@query(f"""WITH e AS (SELECT o_custkey AS company, {_kind_sql('o_orderkey', BENEFITS)} AS kind, o_totalprice AS amount, o_custkey % 20 AS cut FROM orders), s AS (SELECT company, min(cut) AS cut, {', '.join(total(f"kind = '{k}'", k) for k in BENEFITS)} FROM e GROUP BY 1)
+SELECT company, round(greatest(obligation - plan_assets - unrecognised, 0), 6) AS liability, round(least(greatest(plan_assets + unrecognised - obligation, 0), ceiling), 6) AS asset, round((obligation - unrecognised) * cut / 100, 6) AS curtailment FROM s""")
 def benefit_obligation(spark, sf_dir):
-    k = F.col("c_custkey")
-    of = lambda x: x.cast("double")
-    rows = table(spark, sf_dir, "customer").select(k.alias("company"), of(k % 1000).alias("obligation"), of(k * 3 % 1000).alias("plan_assets"), of(k % 50).alias("unrecognised"), of(k % 80).alias("ceiling"), (k % 20).alias("curtailed"))
-    return op.benefit_obligation(rows).select("company", "liability", "asset", "curtailment")
+    """Plans of customers, whose orders are their obligations, assets, unrecognised cost and ceilings."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company"), _kind("o_orderkey", BENEFITS).alias("kind"), F.col("o_totalprice").alias("amount"))
+    rows = reporting.by_kind(rows, "company", BENEFITS).withColumn("curtailed", F.col("company") % 20)
+    found = op.benefit_obligation(rows)
+    return found.select("company", F.round("liability", 6).alias("liability"), F.round("asset", 6).alias("asset"), "curtailment")
 
 
 @query("""WITH l AS (SELECT p_partkey AS lease, p_retailprice * 4 AS fair, p_retailprice AS payment, CAST(p_size % 5 + 6 AS DOUBLE) AS rate, p_size % 6 + 3 AS n, 2 AS k FROM part), i AS (SELECT *, rate / 100 AS i FROM l), v AS (SELECT *, least(fair, payment * (1 - pow(1 + i, -n)) / i) AS first FROM i)
@@ -208,16 +205,6 @@ def finance_lease(spark, sf_dir):
     return op.finance_lease(rows).select("lease", "initial", "after")
 
 
-PARTS = ("revenue", "cost", "billed")
-
-
-@query(f"""WITH e AS (SELECT l_suppkey AS contract, {_kind_sql('l_orderkey', PARTS)} AS kind, l_extendedprice AS amount, l_linenumber <> 1 AS ok FROM lineitem), s AS (SELECT contract, {', '.join(total(f"kind = '{k}' AND ok", k) for k in PARTS)} FROM e GROUP BY 1)
-SELECT contract, revenue, cost, billed, revenue - cost AS profit, greatest(revenue - billed, 0) AS due_from, greatest(billed - revenue, 0) AS due_to FROM s""")
-def contract_dues(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("contract"), _kind("l_orderkey", PARTS).alias("kind"), F.col("l_extendedprice").alias("amount"), (F.col("l_linenumber") != 1).alias("eligible"))
-    return op.contract_dues(rows, "contract")
-
-
 @query("""WITH f AS (SELECT c_custkey AS firm, CAST(c_custkey % 900 + 100 AS DOUBLE) AS o, CAST(c_custkey % 1100 + 150 AS DOUBLE) AS c, CAST(100 AS DOUBLE) AS a, CAST(100 + c_custkey % 20 AS DOUBLE) AS b, CAST(c_custkey % 60 AS DOUBLE) AS u, CAST(c_custkey % 9 + 1 AS DOUBLE) AS p FROM customer)
 SELECT firm, c - o AS financial, round(o * b / a, 6) AS restated, round(c - o * b / a, 6) AS real, round(c - u * p, 6) AS physical FROM f""")
 def purchasing_power(spark, sf_dir):

@@ -33,23 +33,23 @@ def _requests(spark, sf_dir):
 
 
 # by the rule's own steps: lists of days, slices of them, then one choice after another
-DAYS = f"""{REQUEST}, d0 AS (SELECT plan_id, start_date, exam_date, unnest(range(0, date_diff('day', start_date, exam_date))) AS seq FROM req),
-d1 AS (SELECT plan_id, start_date + CAST(seq AS INTEGER) AS date, exam_date, CAST(seq AS INTEGER) AS seq, CAST(isodow(start_date + CAST(seq AS INTEGER)) - 1 AS INTEGER) AS weekday, count(*) OVER (PARTITION BY plan_id) AS runway FROM d0),
-d2 AS (SELECT *, date + 1 = exam_date AS eve, (weekday = 5 OR (weekday = 2 AND (seq // 7) % 3 = 2)) AND date + 1 <> exam_date AS buffer FROM d1),
-wk AS (SELECT plan_id, date, weekday, exam_date, runway, count(*) OVER (PARTITION BY plan_id) AS works, row_number() OVER (PARTITION BY plan_id ORDER BY date) - 1 AS rank FROM d2 WHERE NOT eve AND NOT buffer),
-cuts AS (SELECT DISTINCT plan_id, exam_date, runway, works, CAST(floor(works * CAST(0.5 AS DOUBLE) + 0.5) AS BIGINT) AS n1, CAST(floor(works * CAST(0.2 AS DOUBLE) + 0.5) AS BIGINT) AS n3, CAST(floor(works * CAST(0.3 AS DOUBLE) + 0.5) AS BIGINT) AS np FROM wk),
-sl AS (SELECT *, greatest(0, works - n1 - n3) AS n2, greatest(1, n1) AS c1, greatest(CASE WHEN works - greatest(1, n1) > 1 THEN 1 ELSE 0 END, np) AS c2 FROM cuts),
-tail AS (SELECT wk.plan_id, min(rank - n1 - n2) FILTER (WHERE date >= wk.exam_date - 14) AS hit, count(*) AS l FROM wk JOIN sl USING (plan_id) WHERE rank >= n1 + n2 GROUP BY 1),
-cut AS (SELECT plan_id, CASE WHEN l >= 3 THEN least(greatest(coalesce(hit, l - 2), 1), l - 2) ELSE coalesce(hit, greatest(0, l - 2)) END AS cut FROM tail),
-ph AS (SELECT wk.*, CASE WHEN wk.runway < 21 THEN CASE WHEN rank < c1 THEN 'revision1' WHEN rank < c1 + c2 THEN 'revision2' ELSE 'revision3' END
+DAYS = f"""{REQUEST}, d0 AS MATERIALIZED (SELECT plan_id, start_date, exam_date, unnest(range(0, date_diff('day', start_date, exam_date))) AS seq FROM req),
+d1 AS MATERIALIZED (SELECT plan_id, start_date + CAST(seq AS INTEGER) AS date, exam_date, CAST(seq AS INTEGER) AS seq, CAST(isodow(start_date + CAST(seq AS INTEGER)) - 1 AS INTEGER) AS weekday, count(*) OVER (PARTITION BY plan_id) AS runway FROM d0),
+d2 AS MATERIALIZED (SELECT *, date + 1 = exam_date AS eve, (weekday = 5 OR (weekday = 2 AND (seq // 7) % 3 = 2)) AND date + 1 <> exam_date AS buffer FROM d1),
+wk AS MATERIALIZED (SELECT plan_id, date, weekday, exam_date, runway, count(*) OVER (PARTITION BY plan_id) AS works, row_number() OVER (PARTITION BY plan_id ORDER BY date) - 1 AS rank FROM d2 WHERE NOT eve AND NOT buffer),
+cuts AS MATERIALIZED (SELECT DISTINCT plan_id, exam_date, runway, works, CAST(floor(works * CAST(0.5 AS DOUBLE) + 0.5) AS BIGINT) AS n1, CAST(floor(works * CAST(0.2 AS DOUBLE) + 0.5) AS BIGINT) AS n3, CAST(floor(works * CAST(0.3 AS DOUBLE) + 0.5) AS BIGINT) AS np FROM wk),
+sl AS MATERIALIZED (SELECT *, greatest(0, works - n1 - n3) AS n2, greatest(1, n1) AS c1, greatest(CASE WHEN works - greatest(1, n1) > 1 THEN 1 ELSE 0 END, np) AS c2 FROM cuts),
+tail AS MATERIALIZED (SELECT wk.plan_id, min(rank - n1 - n2) FILTER (WHERE date >= wk.exam_date - 14) AS hit, count(*) AS l FROM wk JOIN sl USING (plan_id) WHERE rank >= n1 + n2 GROUP BY 1),
+cut AS MATERIALIZED (SELECT plan_id, CASE WHEN l >= 3 THEN least(greatest(coalesce(hit, l - 2), 1), l - 2) ELSE coalesce(hit, greatest(0, l - 2)) END AS cut FROM tail),
+ph AS MATERIALIZED (SELECT wk.*, CASE WHEN wk.runway < 21 THEN CASE WHEN rank < c1 THEN 'revision1' WHEN rank < c1 + c2 THEN 'revision2' ELSE 'revision3' END
   WHEN rank < n1 THEN 'study' WHEN rank < n1 + n2 THEN 'revision1' WHEN rank - n1 - n2 < cut THEN 'revision2' ELSE 'revision3' END AS phase FROM wk JOIN sl USING (plan_id) LEFT JOIN cut USING (plan_id)),
-pool AS (SELECT plan_id, date, weekday, exam_date, works, row_number() OVER (PARTITION BY plan_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY plan_id) AS n FROM
+pool AS MATERIALIZED (SELECT plan_id, date, weekday, exam_date, works, row_number() OVER (PARTITION BY plan_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY plan_id) AS n FROM
   (SELECT *, row_number() OVER (PARTITION BY plan_id, phase ORDER BY date DESC) AS back FROM ph) WHERE date >= exam_date - 35 AND date <= exam_date - 4 AND NOT (phase = 'revision3' AND back <= 2)),
-tg AS (SELECT DISTINCT plan_id, n, least(CASE WHEN n >= 20 THEN 6 WHEN n >= 14 THEN 5 WHEN n >= 8 THEN 3 WHEN n >= 4 THEN 2 ELSE 1 END, greatest(1, works // 5)) AS target FROM pool),
-spread AS (SELECT plan_id, ((k + 1) * n // (target + 1)) % n AS i, min(k) AS k FROM (SELECT *, unnest(range(0, n)) AS k FROM tg) q GROUP BY 1, 2),
-ranked AS (SELECT pool.plan_id, date, row_number() OVER (PARTITION BY pool.plan_id ORDER BY CASE WHEN weekday = 6 THEN 0 WHEN date = exam_date - 22 THEN 1 WHEN date = exam_date - 8 THEN 2 WHEN k IS NOT NULL THEN 3 ELSE 4 END, CASE WHEN weekday = 6 OR k IS NULL THEN pool.i ELSE k END) AS place FROM pool LEFT JOIN spread ON spread.plan_id = pool.plan_id AND spread.i = pool.i),
-mock AS (SELECT ranked.plan_id, date FROM ranked JOIN tg USING (plan_id) WHERE place <= target),
-days AS (SELECT d2.plan_id, d2.date, d2.weekday, d2.seq, d2.exam_date, d2.runway, buffer, phase, m.date IS NOT NULL AS mock, CASE WHEN eve THEN 'gap' WHEN buffer THEN 'buffer' WHEN m.date IS NOT NULL THEN 'mock' WHEN y.date IS NOT NULL AND ph.works >= 30 THEN 'minimum' ELSE phase END AS kind
+tg AS MATERIALIZED (SELECT DISTINCT plan_id, n, least(CASE WHEN n >= 20 THEN 6 WHEN n >= 14 THEN 5 WHEN n >= 8 THEN 3 WHEN n >= 4 THEN 2 ELSE 1 END, greatest(1, works // 5)) AS target FROM pool),
+spread AS MATERIALIZED (SELECT plan_id, ((k + 1) * n // (target + 1)) % n AS i, min(k) AS k FROM (SELECT *, unnest(range(0, n)) AS k FROM tg) q GROUP BY 1, 2),
+ranked AS MATERIALIZED (SELECT pool.plan_id, date, row_number() OVER (PARTITION BY pool.plan_id ORDER BY CASE WHEN weekday = 6 THEN 0 WHEN date = exam_date - 22 THEN 1 WHEN date = exam_date - 8 THEN 2 WHEN k IS NOT NULL THEN 3 ELSE 4 END, CASE WHEN weekday = 6 OR k IS NULL THEN pool.i ELSE k END) AS place FROM pool LEFT JOIN spread ON spread.plan_id = pool.plan_id AND spread.i = pool.i),
+mock AS MATERIALIZED (SELECT ranked.plan_id, date FROM ranked JOIN tg USING (plan_id) WHERE place <= target),
+days AS MATERIALIZED (SELECT d2.plan_id, d2.date, d2.weekday, d2.seq, d2.exam_date, d2.runway, buffer, phase, m.date IS NOT NULL AS mock, CASE WHEN eve THEN 'gap' WHEN buffer THEN 'buffer' WHEN m.date IS NOT NULL THEN 'mock' WHEN y.date IS NOT NULL AND ph.works >= 30 THEN 'minimum' ELSE phase END AS kind
   FROM d2 LEFT JOIN ph ON ph.plan_id = d2.plan_id AND ph.date = d2.date LEFT JOIN mock m ON m.plan_id = d2.plan_id AND m.date = d2.date LEFT JOIN mock y ON y.plan_id = d2.plan_id AND y.date = d2.date - 1)"""
 
 
@@ -161,6 +161,13 @@ def revision_stream(spark, sf_dir):
     return plan.revision_stream(_papers(spark, sf_dir), _syllabus(spark, sf_dir)[1], "chapter")
 
 
+@query(f"""WITH {DAYS}, {PAPERS}, t AS (SELECT plan_id, date, row_number() OVER (PARTITION BY plan_id ORDER BY date) - 1 AS d FROM days WHERE kind = 'revision3'),
+o AS (SELECT plan_id, paper, row_number() OVER (PARTITION BY plan_id ORDER BY number, paper) - 1 AS place, count(*) OVER (PARTITION BY plan_id) AS n FROM pp)
+SELECT t.plan_id, date, CAST(slot AS INTEGER) AS slot, paper FROM t JOIN o ON o.plan_id = t.plan_id CROSS JOIN (SELECT unnest([0, 1]) AS slot) q WHERE (d * 2 + slot) % n = place""")
+def paper_cycle(spark, sf_dir):
+    return plan.paper_cycle(_days(spark, sf_dir), _papers(spark, sf_dir))
+
+
 @query(f"""WITH {DAYS}, {PAPERS}, m AS (SELECT plan_id, date, exam_date, row_number() OVER (PARTITION BY plan_id ORDER BY date) - 1 AS nth, count(*) OVER (PARTITION BY plan_id) AS n FROM days WHERE mock),
 o AS (SELECT plan_id, paper, row_number() OVER (PARTITION BY plan_id ORDER BY CASE WHEN weak THEN 0 ELSE 1 END, number) - 1 AS place FROM pp)
 SELECT m.plan_id, date, nth, CASE WHEN n >= 3 AND nth >= n - 2 THEN 'full' ELSE CAST(paper AS VARCHAR) END AS scope, date IN (exam_date - 22, exam_date - 8) AS anchor FROM m JOIN o ON o.plan_id = m.plan_id AND o.place = nth % 4""")
