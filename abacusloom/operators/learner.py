@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .compose import chance
 from .ranges import BLOCK_ROWS, running
 
 WEEK_MS = 7 * 86_400_000
@@ -126,7 +127,7 @@ def notebook(answers: DataFrame, due_days: Column | None = None) -> DataFrame:
 
 def jitter_days(*parts: Column) -> Column:
     """A wait of 3 to 7 days that depends on the parts alone."""
-    return 3 + 4 * F.pmod(F.crc32(F.concat_ws("/", *(p.cast("string") for p in parts))), F.lit(1_000_000)) / 1_000_000
+    return 3 + 4 * chance("wait", *parts)
 
 
 def due_order(mistakes: DataFrame, now: str) -> DataFrame:
@@ -161,11 +162,9 @@ def variant_pick(served: DataFrame, questions: DataFrame) -> DataFrame:
     Candidates of a prefix are ranked once, by a hash; the best two per prefix and paper are enough, as only the question itself has to be
     avoided. ``served`` and ``questions`` have ``question_id``, ``prefix``, ``paper``."""
     free = questions.filter(~F.col("is_case")).select("question_id", "prefix", "paper")
-    pick = F.struct(F.crc32(F.col("question_id").cast("string")).alias("h"), F.col("question_id").alias("q"))
-
     def best_two(by: list[str], name: str) -> DataFrame:
         order = Window.partitionBy(*by).orderBy("h", "question_id")
-        ranked = free.withColumn("h", pick["h"]).withColumn("_n", F.row_number().over(order)).filter("_n <= 2")
+        ranked = free.withColumn("h", chance("variant", "question_id")).withColumn("_n", F.row_number().over(order)).filter("_n <= 2")
         return ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("h", F.col("question_id").alias("q")))).alias(name))
 
     rows = served.join(best_two(["prefix", "paper"], "near"), ["prefix", "paper"], "left").join(best_two(["prefix"], "far"), ["prefix"], "left")

@@ -54,6 +54,30 @@ def total(kind: str, name: str, amount: str = "amount") -> str:
     return f"CAST(sum(CASE WHEN {kind} THEN {dec(amount)} ELSE 0 END) AS DOUBLE) AS {name}"
 
 
+def _entries(spark, sf_dir, name, kinds):
+    """Orders as entries of their customer, their kind by their key."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias(name), _kind("o_orderkey", kinds).alias("kind"), F.col("o_totalprice").alias("amount"))
+
+
+def _sums(name, kinds):
+    return f"s AS (SELECT o_custkey AS {name}, {', '.join(total(f'kind = {k!r}', k) for k in kinds)} FROM (SELECT o_custkey, {_kind_sql('o_orderkey', kinds)} AS kind, o_totalprice AS amount FROM orders) e GROUP BY 1)"
+
+
+def _by_kind(spark, sf_dir, name, kinds):
+    """A customer's orders summed by kind, a column for each."""
+    return reporting.by_kind(_entries(spark, sf_dir, name, kinds), name, kinds)
+
+
+def _lines_by_kind(spark, sf_dir, name, kinds):
+    """A part's lines summed by kind, a column for each."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias(name), _kind("l_orderkey", kinds).alias("kind"), F.col("l_extendedprice").alias("amount"))
+    return reporting.by_kind(rows, name, kinds)
+
+
+def _line_sums(name, kinds):
+    return f"s AS (SELECT l_partkey AS {name}, {', '.join(total(f'kind = {k!r}', k) for k in kinds)} FROM (SELECT l_partkey, {_kind_sql('l_orderkey', kinds)} AS kind, l_extendedprice AS amount FROM lineitem) e GROUP BY 1)"
+
+
 MOVES = f"mv AS (SELECT o_custkey AS entity, {_kind_sql('o_orderkey', KINDS)} AS kind, o_totalprice AS amount FROM orders)"
 
 
@@ -94,29 +118,34 @@ def pro_rata_allotment(spark, sf_dir):
     return found.select("applicant", "category", F.col("allotted").cast("double").alias("allotted"), "excess", "to_allotment", "to_calls", "refund")
 
 
-@query("""WITH d AS (SELECT p_partkey AS issue_id, p_size * 100 AS units, 90 + p_partkey % 21 AS issue, 100 + p_partkey % 6 AS redeem FROM part)
+@query("""WITH d AS (SELECT l_partkey AS issue_id, CAST(sum(l_quantity) AS BIGINT) AS units, 90 + l_partkey % 21 AS issue, 100 + l_partkey % 6 AS redeem FROM lineitem GROUP BY ALL)
 SELECT issue_id, issue * units AS received, greatest(100 - issue, 0) * units AS discount, greatest(issue - 100, 0) * units AS premium, greatest(redeem - 100, 0) * units AS payable, (greatest(100 - issue, 0) + greatest(redeem - 100, 0)) * units AS loss FROM d""")
 def debenture_issue(spark, sf_dir):
-    k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(k.alias("issue_id"), (F.col("p_size") * 100).alias("units"), (90 + k % 21).alias("issue"), (100 + k % 6).alias("redeem"))
-    found = op.debenture_issue(rows)
+    """An issue for each part, of as many units as its lines have."""
+    k = F.col("l_partkey")
+    units = table(spark, sf_dir, "lineitem").groupBy(k.alias("issue_id")).agg(F.sum("l_quantity").cast("long").alias("units"))
+    found = op.debenture_issue(units.withColumns({"issue": 90 + F.col("issue_id") % 21, "redeem": 100 + F.col("issue_id") % 6}))
     return found.select("issue_id", *(F.col(c).cast("long").alias(c) for c in ("received", "discount", "premium", "payable", "loss")))
 
 
-@query("""SELECT c_custkey AS branch, round(abs(c_acctbal) * 25.0::DOUBLE / 125, 6) AS stock_reserve, CAST(c_custkey % 900 + c_custkey % 700 - c_custkey % 500 - c_custkey % 50 AS DOUBLE) AS closing_debtors, CAST(greatest(c_custkey % 300 - c_custkey % 200, 0) AS DOUBLE) AS in_transit FROM customer""")
+BRANCH = ("stock", "debtors", "credit_sales", "received", "returns", "sent", "arrived")
+
+
+@query(f"""WITH {_sums('branch', BRANCH)} SELECT branch, round(stock * 25.0::DOUBLE / 125, 6) AS stock_reserve, round(debtors + credit_sales - received - returns, 6) AS closing_debtors, round(greatest(sent - arrived, 0), 6) AS in_transit FROM s""")
 def branch_accounts(spark, sf_dir):
-    k = F.col("c_custkey")
-    of = lambda n: (k % n).cast("double")
-    rows = table(spark, sf_dir, "customer").select(k.alias("branch"), F.abs("c_acctbal").alias("stock"), of(900).alias("debtors"), of(700).alias("credit_sales"), of(500).alias("received"), of(50).alias("returns"), of(300).alias("sent"), of(200).alias("arrived"))
-    return op.branch_accounts(rows, 25.0).select("branch", "stock_reserve", "closing_debtors", "in_transit")
+    found = op.branch_accounts(_by_kind(spark, sf_dir, "branch", BRANCH), 25.0)
+    return found.select("branch", "stock_reserve", F.round("closing_debtors", 6).alias("closing_debtors"), F.round("in_transit", 6).alias("in_transit"))
+
 
+CREDITS = ("capital_cut", "losses", "creditors_cut", "losses", "revalued")
 
-@query("""WITH a AS (SELECT c_custkey AS company, CAST(c_custkey % 97 * 10 AS DOUBLE) AS cut, CAST(c_custkey % 41 * 5 AS DOUBLE) AS cred, CAST(c_custkey % 13 AS DOUBLE) AS rev, CAST(c_custkey % 800 AS DOUBLE) AS losses FROM customer), b AS (SELECT *, cut + cred + rev AS credit FROM a)
-SELECT company, credit, greatest(credit - losses, 0) AS to_reserve, greatest(losses - credit, 0) AS loss_left, round(cut / nullif(credit, 0), 6) AS share_of_holders FROM b""")
+
+@query(f"""WITH {_sums('company', tuple(dict.fromkeys(CREDITS))).replace(_kind_sql('o_orderkey', tuple(dict.fromkeys(CREDITS))), _kind_sql('o_orderkey', CREDITS))}, b AS (SELECT *, capital_cut + creditors_cut + revalued AS c FROM s)
+SELECT company, round(c, 6) AS credit, round(greatest(c - losses, 0), 6) AS to_reserve, round(greatest(losses - c, 0), 6) AS loss_left, round(capital_cut / nullif(c, 0), 6) AS share_of_holders FROM b""")
 def reconstruction(spark, sf_dir):
-    k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(k.alias("company"), (k % 97 * 10).cast("double").alias("capital_cut"), (k % 41 * 5).cast("double").alias("creditors_cut"), (k % 13).cast("double").alias("revalued"), (k % 800).cast("double").alias("losses"))
-    return op.reconstruction(rows).select("company", "credit", "to_reserve", "loss_left", "share_of_holders")
+    rows = reporting.by_kind(_entries(spark, sf_dir, "company", CREDITS), "company", tuple(dict.fromkeys(CREDITS)))
+    found = op.reconstruction(rows)
+    return found.select("company", *(F.round(c, 6).alias(c) for c in ("credit", "to_reserve", "loss_left")), "share_of_holders")
 
 
 @query("""WITH p AS (SELECT o_custkey AS firm, o_orderkey AS partner, CAST(o_orderkey % 3 + 1 AS DOUBLE) AS ratio, CAST(o_orderkey % 1000 AS DOUBLE) AS received FROM orders) SELECT firm, partner, round(sum(received) OVER w * ratio / sum(ratio) OVER w - received, 6) AS adjust FROM p WINDOW w AS (PARTITION BY firm)""")
@@ -144,11 +173,13 @@ def cash_book(spark, sf_dir):
     return op.cash_book(rows, "firm")
 
 
-@query("""SELECT p_partkey AS item, CAST(greatest(p_partkey % 90 - p_partkey % 40, 0) AS DOUBLE) AS loss, round(p_retailprice - p_retailprice * 100 / (100 + p_size), 6) AS unearned, round(p_size * 3 + p_retailprice * 100 / (100 + p_size), 6) AS closing FROM part""")
+GOODS = ("lost", "insured", "on_approval", "stock")
+
+
+@query(f"""WITH {_line_sums('item', GOODS)} SELECT item, round(greatest(lost - insured, 0), 6) AS loss, round(on_approval - on_approval * 100 / (100 + (item % 50 + 1)), 6) AS unearned, round(stock + on_approval * 100 / (100 + (item % 50 + 1)), 6) AS closing FROM s""")
 def stock_adjustments(spark, sf_dir):
-    k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(k.alias("item"), F.col("p_retailprice").alias("on_approval"), F.col("p_size").alias("margin"), (k % 90).cast("double").alias("lost"), (k % 40).cast("double").alias("insured"), (F.col("p_size") * 3).alias("stock"))
-    return op.stock_adjustments(rows).select("item", "loss", "unearned", "closing")
+    rows = _lines_by_kind(spark, sf_dir, "item", GOODS).withColumn("margin", F.col("item") % 50 + 1)
+    return op.stock_adjustments(rows).select("item", F.round("loss", 6).alias("loss"), "unearned", "closing")
 
 
 @query(f"""WITH d AS (SELECT o_custkey AS firm, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS bought, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER) AS due, CASE WHEN o_orderkey % 2 = 0 THEN 'debt' ELSE 'deposit' END AS kind FROM orders)
@@ -178,10 +209,12 @@ def forward_contracts(spark, sf_dir):
     return op.forward_contracts(rows, "1998-04-01").select("contract", "premium", "gain", "restated")
 
 
-@query("""WITH g AS (SELECT p_partkey AS asset, p_retailprice * 10 AS cost, p_retailprice * 2 AS "grant", 10 AS life, p_size % 10 AS years, CAST(p_partkey % 1500 AS DOUBLE) AS refund FROM part)
-SELECT asset, round((cost - "grant") / life, 6) AS charge_if_deducted, round("grant" / life, 6) AS income_if_deferred, round(least(refund, "grant" * (life - years) / life), 6) AS against_deferred, round(greatest(refund - "grant" * (life - years) / life, 0), 6) AS to_profit FROM g""")
+GRANTED = ("cost", "grant", "refund")
+
+
+@query(f"""WITH {_line_sums('asset', GRANTED).replace(' AS grant,', ' AS granted,')} SELECT asset, round((cost - granted) / 10, 6) AS charge_if_deducted, round(granted / 10, 6) AS income_if_deferred, round(least(refund, granted * (10 - asset % 10) / 10), 6) AS against_deferred, round(greatest(refund - granted * (10 - asset % 10) / 10, 0), 6) AS to_profit FROM s""")
 def grants(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset"), (F.col("p_retailprice") * 10).alias("cost"), (F.col("p_retailprice") * 2).alias("grant"), F.lit(10).alias("life"), (F.col("p_size") % 10).alias("years"), (F.col("p_partkey") % 1500).cast("double").alias("refund"))
+    rows = _lines_by_kind(spark, sf_dir, "asset", GRANTED).withColumns({"life": F.lit(10), "years": F.col("asset") % 10})
     return op.grants(rows).select("asset", "charge_if_deducted", "income_if_deferred", "against_deferred", "to_profit")
 
 
@@ -279,12 +312,13 @@ def method_change(spark, sf_dir):
     return op.method_change(_assets(spark, sf_dir)).select("asset", "charged", "would_be", "difference")
 
 
-@query("""WITH e AS (SELECT c_custkey AS company, CAST(c_custkey % 5000 + 100 AS DOUBLE) AS e, CAST(c_custkey % 3000 AS DOUBLE) AS eb, CAST(c_custkey % 90 + 10 AS DOUBLE) AS s, CAST(c_custkey % 70 + 10 AS DOUBLE) AS sb, CAST(c_custkey % 3 AS DOUBLE) / 4 AS bonus, CAST(c_custkey % 200 AS DOUBLE) AS saved, CAST(c_custkey % 17 AS DOUBLE) AS pot FROM customer)
+EARNINGS = ("earnings", "earnings_before", "shares", "shares_before", "saved", "potential")
+
+
+@query(f"""WITH {_sums('company', EARNINGS)}, e AS (SELECT company, earnings AS e, earnings_before AS eb, shares + 1 AS s, shares_before + 1 AS sb, CAST(company % 3 AS DOUBLE) / 4 AS bonus, saved, potential AS pot FROM s)
 SELECT company, round(e / (s * (1 + bonus)), 6) AS basic, round(eb / (sb * (1 + bonus)), 6) AS before_restated, round(least(e / (s * (1 + bonus)), (e + saved) / (s * (1 + bonus) + pot)), 6) AS diluted FROM e""")
 def restated_eps(spark, sf_dir):
-    k = F.col("c_custkey")
-    of = lambda x: x.cast("double")
-    rows = table(spark, sf_dir, "customer").select(k.alias("company"), of(k % 5000 + 100).alias("earnings"), of(k % 3000).alias("earnings_before"), of(k % 90 + 10).alias("shares"), of(k % 70 + 10).alias("shares_before"), (of(k % 3) / 4).alias("bonus"), of(k % 200).alias("saved"), of(k % 17).alias("potential"))
+    rows = _by_kind(spark, sf_dir, "company", EARNINGS).withColumns({"shares": F.col("shares") + 1, "shares_before": F.col("shares_before") + 1, "bonus": (F.col("company") % 3).cast("double") / 4})
     return op.restated_eps(rows).select("company", "basic", "before_restated", "diluted")
 
 
@@ -302,21 +336,25 @@ def insolvency_dividend(spark, sf_dir):
     return op.insolvency_dividend(rows, "debtor").select("claim_id", "debtor", "dividend", "bad")
 
 
-@query("""WITH a AS (SELECT c_custkey AS associate, CAST(20 + c_custkey % 31 AS DOUBLE) AS share, CAST(c_custkey % 700 AS DOUBLE) AS cost, c_acctbal AS results, CAST(c_custkey % 40 AS DOUBLE) AS dividends, abs(c_acctbal) * 2 AS assets FROM customer), v AS (SELECT *, cost + share / 100 * results - share / 100 * dividends AS v FROM a)
+ASSOCIATE = ("cost", "results", "dividends", "assets")
+
+
+@query(f"""WITH {_sums('associate', ASSOCIATE)}, v AS (SELECT *, CAST(20 + associate % 31 AS DOUBLE) AS share, cost + CAST(20 + associate % 31 AS DOUBLE) / 100 * (results - 150000) - CAST(20 + associate % 31 AS DOUBLE) / 100 * dividends AS v FROM s)
 SELECT associate, round(greatest(v, 0), 6) AS carrying, round(greatest(-v, 0), 6) AS unrecognised, round(share / 100 * assets, 6) AS venture_share FROM v""")
 def equity_method(spark, sf_dir):
-    k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(k.alias("associate"), (20 + k % 31).cast("double").alias("share"), (k % 700).cast("double").alias("cost"), F.col("c_acctbal").alias("results"), (k % 40).cast("double").alias("dividends"), (F.abs("c_acctbal") * 2).alias("assets"))
+    """Results are less a loss of 150,000, so that some associates are worth nothing."""
+    rows = _by_kind(spark, sf_dir, "associate", ASSOCIATE).withColumns({"share": (20 + F.col("associate") % 31).cast("double"), "results": F.col("results") - 150_000})
     return op.equity_method(rows).select("associate", "carrying", "unrecognised", "venture_share")
 
 
-@query("""WITH n AS (SELECT c_custkey AS newcomer, CAST(c_custkey % 900 + 100 AS DOUBLE) AS brought, CAST(c_custkey % 4 + 1 AS DOUBLE) / 10 AS share, CAST(c_custkey % 3000 AS DOUBLE) AS caps, CAST(c_custkey % 77 AS DOUBLE) AS ra, CAST(c_custkey % 55 AS DOUBLE) AS rd FROM customer)
-SELECT newcomer, round(brought / share, 6) AS implied, round(greatest(brought / share - caps - brought, 0), 6) AS hidden, ra - rd AS revaluation FROM n""")
+NEWCOMER = ("brought", "capitals", "revalued_assets", "revalued_debts")
+
+
+@query(f"""WITH {_sums('newcomer', NEWCOMER)}, n AS (SELECT *, CAST(newcomer % 4 + 1 AS DOUBLE) / 10 AS share FROM s)
+SELECT newcomer, round(brought / share, 6) AS implied, round(greatest(brought / share - capitals - brought, 0), 6) AS hidden, round(revalued_assets - revalued_debts, 6) AS revaluation FROM n""")
 def hidden_goodwill(spark, sf_dir):
-    k = F.col("c_custkey")
-    of = lambda x: x.cast("double")
-    rows = table(spark, sf_dir, "customer").select(k.alias("newcomer"), of(k % 900 + 100).alias("brought"), (of(k % 4 + 1) / 10).alias("share"), of(k % 3000).alias("capitals"), of(k % 77).alias("revalued_assets"), of(k % 55).alias("revalued_debts"))
-    return op.hidden_goodwill(rows).select("newcomer", "implied", "hidden", "revaluation")
+    rows = _by_kind(spark, sf_dir, "newcomer", NEWCOMER).withColumn("share", (F.col("newcomer") % 4 + 1).cast("double") / 10)
+    return op.hidden_goodwill(rows).select("newcomer", "implied", "hidden", F.round("revaluation", 6).alias("revaluation"))
 
 
 @query("""WITH f AS (SELECT o_custkey AS firm, o_orderkey % 3 AS project, year(o_orderdate) - 1995 AS t, CASE WHEN year(o_orderdate) = 1995 THEN -o_totalprice ELSE o_totalprice / 4 END AS amount FROM orders), n AS (SELECT firm, project, sum(amount / pow(CAST(1.08 AS DOUBLE), t)) AS npv FROM f GROUP BY 1, 2),

@@ -9,6 +9,7 @@ from ..operators import learner as op
 from ..operators.compose import union_by_key
 from ..sources import adapters as a
 from ..sources.adapters import ANSWER, MOCK_ITEM, NOW
+from .composition import chance as chance_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -104,14 +105,12 @@ def notebook_state(spark, sf_dir):
     return _notebook(spark, sf_dir)
 
 
+@query(f"""WITH {OPEN} SELECT learner_id, question_id, first_at, last_at, reps, sure, last_at + to_seconds(CAST(floor((3 + 4 * {chance_sql('wait', 'learner_id', 'question_id', 'reps')}) * 86400) AS BIGINT)) AS due FROM book""")
 def notebook_jitter(spark, sf_dir):
-    """Due times with the seeded wait; bounds are tested."""
+    """Due times with the seeded wait of three to seven days."""
     return op.notebook(a.fact_answer(spark, sf_dir))
 
 
-QUERIES["notebook_jitter"] = notebook_jitter
-
-
 @query(f"""WITH {OPEN} SELECT learner_id, question_id, first_at, row_number() OVER (PARTITION BY learner_id ORDER BY coalesce(sure, false) DESC, first_at, question_id) AS place
 FROM book WHERE due <= TIMESTAMP '{NOW}'""")
 def due_mistakes(spark, sf_dir):
@@ -156,8 +155,13 @@ def cards_due(spark, sf_dir):
     return op.cards_due(cards, shipped.join(cards, "card_id"), "1996-01-01 00:00:00")
 
 
+@query(f"""WITH q AS (SELECT p_partkey AS question_id, lower(p_type) AS prefix, p_brand AS paper, p_size > 45 AS is_case, {chance_sql('variant', 'p_partkey')} AS h FROM part),
+f AS MATERIALIZED (SELECT question_id, prefix, paper, row_number() OVER (PARTITION BY prefix, paper ORDER BY h, question_id) AS n1, row_number() OVER (PARTITION BY prefix ORDER BY h, question_id) AS n2 FROM q WHERE NOT is_case),
+near AS (SELECT q.question_id, arg_min(f.question_id, n1) AS v FROM q JOIN f ON f.prefix = q.prefix AND f.paper = q.paper AND f.question_id <> q.question_id AND n1 <= 2 GROUP BY 1),
+far AS (SELECT q.question_id, arg_min(f.question_id, n2) AS v FROM q JOIN f ON f.prefix = q.prefix AND f.question_id <> q.question_id AND n2 <= 2 GROUP BY 1)
+SELECT q.prefix, q.paper, q.question_id, coalesce(near.v, far.v, q.question_id) AS variant_id FROM q LEFT JOIN near USING (question_id) LEFT JOIN far USING (question_id)""")
 def variant_pick(spark, sf_dir):
-    """Parts of one type are variants of each other; hashes differ from SQL's, so it is tested by its rules."""
+    """Parts of one type are variants of each other."""
     part = a.table(spark, sf_dir, "part")
     questions = part.select(F.col("p_partkey").alias("question_id"), F.lower(F.col("p_type")).alias("prefix"), F.col("p_brand").alias("paper"), (F.col("p_size") > 45).alias("is_case"))
     return op.variant_pick(questions, questions)
@@ -172,9 +176,6 @@ def session_variants(spark, sf_dir):
     return op.session_variants(served, questions).groupBy("session").agg(F.count("*").alias("served"), F.count_distinct("variant_id").alias("variants"))
 
 
-QUERIES["variant_pick"] = variant_pick
-
-
 def _mock(spark, sf_dir):
     return a.fact_mock_item(spark, sf_dir)
 

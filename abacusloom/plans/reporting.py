@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reporting as op
 from ..sources.adapters import table
-from .firms import _kind, _kind_sql, dec, total
+from .firms import _entries, _kind, _kind_sql, _sums, dec, total
 
 QUERIES, ORACLES = {}, {}
 
@@ -19,15 +19,6 @@ def query(sql: str):
     return add
 
 
-def _entries(spark, sf_dir, name, kinds):
-    """Orders as entries of their customer, their kind by their key."""
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias(name), _kind("o_orderkey", kinds).alias("kind"), F.col("o_totalprice").alias("amount"))
-
-
-def _sums(name, kinds):
-    return f"s AS (SELECT o_custkey AS {name}, {', '.join(total(f'kind = {k!r}', k) for k in kinds)} FROM (SELECT o_custkey, {_kind_sql('o_orderkey', kinds)} AS kind, o_totalprice AS amount FROM orders) e GROUP BY 1)"
-
-
 def _part(percent):
     """So many units of money for each unit of a line as it has per cent: whole numbers, which no engine rounds."""
     return F.col("l_quantity") * F.round(F.col(percent) * 100, 0)
