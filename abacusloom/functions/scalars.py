@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# How papers, chapters and the ids of questions are written in the data.
+PAPER_NUMBER = r"(?i)Paper\s*(\d)"
+CHAPTER_NUMBER = r"(?i)Ch\s*(\d+)"
+QUESTION_PAPER = r"(?:^|-)f(\d+)c\d+"
+CHAPTER_SEGMENT = r"^Ch(apter)?\s*\d+$"
+
+
 def half_up_whole(x: Column) -> Column:
     """Nearest whole number, halves towards plus infinity."""
     return F.floor(x + 0.5)
@@ -51,7 +58,7 @@ def topic_prefix(topic: Column) -> Column:
 def topic_segments(topic: Column) -> Column:
     """Parts of a topic between middle dots, without a leading chapter number."""
     parts = F.transform(F.split(topic, "·"), lambda x: F.trim(x))
-    return F.filter(parts, lambda x: (x != "") & ~x.rlike(r"^Ch(apter)?\s*\d+$"))
+    return F.filter(parts, lambda x: (x != "") & ~x.rlike(CHAPTER_SEGMENT))
 
 
 def slug(text: Column) -> Column:
@@ -125,16 +132,16 @@ def table_rows(text: Column) -> Column:
 
 def paper_number(text: Column) -> Column:
     """Number after ``Paper`` in a display text, 0 without one."""
-    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)Paper\s*(\d)", 1), F.lit("")).cast("int"), F.lit(0))
+    return F.coalesce(F.nullif(F.regexp_extract(text, PAPER_NUMBER, 1), F.lit("")).cast("int"), F.lit(0))
 
 
 def chapter_number(text: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)Ch\s*(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
+    return F.coalesce(F.nullif(F.regexp_extract(text, CHAPTER_NUMBER, 1), F.lit("")).cast("int"), F.lit(0))
 
 
 def paper_of_question(question: Column) -> Column:
     """Paper that a question's id carries (``q-f1c4-001``, ``cs-f2c2-01``); null without one."""
-    return F.nullif(F.regexp_extract(question, r"(?:^|-)f(\d+)c\d+", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(question, QUESTION_PAPER, 1), F.lit("")).cast("int")
 
 
 def minutes_for(marks: Column) -> Column:

@@ -87,7 +87,7 @@ def national_income(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY a DESC, country) AS ra, row_number() OVER (PARTITION BY pair ORDER BY b DESC, country) AS rb, row_number() OVER (PARTITION BY pair ORDER BY CAST(b AS DOUBLE) / a, country) AS ca, row_number() OVER (PARTITION BY pair ORDER BY CAST(a AS DOUBLE) / b, country) AS cb FROM o)
 SELECT pair, max(CASE WHEN ra = 1 THEN country END) AS absolute_a, max(CASE WHEN rb = 1 THEN country END) AS absolute_b, max(CASE WHEN ca = 1 THEN country END) AS comparative_a, max(CASE WHEN cb = 1 THEN country END) AS comparative_b FROM r GROUP BY 1""")
 def comparative_advantage(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     output = rows.groupBy(F.col("n_regionkey").alias("pair"), F.col("n_nationkey").alias("country")).agg((F.count_if(F.col("c_custkey") % 2 == 0) + 1).alias("a"), (F.count_if(F.col("c_custkey") % 3 == 0) + 1).alias("b"))
     return op.comparative_advantage(output, "a", "b")
 

@@ -55,7 +55,8 @@ def _targets(spark, sf_dir):
 
 
 def _pool(spark, sf_dir):
-    return table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("paper"), (F.col("p_partkey") % 8).alias("grp"), F.col("p_partkey").alias("item"))
+    """Papers of low numbers lack some of their groups."""
+    return table(spark, sf_dir, "part").filter("p_partkey % 8 < 2 + p_size % 10").select((F.col("p_size") % 10).alias("paper"), (F.col("p_partkey") % 8).alias("grp"), F.col("p_partkey").alias("item"))
 
 
 @query(f"WITH {TARGETS} SELECT * FROM target")
@@ -63,13 +64,13 @@ def group_targets(spark, sf_dir):
     return _targets(spark, sf_dir)
 
 
-@query(f"""WITH {TARGETS}, p AS (SELECT p_size % 10 AS paper, p_partkey % 8 AS grp, count(*) AS pool FROM part GROUP BY 1, 2), s AS (SELECT t.paper, target, coalesce(pool, 0) AS pool FROM target t LEFT JOIN p ON p.paper = t.paper AND p.grp = t.grp)
+@query(f"""WITH {TARGETS}, p AS (SELECT p_size % 10 AS paper, p_partkey % 8 AS grp, count(*) AS pool FROM part WHERE p_partkey % 8 < 2 + p_size % 10 GROUP BY 1, 2), s AS (SELECT t.paper, target, coalesce(pool, 0) AS pool FROM target t LEFT JOIN p ON p.paper = t.paper AND p.grp = t.grp)
 SELECT paper, CAST(sum(pool) AS BIGINT) AS pool, CAST(least(100, sum(least(target, pool)) + sum(greatest(0, pool - target))) AS BIGINT) AS composable FROM s GROUP BY 1""")
 def pool_sizes(spark, sf_dir):
     return op.pool_sizes(_pool(spark, sf_dir), _targets(spark, sf_dir), "paper", "grp")
 
 
-@query(f"""WITH {TARGETS}, p AS (SELECT p_size % 10 AS paper, p_partkey % 8 AS grp, count(*) AS pool FROM part GROUP BY 1, 2), s AS (SELECT t.paper, t.grp, least(target, coalesce(pool, 0)) AS n FROM target t LEFT JOIN p ON p.paper = t.paper AND p.grp = t.grp)
+@query(f"""WITH {TARGETS}, p AS (SELECT p_size % 10 AS paper, p_partkey % 8 AS grp, count(*) AS pool FROM part WHERE p_partkey % 8 < 2 + p_size % 10 GROUP BY 1, 2), s AS (SELECT t.paper, t.grp, least(target, coalesce(pool, 0)) AS n FROM target t LEFT JOIN p ON p.paper = t.paper AND p.grp = t.grp)
 SELECT paper, grp, CAST(n AS BIGINT) AS drawn FROM s WHERE n > 0""")
 def stratified_draw(spark, sf_dir):
     """How many items each group gives to its target; which ones is up to the hash, and tested by its rules."""
@@ -77,7 +78,7 @@ def stratified_draw(spark, sf_dir):
     return drawn.filter("source = 'target'").groupBy("paper", "grp").agg(F.count("*").alias("drawn"))
 
 
-@query(f"""WITH {TARGETS}, p AS (SELECT p_size % 10 AS paper, p_partkey % 8 AS grp, count(*) AS pool FROM part GROUP BY 1, 2), s AS (SELECT t.paper, sum(target) AS want, sum(least(target, coalesce(pool, 0))) AS drawn, sum(coalesce(pool, 0)) AS pool FROM target t LEFT JOIN p ON p.paper = t.paper AND p.grp = t.grp GROUP BY 1)
+@query(f"""WITH {TARGETS}, p AS (SELECT p_size % 10 AS paper, p_partkey % 8 AS grp, count(*) AS pool FROM part WHERE p_partkey % 8 < 2 + p_size % 10 GROUP BY 1, 2), s AS (SELECT t.paper, sum(target) AS want, sum(least(target, coalesce(pool, 0))) AS drawn, sum(coalesce(pool, 0)) AS pool FROM target t LEFT JOIN p ON p.paper = t.paper AND p.grp = t.grp GROUP BY 1)
 SELECT paper, CAST(want AS BIGINT) AS want, CAST(drawn AS BIGINT) AS drawn, CAST(least(want - drawn, pool - drawn) AS BIGINT) AS backfilled, CAST(want - drawn AS BIGINT) AS short FROM s""")
 def draw_shortfall(spark, sf_dir):
     drawn = op.stratified_draw(_pool(spark, sf_dir), _targets(spark, sf_dir), "paper", "grp", "item", "seed")
@@ -137,10 +138,10 @@ def union_by_key(spark, sf_dir):
     return op.union_by_key(of("O"), of("F"), ["k"])
 
 
-@query("""WITH f AS (SELECT user_id, max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS in_0, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS in_1, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS in_2 FROM events GROUP BY 1)
+@query("""WITH f AS (SELECT event_id // 3 AS member, max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS in_0, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS in_1, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS in_2 FROM events GROUP BY 1)
 SELECT in_0, in_1, in_2, count(*) AS members, in_0 + in_1 + in_2 AS of_sets FROM f GROUP BY 1, 2, 3""")
 def venn_regions(spark, sf_dir):
-    return op.venn(table(spark, sf_dir, "events"), "user_id", "event_type", ["click", "view", "purchase"])
+    return op.venn(table(spark, sf_dir, "events").withColumn("member", F.floor(F.col("event_id") / 3)), "member", "event_type", ["click", "view", "purchase"])
 
 
 _EASE = "CASE rating WHEN 'again' THEN greatest(1.3, ease - 0.2) WHEN 'hard' THEN greatest(1.3, ease - 0.15) WHEN 'easy' THEN ease + 0.15 ELSE ease END"

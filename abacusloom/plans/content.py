@@ -327,11 +327,11 @@ def weights_as_of(spark, sf_dir):
     return dimensions.as_of(facts, held, ["topic"], "date").groupBy("weight", "label").agg(F.count("*").alias("facts"))
 
 
-@query("""WITH r AS (SELECT c_mktsegment AS scheme, c_nationkey AS ord, round(100.0 * count(*) FILTER (WHERE c_acctbal > 0) / count(*), 2) AS pct, CASE WHEN c_nationkey % 3 = 0 THEN count(*) END AS appeared FROM customer GROUP BY 1, 2)
+@query("""WITH r AS (SELECT c_mktsegment AS scheme, c_nationkey AS ord, round(100.0 * count(*) FILTER (WHERE c_acctbal > 4500) / count(*), 2) AS pct, CASE WHEN c_nationkey % 3 = 0 THEN count(*) END AS appeared FROM customer GROUP BY 1, 2)
 SELECT scheme, min(pct) AS lo, max(pct) AS hi, max_by(pct, ord) AS latest, count(*) AS sittings, count(appeared) AS with_counts FROM r GROUP BY 1""")
 def pass_rates(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    rates = c.groupBy(F.col("c_mktsegment").alias("scheme"), F.col("c_nationkey").alias("ord")).agg(F.round(100.0 * F.count_if(F.col("c_acctbal") > 0) / F.count("*"), 2).alias("pct"), F.when(F.first("c_nationkey") % 3 == 0, F.count("*")).alias("appeared"))
+    rates = c.groupBy(F.col("c_mktsegment").alias("scheme"), F.col("c_nationkey").alias("ord")).agg(F.round(100.0 * F.count_if(F.col("c_acctbal") > 4500) / F.count("*"), 2).alias("pct"), F.when(F.first("c_nationkey") % 3 == 0, F.count("*")).alias("appeared"))
     return op.pass_rates(rates)
 
 

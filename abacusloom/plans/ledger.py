@@ -102,10 +102,10 @@ def trial_balance(spark, sf_dir):
     return op.trial_balance(a.postings(spark, sf_dir))
 
 
-@query(f"""WITH {POSTING}, g AS (SELECT entry, round(sum(CASE WHEN side = 'dr' THEN amount ELSE -amount END), 5) AS gap FROM post WHERE NOT (entry % 10 = 3 AND side = 'cr') GROUP BY 1)
+@query(f"""WITH {POSTING}, g AS (SELECT entry, round(sum(CASE WHEN side = 'dr' THEN amount ELSE -amount END), 5) AS gap FROM post WHERE NOT (entry % 10 = 3 AND side = 'cr') AND NOT (entry % 10 = 7 AND side = 'dr') GROUP BY 1)
 SELECT entry, abs(gap) AS amount, CASE WHEN gap > 0 THEN 'cr' ELSE 'dr' END AS suspense_side, CASE WHEN gap > 0 THEN 'dr' ELSE 'cr' END AS cleared_by FROM g WHERE gap <> 0""")
 def suspense_account(spark, sf_dir):
-    return op.suspense(a.postings(spark, sf_dir).filter("NOT (entry % 10 = 3 AND side = 'cr')"))
+    return op.suspense(a.postings(spark, sf_dir).filter("NOT (entry % 10 = 3 AND side = 'cr') AND NOT (entry % 10 = 7 AND side = 'dr')"))
 
 
 SIGNED = {
@@ -264,7 +264,7 @@ def slab_tax(spark, sf_dir):
     return op.slab_tax(incomes, SLABS, "payer", "income").withColumn("income", op.money(F.col("income")))
 
 
-SEGMENT = """seg AS (SELECT n_regionkey AS entity, n_nationkey AS segment, round(sum(greatest(c_acctbal, 0)), 5) AS external, round(sum(abs(c_acctbal)) * 0.1, 5) AS internal, round(sum(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE -c_acctbal END), 5) AS result, round(sum(abs(c_acctbal)) * (n_nationkey % 4 + 1), 5) AS assets
+SEGMENT = """seg AS (SELECT n_regionkey AS entity, n_nationkey AS segment, round(sum(greatest(c_acctbal, 0)) * (n_nationkey % 3 * n_nationkey % 3 + 0.25::DOUBLE), 5) AS external, round(sum(abs(c_acctbal)) * 0.1, 5) AS internal, round(sum(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE -c_acctbal END), 5) AS result, round(sum(abs(c_acctbal)) * (n_nationkey % 4 * n_nationkey % 4 + 0.25::DOUBLE), 5) AS assets
   FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)"""
 
 
@@ -272,24 +272,24 @@ SEGMENT = """seg AS (SELECT n_regionkey AS entity, n_nationkey AS segment, round
 f AS (SELECT *, external + internal >= 0.1 * r AS by_revenue, abs(result) >= 0.1 * greatest(gain, loss) AS by_result, assets >= 0.1 * a AS by_assets FROM t), g AS (SELECT *, by_revenue OR by_result OR by_assets AS reportable FROM f)
 SELECT entity, segment, by_revenue, by_result, by_assets, reportable, sum(CASE WHEN reportable THEN external ELSE 0 END) OVER (PARTITION BY entity) >= 0.75 * e AS covers_three_quarters FROM g""")
 def segment_test(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     balance = F.col("c_acctbal")
     seg = rows.groupBy(F.col("n_regionkey").alias("entity"), F.col("n_nationkey").alias("segment")).agg(
-        op.money(F.sum(F.greatest(balance, F.lit(0.0)))).alias("external"),
+        op.money(F.sum(F.greatest(balance, F.lit(0.0))) * (F.first("n_nationkey") % 3 * F.first("n_nationkey") % 3 + 0.25)).alias("external"),
         op.money(F.sum(F.abs(balance)) * 0.1).alias("internal"),
         op.money(F.sum(F.when(F.col("c_custkey") % 2 == 0, balance).otherwise(-balance))).alias("result"),
-        op.money(F.sum(F.abs(balance)) * (F.first("n_nationkey") % 4 + 1)).alias("assets"),
+        op.money(F.sum(F.abs(balance)) * (F.first("n_nationkey") % 4 * F.first("n_nationkey") % 4 + 0.25)).alias("assets"),
     )
     return op.segment_test(seg, "entity").select("entity", "segment", "by_revenue", "by_result", "by_assets", "reportable", "covers_three_quarters")
 
 
-@query("""WITH s AS (SELECT o_custkey AS company_id, max(o_totalprice) * 10 AS e, sum(o_totalprice / 100 * month(o_orderdate)) / 12 AS s, max(o_totalprice) AS xe, count(*) * 500.0 AS xs FROM orders GROUP BY 1)
+@query("""WITH s AS (SELECT o_custkey AS company_id, max(o_totalprice) * 10 AS e, sum(o_totalprice / 100 * month(o_orderdate)) / 12 AS s, max(o_totalprice) AS xe, count(*) * CAST(o_custkey % 5 * 40 + 1 AS DOUBLE) AS xs FROM orders GROUP BY 1)
 SELECT company_id, round(e / s, 4) AS basic, round(least(e / s, (e + xe) / (s + xs)), 4) AS diluted, (e + xe) / (s + xs) < e / s AS dilutive FROM s""")
 def earnings_per_share(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("o_custkey")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company_id"), (F.max("o_totalprice").over(w) * 10).alias("earnings"), (F.col("o_totalprice") / 100).alias("shares"), F.month("o_orderdate").alias("months"), F.max("o_totalprice").over(w).alias("extra_earnings"), (F.count("*").over(w) * 500.0).alias("extra_shares"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company_id"), (F.max("o_totalprice").over(w) * 10).alias("earnings"), (F.col("o_totalprice") / 100).alias("shares"), F.month("o_orderdate").alias("months"), F.max("o_totalprice").over(w).alias("extra_earnings"), (F.count("*").over(w) * (F.col("o_custkey") % 5 * 40 + 1).cast("double")).alias("extra_shares"))
     return op.earnings_per_share(rows, "company_id")
 
 

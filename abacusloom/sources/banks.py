@@ -19,6 +19,7 @@ def read_banks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Banks below ``path`` that have questions, and a row for each file that can't be parsed, be it in one field only. Files without questions are in neither."""
     files = spark.read.schema(BANK).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     files = files.withColumn("path", F.col("_metadata.file_path"))
+    # Spark parses only fields that are used, and finds a mistyped field only if it parses it: the condition on questions, which always holds, makes it
     return files.filter("_corrupt IS NULL AND questions IS NOT NULL").drop("_corrupt"), files.filter("_corrupt IS NOT NULL AND coalesce(size(questions), 0) >= -1").select("path", F.lit("unparseable").alias("status"))
 
 
@@ -28,7 +29,7 @@ def read_notes(spark: SparkSession, path: str, glob: str = "*.mdx") -> DataFrame
 
 
 def append(df: DataFrame, path: str) -> None:
-    """Append events, exam results or rows for review to a table."""
+    """Append events, exam results or rows for review to a table, again if it is called again; ``appends.append_once`` doesn't repeat a batch."""
     df.write.mode("append").parquet(path)
 
 
