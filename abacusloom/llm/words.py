@@ -69,27 +69,29 @@ class WordCache:
         if self.held > self.most // 2:
             self.older, self.known, self.held = self.known, {}, 0
         known, older = self.known, self.older
-        get, before, new = known.get, len(known), set()
-        cut, found = [], []
-        for words in map(self.cut, texts):
+        get, before, new, join = known.get, len(known), set(), b"".join
+        found: list[bytes | list] = []
+        open_ = []  # texts with words that aren't known yet
+        for i, words in enumerate(map(self.cut, texts)):
             ids = list(map(get, words))
-            if None in ids:
+            try:
+                found.append(join(ids))
+            except TypeError:  # None is among them
+                found.append(ids)
+                open_.append((i, words))
                 new.update([w for w, x in zip(words, ids, strict=True) if x is None])
-            cut.append(words)
-            found.append(ids)
         if new:
             if older:
                 kept = {w: older[w] for w in new if w in older}
                 known.update(kept)
                 new.difference_update(kept)
             self.learn(list(new), known)
-            for words, ids in zip(cut, found, strict=True):
-                if None in ids:
-                    ids[:] = map(known.__getitem__, words)
+            for i, words in open_:
+                found[i] = join([known[w] if x is None else x for w, x in zip(words, found[i], strict=True)])
             for w in [w for w in new if len(w) >= LONG or type(w) is tuple and len(w[0]) >= LONG]:
                 del known[w]
             self.held += ENTRY_BYTES * (len(known) - before)
-        return list(map(b"".join, found))
+        return found
 
 
 @dataclass
