@@ -158,3 +158,56 @@ def equilibrium(rows: DataFrame) -> DataFrame:
     k = F.try_divide(F.lit(1.0), 1 - F.col("propensity"))
     y = (F.col("autonomous") + F.col("investment")) * k
     return rows.withColumns({"income": out(y), "consumption": out(F.col("autonomous") + F.col("propensity") * y), "added": out(k * F.col("more"))})
+
+
+# What an adjustment does to accounts with debit balances (sales, whose balance is a credit, fall by a debit), in parts of its amount: all of it, its cost, the part that an
+# insurer pays, or the rest of the cost.
+LEGS = {
+    "withdrawn": (("purchases", "cost", -1), ("drawings", "cost", 1)),
+    "samples": (("purchases", "cost", -1), ("advertising", "cost", 1)),
+    "abnormal_loss": (("purchases", "cost", -1), ("insurer", "insured", 1), ("losses", "uninsured", 1)),
+    "on_approval": (("sales", "amount", 1), ("debtors", "amount", -1), ("closing_stock", "cost", 1), ("trading", "cost", -1)),
+}
+
+
+def adjusted_accounts(balances: DataFrame, adjustments: DataFrame, entity: str) -> DataFrame:
+    """Accounts after adjustments, each of which changes its accounts by equal debits and credits. ``balances`` has account, amount (debits above zero);
+    ``adjustments`` kind, amount (at selling price), margin (per cent on cost) and insured. An account that only an adjustment touches begins at nil."""
+    d = lambda c: c.cast("decimal(18,2)")
+    rows = adjustments.withColumn("cost", F.round(F.col("amount") * 100 / (100 + F.col("margin")), 2))
+    rows = rows.withColumn("insured", F.least(F.coalesce("insured", F.lit(0.0)), "cost")).withColumn("uninsured", F.col("cost") - F.col("insured"))
+    legs = F.lit(None).cast("array<struct<account:string,change:decimal(18,2)>>")
+    for kind, parts in LEGS.items():
+        legs = F.when(F.col("kind") == kind, F.array(*(F.struct(F.lit(account).alias("account"), d(F.col(part) * sign).alias("change")) for account, part, sign in parts))).otherwise(legs)
+    changes = rows.select(entity, F.inline(legs)).groupBy(entity, "account").agg(F.sum("change").alias("change"))
+    held = balances.groupBy(entity, "account").agg(F.sum(d(F.col("amount"))).alias("before"))
+    both = held.join(changes, [entity, "account"], "full")
+    before, change = F.coalesce("before", F.lit(0)), F.coalesce("change", F.lit(0))
+    return both.select(entity, "account", before.cast("double").alias("before"), (before + change).cast("double").alias("after"))
+
+
+def special_funds(rows: DataFrame, entity: str) -> DataFrame:
+    """Funds kept for a purpose: what came in and what they were spent on. A fund pays its own expenses as far as it reaches (the rest is an ``excess`` that the year's
+    income bears), and what it bought goes to the capital fund, as far as it still reaches. ``rows`` has fund, kind (opening, receipt, income, expense, asset), amount."""
+    sums = by_kind(rows, [entity, "fund"], ["opening", "receipt", "income", "expense", "asset"])
+    held = F.col("opening") + F.col("receipt") + F.col("income")
+    left = over(held - F.col("expense"))
+    moved = F.least(F.col("asset"), left)
+    return sums.select(entity, "fund", out(left - moved).alias("closing"), out(over(F.col("expense") - held)).alias("excess"), out(moved).alias("to_capital"))
+
+
+def capital_fund(rows: DataFrame, entity: str) -> DataFrame:
+    """The capital fund of a body without owners: opening assets less debts, what is capitalised of special receipts, and the surplus of the year. Consumables that are used up are
+    bought ones and those held at first, less those left and what suppliers of the year before were paid."""
+    sums = by_kind(rows, entity, ["assets", "debts", "capitalised", "income", "expense", "stock_open", "paid", "creditors_open", "creditors_close", "stock_close"])
+    consumed = F.col("stock_open") + F.col("paid") - F.col("creditors_open") + F.col("creditors_close") - F.col("stock_close")
+    surplus = F.col("income") - F.col("expense") - consumed
+    return sums.select(entity, out(consumed).alias("consumed"), out(surplus).alias("surplus"), out(F.col("assets") - F.col("debts") + F.col("capitalised") + surplus).alias("closing"))
+
+
+def published_indices(sums: DataFrame, key: str) -> DataFrame:
+    """Indices as they are published, with two places: ratios of exact sums with halves up, Fisher's root with halves to the even digit. ``sums`` has s00, s01, s10, s11 as whole numbers:
+    prices of the base (0) or current (1) period, then quantities."""
+    two = lambda top, low: F.floor((F.col(top) * 20_000 + F.col(low)).cast("decimal(38,0)") / (2 * F.col(low)).cast("decimal(38,0)")).cast("double") / 100
+    fisher = 100 * F.sqrt(F.col("s10") / F.col("s00") * F.col("s11") / F.col("s01"))
+    return sums.select(key, two("s10", "s00").alias("laspeyres"), two("s11", "s01").alias("paasche"), F.bround(fisher, 2).alias("fisher"))

@@ -157,3 +157,55 @@ def equilibrium_income(spark, sf_dir):
     d = lambda c: F.sum(c.cast("decimal(18,2)")).cast("double")
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("economy")).agg(d(F.col("l_extendedprice")).alias("autonomous"), d(_part("l_discount")).alias("investment"), F.count("*").cast("double").alias("more"))
     return op.equilibrium(rows.withColumn("propensity", F.col("economy") % 9 / 10)).select("economy", "income", "consumption", "added")
+
+
+ADJUSTMENTS = tuple(op.LEGS)
+ACCOUNTS = ("purchases", "sales", "debtors", "drawings", "other")
+
+
+def _legs_sql():
+    return " UNION ALL ".join(f"SELECT entity, '{account}' AS account, {dec(f'{part} * {sign}')} AS change FROM adj WHERE kind = '{kind}'" for kind, parts in op.LEGS.items() for account, part, sign in parts)
+
+
+@query(f"""WITH a0 AS (SELECT l_suppkey AS entity, {_kind_sql('l_orderkey', ADJUSTMENTS)} AS kind, l_quantity * 125 AS amount, CAST(l_linenumber * 7 % 50 AS DOUBLE) AS ins FROM lineitem),
+a1 AS (SELECT entity, kind, amount, amount * 100 / 125 AS cost, ins FROM a0), adj AS (SELECT entity, kind, amount, cost, least(ins, cost) AS insured, cost - least(ins, cost) AS uninsured FROM a1),
+ch AS (SELECT entity, account, sum(change) AS change FROM ({_legs_sql()}) l GROUP BY 1, 2),
+bal AS (SELECT o_custkey AS entity, {_kind_sql('o_orderkey', ACCOUNTS)} AS account, sum({dec('o_totalprice')}) AS before FROM orders GROUP BY 1, 2)
+SELECT coalesce(bal.entity, ch.entity) AS entity, coalesce(bal.account, ch.account) AS account, CAST(coalesce(before, 0) AS DOUBLE) AS before, CAST(coalesce(before, 0) + coalesce(change, 0) AS DOUBLE) AS after FROM bal FULL JOIN ch ON bal.entity = ch.entity AND bal.account = ch.account""")
+def adjusted_accounts(spark, sf_dir):
+    """Suppliers' lines as adjustments of the accounts of the customer of the same number."""
+    c = F.col
+    adjustments = table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("entity"), _kind("l_orderkey", ADJUSTMENTS).alias("kind"), (c("l_quantity") * 125).alias("amount"), F.lit(25.0).alias("margin"), (c("l_linenumber") * 7 % 50).cast("double").alias("insured"))
+    balances = _entries(spark, sf_dir, "entity", ACCOUNTS).withColumnRenamed("kind", "account")
+    return op.adjusted_accounts(balances, adjustments, "entity")
+
+
+FUND = ("opening", "receipt", "income", "expense", "asset", "expense")
+
+
+@query(f"""WITH e AS (SELECT o_custkey AS entity, o_orderstatus AS fund, {_kind_sql('o_orderkey', FUND)} AS kind, o_totalprice AS amount FROM orders), s AS (SELECT entity, fund, {', '.join(total(f"kind = '{k}'", k) for k in dict.fromkeys(FUND))} FROM e GROUP BY 1, 2),
+t AS (SELECT *, opening + receipt + income AS held, greatest(opening + receipt + income - expense, 0) AS rest FROM s)
+SELECT entity, fund, round(rest - least(asset, rest), 6) AS closing, round(greatest(expense - held, 0), 6) AS excess, round(least(asset, rest), 6) AS to_capital FROM t""")
+def special_funds(spark, sf_dir):
+    """Orders of each status as a fund of their customer."""
+    o = table(spark, sf_dir, "orders")
+    return op.special_funds(o.select(F.col("o_custkey").alias("entity"), F.col("o_orderstatus").alias("fund"), _kind("o_orderkey", FUND).alias("kind"), F.col("o_totalprice").alias("amount")), "entity")
+
+
+CAPITAL = ("assets", "debts", "capitalised", "income", "expense", "stock_open", "paid", "creditors_open", "creditors_close", "stock_close")
+
+
+@query(f"""WITH {_sums('entity', CAPITAL)}, t AS (SELECT *, stock_open + paid - creditors_open + creditors_close - stock_close AS used FROM s)
+SELECT entity, round(used, 6) AS consumed, round(income - expense - used, 6) AS surplus, round(assets - debts + capitalised + (income - expense - used), 6) AS closing FROM t""")
+def capital_fund(spark, sf_dir):
+    return op.capital_fund(_entries(spark, sf_dir, "entity", CAPITAL), "entity")
+
+
+@query("""WITH q AS (SELECT l_partkey % 400 AS basket, CAST(l_linenumber * 10 + l_partkey % 7 AS BIGINT) AS p0, CAST(l_quantity AS BIGINT) AS q0, CAST(l_linenumber * 11 + l_partkey % 5 AS BIGINT) AS p1, CAST(l_quantity + l_linenumber % 3 AS BIGINT) AS q1 FROM lineitem),
+s AS (SELECT basket, CAST(sum(p0 * q0) AS BIGINT) AS s00, CAST(sum(p0 * q1) AS BIGINT) AS s01, CAST(sum(p1 * q0) AS BIGINT) AS s10, CAST(sum(p1 * q1) AS BIGINT) AS s11 FROM q GROUP BY 1)
+SELECT basket, CAST((s10 * 20000 + s00) // (2 * s00) AS DOUBLE) / 100 AS laspeyres, CAST((s11 * 20000 + s01) // (2 * s01) AS DOUBLE) / 100 AS paasche, round_even(100 * sqrt(CAST(s10 AS DOUBLE) / s00 * s11 / s01), 2) AS fisher FROM s""")
+def published_indices(spark, sf_dir):
+    c = F.col
+    n, part = c("l_linenumber"), c("l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select((part % 400).alias("basket"), (n * 10 + part % 7).cast("long").alias("p0"), c("l_quantity").cast("long").alias("q0"), (n * 11 + part % 5).cast("long").alias("p1"), (c("l_quantity") + n % 3).cast("long").alias("q1"))
+    return op.published_indices(rows.groupBy("basket").agg(*(F.sum(c(f"p{i}") * c(f"q{j}")).alias(f"s{i}{j}") for i in (0, 1) for j in (0, 1))), "basket")

@@ -128,3 +128,28 @@ def test_labels_and_topics(spark):
     topics = [["Ch 4 · Leases · Lessee", "Leases · Lessor", "Hire · Buyer"], ["A · x", "B · y", "C", "A · z"], ["Ch 1", "", None], []]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(topics)], "i int, t array<string>").orderBy("i").select(scalars.topic_list(F.col("t"))).collect()]
     assert got == [["Lessee", "Lessor", "Buyer"], ["A", "B", "C"], [], []]
+
+
+def test_adjusted_accounts(spark):
+    balances = spark.createDataFrame([(1, "purchases", 1_000.0), (1, "sales", -2_000.0), (1, "debtors", 700.0)], "e int, account string, amount double")
+    rows = [(1, "withdrawn", 125.0, 25.0, None), (1, "abnormal_loss", 250.0, 25.0, 150.0), (1, "abnormal_loss", 125.0, 25.0, 500.0), (1, "on_approval", 500.0, 25.0, None), (2, "samples", 10.0, 0.0, None)]
+    got = {(r["e"], r["account"]): (r["before"], r["after"]) for r in reporting.adjusted_accounts(balances, spark.createDataFrame(rows, "e int, kind string, amount double, margin double, insured double"), "e").collect()}
+    assert got == {
+        (1, "purchases"): (1_000, 600), (1, "drawings"): (0, 100), (1, "insurer"): (0, 250), (1, "losses"): (0, 50), (1, "sales"): (-2_000, -1_500), (1, "debtors"): (700, 200), (1, "closing_stock"): (0, 400), (1, "trading"): (0, -400),
+        (2, "purchases"): (0, -10), (2, "advertising"): (0, 10),
+    }
+    assert sum(after - before for before, after in got.values()) == 0
+
+
+def test_funds(spark):
+    rows = [(1, "prize", "opening", 500.0), (1, "prize", "income", 50.0), (1, "prize", "expense", 600.0), (1, "hall", "receipt", 900.0), (1, "hall", "expense", 100.0), (1, "hall", "asset", 300.0), (1, "lamp", "receipt", 80.0), (1, "lamp", "asset", 100.0)]
+    got = {r["fund"]: (r["closing"], r["excess"], r["to_capital"]) for r in reporting.special_funds(spark.createDataFrame(rows, "e int, fund string, kind string, amount double"), "e").collect()}
+    assert got == {"prize": (0, 50, 0), "hall": (500, 0, 300), "lamp": (0, 0, 80)}
+    row = one(reporting.capital_fund(entries(spark, assets=9_000, debts=1_000, capitalised=500, income=3_000, expense=1_200, stock_open=200, paid=700, creditors_open=150, creditors_close=250, stock_close=300), "e"))
+    assert (row["consumed"], row["surplus"], row["closing"]) == (700, 1_100, 9_600)
+
+
+def test_published_indices(spark):
+    sums = spark.createDataFrame([(1, 800, 1_600, 801, 1_641), (2, 200, 200, 225, 225)], "k int, s00 long, s01 long, s10 long, s11 long")
+    a, b = reporting.published_indices(sums, "k").orderBy("k").collect()
+    assert tuple(a)[1:] == (100.13, 102.56, round((100.125 * 102.5625) ** 0.5, 2)) and tuple(b)[1:] == (112.5, 112.5, 112.5)  # 100.125 and 102.5625 with halves up
