@@ -318,11 +318,11 @@ def dimension_versions(spark, sf_dir):
     return dimensions.versions(_loads(spark, sf_dir), ["topic"], "loaded").select("topic", "weight", "label", "valid_from", "valid_to")
 
 
-@query(f"""WITH {LOADS}, f AS (SELECT c_custkey % 200 AS topic, DATE '1994-06-01' + CAST(c_custkey % 3000 AS INTEGER) AS date FROM customer)
+@query(f"""WITH {LOADS}, f AS (SELECT c_custkey % 200 AS topic, DATE '1994-06-01' + CAST(c_custkey * 37 % 3000 AS INTEGER) AS date FROM customer)
 SELECT weight, label, count(*) AS facts FROM f LEFT JOIN ver ON ver.topic = f.topic AND date >= valid_from AND coalesce(date < valid_to, true) GROUP BY 1, 2""")
 def weights_as_of(spark, sf_dir):
     """Facts by the weight and label that their topic had on their date."""
-    facts = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 200).alias("topic"), F.date_add(F.lit("1994-06-01").cast("date"), (F.col("c_custkey") % 3000).cast("int")).alias("date"))
+    facts = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 200).alias("topic"), F.date_add(F.lit("1994-06-01").cast("date"), (F.col("c_custkey") * 37 % 3000).cast("int")).alias("date"))
     held = dimensions.versions(_loads(spark, sf_dir), ["topic"], "loaded")
     return dimensions.as_of(facts, held, ["topic"], "date").groupBy("weight", "label").agg(F.count("*").alias("facts"))
 
