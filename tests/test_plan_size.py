@@ -35,7 +35,7 @@ def test_listed_days_are_never_broadcast(spark, tmp_path):
     for df in (looked, paired):
         assert "Broadcast" not in _text(df)
     assert looked.count() == 50
-    each = paired.groupBy("plan_id", "stream").agg(F.count("*").alias("n"), F.count_distinct("date").alias("dates")).distinct().collect()
+    each = paired.groupBy("plan_id", "stream").agg(F.count("*").alias("n"), F.count_distinct("date").alias("dates")).select("n", "dates").distinct().collect()
     assert len(each) == 1 and each[0]["n"] == 30 and each[0]["dates"] == days.filter("plan_id = 0 AND kind = 'study'").count()
 
 
