@@ -54,9 +54,13 @@ def _targets(spark, sf_dir):
     return op.group_targets(_groups(spark, sf_dir), "paper", "section", "grp", "mid", "marks").select("paper", "grp", "target")
 
 
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("paper"), (F.col("p_partkey") % 8).alias("grp"), F.col("p_partkey").alias("item"))
+
+
 def _pool(spark, sf_dir):
     """Papers of low numbers lack some of their groups."""
-    return table(spark, sf_dir, "part").filter("p_partkey % 8 < 2 + p_size % 10").select((F.col("p_size") % 10).alias("paper"), (F.col("p_partkey") % 8).alias("grp"), F.col("p_partkey").alias("item"))
+    return _items(spark, sf_dir).filter("grp < 2 + paper")
 
 
 @query(f"WITH {TARGETS} SELECT * FROM target")
@@ -64,10 +68,10 @@ def group_targets(spark, sf_dir):
     return _targets(spark, sf_dir)
 
 
-@query(f"""WITH {TARGETS}, p AS (SELECT p_size % 10 AS paper, p_partkey % 8 AS grp, count(*) AS pool FROM part WHERE p_partkey % 8 < 2 + p_size % 10 GROUP BY 1, 2), s AS (SELECT t.paper, target, coalesce(pool, 0) AS pool FROM target t LEFT JOIN p ON p.paper = t.paper AND p.grp = t.grp)
+@query(f"""WITH {TARGETS}, p AS (SELECT p_size % 10 AS paper, p_partkey % 8 AS grp, count(*) AS pool FROM part GROUP BY 1, 2), s AS (SELECT t.paper, target, coalesce(pool, 0) AS pool FROM target t LEFT JOIN p ON p.paper = t.paper AND p.grp = t.grp)
 SELECT paper, CAST(sum(pool) AS BIGINT) AS pool, CAST(least(100, sum(least(target, pool)) + sum(greatest(0, pool - target))) AS BIGINT) AS composable FROM s GROUP BY 1""")
 def pool_sizes(spark, sf_dir):
-    return op.pool_sizes(_pool(spark, sf_dir), _targets(spark, sf_dir), "paper", "grp")
+    return op.pool_sizes(_items(spark, sf_dir), _targets(spark, sf_dir), "paper", "grp")
 
 
 @query(f"""WITH {TARGETS}, p AS (SELECT p_size % 10 AS paper, p_partkey % 8 AS grp, count(*) AS pool FROM part WHERE p_partkey % 8 < 2 + p_size % 10 GROUP BY 1, 2), s AS (SELECT t.paper, t.grp, least(target, coalesce(pool, 0)) AS n FROM target t LEFT JOIN p ON p.paper = t.paper AND p.grp = t.grp)
