@@ -181,8 +181,10 @@ def session_variants(served: DataFrame, questions: DataFrame) -> DataFrame:
     need = asked.groupBy("session", "prefix").agg(F.max("_n").alias("_n"))
     pool = questions.filter(~F.col("is_case")).select("prefix", "question_id")
     ranked = pool.withColumn("_rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.crc32(F.col("question_id").cast("string")), "question_id")))
-    # twice as many candidates as served ones are enough: at most that many of them are served themselves
-    near = need.join(ranked, "prefix").filter(F.col("_rank") <= 2 * F.col("_n"))
+    # twice as many candidates as served ones are enough: at most that many of them are served themselves. They are looked up by their ranks, so that a session
+    # meets its own candidates and not all questions of the prefix; the list of ranks seems small to Spark, and isn't
+    ranks = need.select("session", "prefix", F.explode(F.sequence(F.lit(1), (2 * F.col("_n")).cast("int"))).alias("_rank"))
+    near = ranks.hint("merge").join(ranked, ["prefix", "_rank"])
     free = near.join(served.select("session", "question_id"), ["session", "question_id"], "left_anti").withColumn("_turn", turn)
     free = free.select("session", "prefix", F.col("question_id").alias("_free"), F.row_number().over(w.orderBy("_turn", "question_id")).alias("_at"))
     return asked.join(free, ["session", "prefix", "_at"], "left").select("session", "prefix", "question_id", F.coalesce("_free", "question_id").alias("variant_id"))
