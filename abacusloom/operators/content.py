@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chapter_number, paper_number, slug
-from .compose import chance, greedy_fit
+from .compose import greedy_draw
 from .intervals import within
 
 NEGATIVE_PAPERS = (3, 4)
@@ -75,20 +75,20 @@ def all_questions(legacy: DataFrame, banked: DataFrame) -> DataFrame:
 def compose_papers(requests: DataFrame, questions: DataFrame, written_: DataFrame, seed: str) -> DataFrame:
     """For each request (request_id, paper, attempt) a paper of 30 marks of choice, case sets first and only whole, and 70 of written questions; what finds no room is passed
     over. ``missing`` are the marks that the bank can't fill. Order is chance, fixed by the seed."""
-    asked = requests.join(questions, "paper").filter(applicable(F.col("applicableAttempts"), F.col("attempt")))
+    pools = requests.select("paper", "attempt").distinct()
+    within_ = lambda rows: rows.join(F.broadcast(pools), "paper").filter(applicable(F.col("applicableAttempts"), F.col("attempt")))  # noqa: E731  a row for each paper and sitting
     unit = F.coalesce("case_id", "id")
-    units = asked.groupBy("request_id", unit.alias("unit"), F.col("case_id").isNull().alias("single")).agg((F.count("*") * MCQ_MARKS).cast("double").alias("marks"))
-    units = units.withColumn("_turn", F.struct("single", chance(seed, "request_id", "unit").alias("h"), "unit"))
-    long = requests.join(written_, "paper").filter(applicable(F.col("applicableAttempts"), F.col("attempt"))).select("request_id", F.col("id").alias("unit"), F.col("total_marks").alias("marks"))
-    long = long.withColumn("_turn", F.struct(F.lit(True).alias("single"), chance(seed, "request_id", "unit").alias("h"), "unit"))
-    parts = [greedy_fit(rows, "request_id", "_turn", "marks", F.lit(float(room)), ["unit", "marks"]).withColumn("part", F.lit(n)) for n, (rows, room) in enumerate(((units, MCQ_PART), (long, WRITTEN_PART)), 1)]
+    units = within_(questions).groupBy("paper", "attempt", unit.alias("unit"), F.col("case_id").isNull().alias("late")).agg((F.count("*") * MCQ_MARKS).cast("double").alias("marks"))
+    long = within_(written_).select("paper", "attempt", F.col("id").alias("unit"), F.lit(True).alias("late"), F.col("total_marks").alias("marks"))
+    asks = requests.select("request_id", "paper", "attempt")
+    parts = [greedy_draw(asks, rows, "request_id", ["paper", "attempt"], float(room), f"{seed}/{n}").withColumn("part", F.lit(n)) for n, (rows, room) in enumerate(((units, MCQ_PART), (long, WRITTEN_PART)), 1)]
     return parts[0].unionByName(parts[1])
 
 
 def shortfall(requests: DataFrame, composed: DataFrame) -> DataFrame:
     """Marks that each composed paper lacks in its two parts."""
     of = lambda n: F.coalesce(F.sum(F.when(F.col("part") == n, F.col("marks"))), F.lit(0.0))
-    rows = requests.select("request_id").join(composed, "request_id", "left").groupBy("request_id").agg(of(1).alias("choice"), of(2).alias("written"))
+    rows = requests.select("request_id").join(composed.hint("merge"), "request_id", "left").groupBy("request_id").agg(of(1).alias("choice"), of(2).alias("written"))
     return rows.withColumns({"missing_choice": MCQ_PART - F.col("choice"), "missing_written": WRITTEN_PART - F.col("written")})
 
 

@@ -1,10 +1,11 @@
 """Queries read whole tables, and what they do grows with them."""
 
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from abacusloom.operators import learner
+from abacusloom.operators import compose, learner
 from abacusloom.plans.registry import QUERIES
 
 
@@ -22,3 +23,33 @@ def test_a_session_meets_its_own_candidates_only(spark):
     assert len(rows) == 60 and len({(r["session"], r["variant_id"]) for r in rows}) == 60
     joins = re.findall(r"SortMergeJoin \[([^\]]*)\], \[[^\]]*\], Inner", got._jdf.queryExecution().executedPlan().toString())
     assert joins and all("_rank" in j for j in joins)
+
+
+def test_a_draw_is_greedy_and_even(spark):
+    """What is left of the room holds no unit that wasn't taken, early units come first, and each unit is taken about as often as its like."""
+    units = spark.range(40).select(F.lit("p").alias("pool"), F.concat(F.lit("u"), "id").alias("unit"), (F.col("id") >= 4).alias("late"), F.when(F.col("id") < 4, 8.0).otherwise(F.col("id") % 4 + 2.0).alias("marks"))
+    of = {r["unit"]: (r["late"], r["marks"]) for r in units.collect()}
+    got = {}
+    for r in compose.greedy_draw(spark.range(2_000).select("id", F.lit("p").alias("pool")), units, "id", ["pool"], 30.0, "s").collect():
+        assert of[r["unit"]][1] == r["marks"]
+        got.setdefault(r["id"], []).append(r["unit"])
+    assert len(got) == 2_000
+    for names in got.values():
+        left = 30 - sum(of[u][1] for u in names)
+        assert left >= 0 and len(set(names)) == len(names) and sum(not of[u][0] for u in names) == 3
+        assert all(m > left for u, (_, m) in of.items() if u not in names)
+    often = Counter(u for names in got.values() for u in names)
+    assert all(1_400 < often[u] < 1_600 for u in of if not of[u][0])  # three of four
+    for m in (2.0, 3.0, 4.0, 5.0):
+        like = [often[u] for u, (late, marks) in of.items() if late and marks == m]
+        assert max(like) < 2 * min(like)
+
+
+def test_requests_dont_meet_whole_pools(spark):
+    """A paper's requests times its questions would be 25 million rows here."""
+    asks = spark.range(5_000).select("id", F.lit("p").alias("pool"))
+    units = spark.range(5_000).select(F.lit("p").alias("pool"), F.col("id").alias("unit"), F.lit(True).alias("late"), F.lit(2.0).alias("marks"))
+    got = compose.greedy_draw(asks, units, "id", ["pool"], 30.0, "s")
+    assert got.count() == 75_000 and got.distinct().count() == 75_000
+    joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", got._jdf.queryExecution().executedPlan().toString())
+    assert joins and all("_rank" in j for j in joins)
