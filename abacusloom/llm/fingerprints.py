@@ -179,7 +179,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", ke
         of = lambda name: groups.select(F.col("id").alias(name), F.col("content").alias(f"print_{name}"))
         return pairs.join(of("a"), "a").join(of("b"), "b").filter(likeness_of("print_a", "print_b") >= threshold)
 
-    classes = link_by_bands(prints, bands_of("content"), verify)
+    # bands go as 64-bit hashes, shorter than their strings; should two bands share one, their pairs are verified like all others
+    classes = link_by_bands(prints, F.transform(bands_of("content"), lambda b: F.xxhash64(b)), verify)
     return classes.withColumnRenamed("id", key)
 
 
