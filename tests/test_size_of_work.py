@@ -53,3 +53,33 @@ def test_requests_dont_meet_whole_pools(spark):
     assert got.count() == 75_000 and got.distinct().count() == 75_000
     joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", got._jdf.queryExecution().executedPlan().toString())
     assert joins and all("_rank" in j for j in joins)
+
+
+def _rows_moved(spark, run):
+    """Rows that the run's stages wrote to shuffles."""
+    store, listed = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = store.stageList(listed(), False, False, none, listed())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = moved()
+    run()
+    return sum(n for k, n in moved().items() if k not in before)
+
+
+def test_a_draw_leaves_most_items_in_place(spark, monkeypatch):
+    """Also where Spark takes every table for a large one: only counts by bucket and items up to a cut move, and two groups of any size aren't two tasks' sorts."""
+    monkeypatch.setattr(compose, "BUCKETS", 64)
+    pool = spark.range(40_000).select((F.col("id") % 2).alias("paper"), (F.col("id") % 4).alias("grp"), F.col("id").alias("item"))
+    targets = spark.createDataFrame([(0, 0, 20), (0, 5, 30), (1, 1, 10)], "paper long, grp long, target long")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        assert _rows_moved(spark, lambda: got.extend(compose.stratified_draw(pool, targets, "paper", "grp", "item", "s").collect())) < 10_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert Counter((r["paper"], r["source"]) for r in got) == {(0, "target"): 20, (0, "backfill"): 30, (1, "target"): 10}
