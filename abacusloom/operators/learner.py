@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .compose import chance
-from .ranges import BLOCK_ROWS, running
+from .ranges import BLOCK_ROWS, dealt, running
 
 WEEK_MS = 7 * 86_400_000
 
@@ -191,6 +191,7 @@ def session_variants(served: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 RIGHT, WRONG = 1.0, -0.25  # marks of an answer in an exam with negative marking
+ITEMS_A_TASK = 1_000_000
 
 
 def mock_totals(items: DataFrame, bar: float = 40.0) -> DataFrame:
@@ -203,9 +204,12 @@ def mock_totals(items: DataFrame, bar: float = 40.0) -> DataFrame:
 
 
 def group_stats(items: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Accuracy and time per mock and group; groups that the dimension lacks are ``ungrouped``."""
+    """Accuracy and time per mock and group; groups that the dimension lacks are ``ungrouped``. Groups are few and their items many: the dimension is
+    broadcast, so that a group's items never meet in one task."""
+    source = items
     if groups is not None:
-        items = items.join(groups.select("group_id", F.lit(True).alias("known")), "group_id", "left").withColumn("group_id", F.when(F.col("known"), F.col("group_id")).otherwise("ungrouped"))
+        items = items.join(F.broadcast(groups.select("group_id", F.lit(True).alias("known"))), "group_id", "left").withColumn("group_id", F.when(F.col("known"), F.col("group_id")).otherwise("ungrouped"))
+    items = dealt(items.select("mock_id", "group_id", "status", "secs"), ["mock_id", "group_id"], ITEMS_A_TASK, source)
     n = lambda s: F.count_if(F.col("status") == s)
     sums = items.groupBy("mock_id", "group_id").agg(F.count("*").alias("n"), n("correct").alias("correct"), n("wrong").alias("wrong"), n("blank").alias("blank"), F.sum("secs").alias("secs"))
     return sums.withColumn("net", F.col("correct") * RIGHT + F.col("wrong") * WRONG)

@@ -83,3 +83,20 @@ def test_a_draw_leaves_most_items_in_place(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     assert Counter((r["paper"], r["source"]) for r in got) == {(0, "target"): 20, (0, "backfill"): 30, (1, "target"): 10}
+
+
+def test_a_group_of_items_is_many_tasks(spark, monkeypatch):
+    """Joined by group, nearly all items would be one task's, where Spark takes the dimension for large; and a task holds so many items."""
+    monkeypatch.setattr(learner, "ITEMS_A_TASK", 100, raising=False)
+    items = spark.range(1_000).selectExpr("id DIV 4 AS mock_id", "CASE WHEN id % 100 = 0 THEN 'A' WHEN id % 100 <> 1 THEN 'N' END AS group_id", "IF(id % 2 = 0, 'correct', 'wrong') AS status", "1.5D AS secs")
+    groups = spark.createDataFrame([("A",), ("R",)], "group_id string")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = learner.group_stats(items, groups)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.rdd.getNumPartitions() == 10
+        rows = got.groupBy("group_id").agg(F.sum("n").alias("n"), F.sum("correct").alias("correct"), F.sum("secs").alias("secs")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert sorted(map(tuple, rows)) == [("A", 10, 10, 15.0), ("ungrouped", 990, 490, 1485.0)]
