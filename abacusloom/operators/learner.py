@@ -191,7 +191,7 @@ def session_variants(served: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 RIGHT, WRONG = 1.0, -0.25  # marks of an answer in an exam with negative marking
-ITEMS_A_TASK = 1_000_000
+ITEMS_A_TASK = 2_000_000
 
 
 def mock_totals(items: DataFrame, bar: float = 40.0) -> DataFrame:
