@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, shuffle_partitions, small_batches, table, take_over
-from .linking import link_by_bands
+from .common import give_back, materialise, shuffle_partitions, small_batches, table, take_over
+from .linking import link_by_marked_bands
 
 PERIOD = 512  # the random bits repeat after so many steps
 DENSE = 128  # every step below this one is sampled
@@ -39,6 +39,7 @@ BANDS, BAND_WIDTH = 24, 6  # at likeness 0.8 symbols agree with 0.8125: a pair i
 SHORTEST = 8  # steps of a walk that is banded
 CHANCE = 1 / 16  # that two unlike symbols agree
 SEED = 20_240
+MARK = ("steps", "start", "seen", "a0", "a1", "b0", "b1")  # see marked_bands
 MOST_BUCKETS, PER_BUCKET = 100_000, 20  # buckets that texts are dealt by, sampled keys for each
 
 
@@ -148,6 +149,43 @@ def bands(value: str) -> list[str]:
     return [f"{octave}:{band}:{key.tobytes().decode()}" for octave in octaves for band, key in enumerate(seen[_places(octave)])]
 
 
+@lru_cache(OCTAVES + 8)
+def _block(octave: int) -> slice:
+    """The symbols sampled between the first 2**(octave - 1) steps and the first 2**octave: all of them or ``PER_OCTAVE``."""
+    return slice(*np.searchsorted(_walk()[2], (1 << octave - 1, 1 << octave)).tolist())
+
+
+def marked_bands(value: str) -> dict:
+    """``bands``, the same of both octaves by turns, and a mark, which tells most unlike walks apart: steps, the last power of two that they fill, two bits
+    of each symbol in the block before it and in the one after it, and how many symbols the latter has."""
+    length, symbols = value.split("-", 1)
+    steps, keys = int(length, 16), bands(value)
+    full = max(1, steps.bit_length() - 1)
+    code = np.frombuffer(symbols.encode(), np.uint8)
+    code = (code & 15) + 9 * (code >> 6)  # of hexadecimal digits
+    planes = np.zeros((4, PER_OCTAVE), np.uint8)
+    for k in range(2):
+        own = code[_block(full + k)]
+        planes[2 * k, : len(own)], planes[2 * k + 1, : len(own)] = own & 1, own >> 1 & 1
+    return {"bands": [k for i in range(BANDS) for k in keys[i::BANDS]]} | dict(zip(MARK, (steps, 1 << full, len(own), *np.packbits(planes, axis=1).view(np.int64)[:, 0].tolist()), strict=True))
+
+
+def may_be_like(x: Column, y: Column, threshold: float) -> Column:
+    """Whether the marks of two walks that share a band leave it open that their likeness reaches ``threshold``: false only if they tell too many steps apart.
+    Symbols that differ in none of the two bits count as equal here, and so do those outside the blocks."""
+    unlike = lambda p, q: F.bit_count(x[f"{p}0"].bitwiseXOR(y[f"{q}0"]).bitwiseOR(x[f"{p}1"].bitwiseXOR(y[f"{q}1"])))
+    longest, start = F.greatest(x["steps"], y["steps"]), F.greatest(x["start"], y["start"])
+    steps = F.greatest(F.lit(1.0), start / DENSE)  # for a symbol of the block before ``start``
+    rest = lambda seen: F.when(seen > 0, longest - start).otherwise(0)
+    apart = (
+        F.when(x["start"] == y["start"], unlike("a", "a") * steps + unlike("b", "b") * (longest - start) / F.greatest(F.lit(1), x["seen"], y["seen"]))
+        .when(x["start"] == 2 * y["start"], unlike("a", "b") * steps + rest(x["seen"]))
+        .when(y["start"] == 2 * x["start"], unlike("b", "a") * steps + rest(y["seen"]))
+        .otherwise(0)  # they share no octave
+    )
+    return F.lit(threshold <= 0) | (apart <= (1 - threshold) * (1 - CHANCE) * longest * (1 + 1e-9) + 1e-6)
+
+
 def band_hits(a: str, b: str) -> int:
     return len(set(bands(a)) & set(bands(b)))
 
@@ -162,9 +200,9 @@ def likeness_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def bands_of(values: pd.Series) -> pd.Series:
-    return values.map(bands)
+@F.pandas_udf(T.StructType([T.StructField("bands", T.ArrayType(T.StringType())), *(T.StructField(c, T.LongType()) for c in MARK)]))
+def marked_bands_of(values: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([marked_bands(v) for v in values], columns=["bands", *MARK])
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -173,14 +211,17 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", ke
     Equal fingerprints form one class first, however many they are; their representatives meet in bands and
     are linked where their likeness reaches ``threshold``. Empty texts form one class; an empty table gives none."""
     small_batches(docs.sparkSession)
-    prints = docs.select(F.col(key).alias("id"), fingerprint_of(F.coalesce(F.col(text), F.lit(""))).alias("content"))
+    prints = docs.select(F.col(key).alias("id"), fingerprint_of(F.coalesce(F.col(text), F.lit(""))).alias("print"))
+    prints = materialise(prints.select("id", "print", F.unhex(F.sha2("print", 256)).alias("content")))
 
     def verify(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-        of = lambda name: groups.select(F.col("id").alias(name), F.col("content").alias(f"print_{name}"))
+        of = lambda name: groups.select(F.col("id").alias(name), F.col("print").alias(f"print_{name}"))
         return pairs.join(of("a"), "a").join(of("b"), "b").filter(likeness_of("print_a", "print_b") >= threshold)
 
     # bands go as 64-bit hashes, shorter than their strings; should two bands share one, their pairs are verified like all others
-    classes = link_by_bands(prints, F.transform(bands_of("content"), lambda b: F.xxhash64(b)), verify)
+    marked = marked_bands_of("print")
+    bands, mark = F.transform(marked["bands"], lambda b: F.xxhash64(b)), F.struct(*(marked[c].alias(c) for c in MARK))
+    classes = link_by_marked_bands(prints, bands, mark, lambda x, y: may_be_like(x, y, threshold), verify)
     return classes.withColumnRenamed("id", key)
 
 

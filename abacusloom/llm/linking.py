@@ -13,6 +13,8 @@ different components are compared, or ruled out exactly by ``meet``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, materialise
 
 BLOCK = 1_024  # members of a bucket or list that one block of a join holds on its right
+LEADERS = 8  # of a bucket whose first leader had near members
+LEFT, RIGHT, LARGEST = 1, 2, 4  # a member's sides in a block, and whether it is of the bucket's largest component
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -120,6 +124,11 @@ def link_by_bands(
         more = materialise(verify(pairs, groups).select("a", "b"))
         if not more.isEmpty():
             component = cut(connected_components(edges.unionByName(more)))
+    return _classes(rows, groups, component)
+
+
+def _classes(rows: DataFrame, groups: DataFrame, component: DataFrame) -> DataFrame:
+    """``id``, ``class_id``, ``class_size`` of each row, from the components of the contents' smallest ids."""
     classes = materialise(
         groups.select("id", "content", "copies")
         .join(component.withColumnRenamed("node", "id"), "id", "left")
@@ -128,3 +137,65 @@ def link_by_bands(
     sizes = materialise(classes.groupBy("class_id").agg(F.sum("copies").alias("class_size")))  # apart, so that the join may be split
     known = materialise(classes.join(sizes, "class_id", "left").select("content", "class_id", F.coalesce("class_size", "copies").alias("class_size")))
     return rows.select("id", "content").join(known, "content").select("id", "class_id", "class_size")
+
+
+def link_by_marked_bands(
+    rows: DataFrame,
+    bands: Column,
+    mark: Column,
+    alike: Callable[[Column, Column], Column],
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
+    leading: int = 6,
+    rounds: int = 3,
+) -> DataFrame:
+    """As ``link_by_bands``, for bands so short that unlike rows share them by chance, in numbers that grow with the square of the rows.
+
+    ``mark`` is a small value of the content; ``alike(mark, mark)`` holds for all near pairs that share a band, and for few others. Marks travel with
+    the bands and are compared where a bucket's members meet, so that only pairs of like marks are written, shuffled and verified.
+    Leaders are taken in the first ``leading`` bands alone, and after the first round in those buckets alone in which one had members of like mark. What
+    decides is the settling over all bands: buckets of up to ``BLOCK`` members meet whole, longer ones in blocks, without the pairs of their largest component."""
+    extra = [c for c in rows.columns if c not in ("id", "content")]
+    groups = materialise(rows.groupBy("content").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in extra)))
+    marked = materialise(groups.select("id", bands.alias("bands"), mark.alias("mark")))
+    component = groups.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+    edges = None
+
+    def placed(members: DataFrame) -> DataFrame:
+        return members.join(component, members.id == component.node, "left").drop("node").withColumn("component", F.coalesce("component", "id"))
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal edges, component
+        more = materialise(verify(materialise(pairs), groups).select("a", "b"))
+        if not more.isEmpty():
+            edges = more if edges is None else edges.unionByName(more)
+            component = cut(connected_components(edges))
+
+    near = (F.col("x.component") != F.col("y.component")) & alike(F.col("x.mark"), F.col("y.mark"))
+    pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    told = marked.select("id", "mark", F.explode(F.slice("bands", 1, leading)).alias("band"))
+    for nth in range(rounds):
+        order = [F.xxhash64("id", F.lit(nth * LEADERS + i)) for i in range(LEADERS if nth else 1)]
+        told = placed(told)
+        least = told.groupBy("band").agg(F.array(*map(F.min, order)).alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "least")
+        leads = reduce(or_, (o == F.col("least")[i] for i, o in enumerate(order)))
+        told = materialise(told.join(least, "band").select("id", "mark", "band", "component", leads.alias("leads")))
+        found = materialise(told.alias("x").join(told.filter("leads").alias("y"), "band").filter(near).select("band", *pair))
+        if found.isEmpty():
+            break
+        link(found.select("a", "b").distinct())
+        told = told.join(found.select("band").distinct(), "band", "left_semi").select("id", "mark", "band")
+
+    each = placed(marked).select("id", "mark", "component", F.explode("bands").alias("band"))
+    crowded = materialise(each.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("band"))  # one for each BLOCK rows at most
+    counts = each.join(F.broadcast(crowded), "band").groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
+    held = materialise(counts.agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")))
+    at = lambda block, sides: F.struct(block.cast("int").alias("block"), sides.cast("int").alias("sides"))
+    largest = F.col("component") == F.col("largest")
+    right = F.array(at(F.pmod(F.xxhash64("id"), F.col("blocks")), F.when(largest, RIGHT | LARGEST).otherwise(RIGHT)))
+    left = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda block: at(block, F.lit(LEFT)))
+    places = F.when(F.col("blocks").isNull(), F.array(at(F.lit(0), F.lit(LEFT | RIGHT)))).when(largest, right).otherwise(F.concat(right, left))
+    dealt = each.join(F.broadcast(held), "band", "left").select("id", "mark", "component", "band", F.explode(places).alias("at")).select("id", "mark", "component", "band", "at.*")
+    sides = F.col("x.sides").bitwiseAND(LEFT) + F.col("y.sides").bitwiseAND(RIGHT) == F.lit(LEFT | RIGHT)  # in one term, so that both sides of the join are one exchange
+    once = (F.col("y.sides") >= LARGEST) | (F.col("x.id") < F.col("y.id"))
+    link(dealt.alias("x").join(dealt.alias("y"), ["band", "block"]).filter(sides & once & near).select(*pair).distinct())
+    return _classes(rows, groups, component)

@@ -125,6 +125,62 @@ def test_fingerprint_classes(spark):
     assert all(got[10 + i] == got[i] == i for i in range(6)) and got[20] == 0
 
 
+def chance_texts(n, seed, letters="ab", sizes=(300, 500)):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choices(letters, k=rnd.randrange(*sizes))) for _ in range(n)]
+
+
+def test_pairs_that_share_bands_by_chance_are_not_written(spark, monkeypatch):
+    """Texts of two letters share bands, all with all, and none is near another: their pairs must not go to disk."""
+    texts = chance_texts(100, 3)
+    assert sum(bool(fingerprints.band_hits(fingerprints.fingerprint(texts[0]), fingerprints.fingerprint(t))) for t in texts) > 50
+    written, keep = [], linking.materialise
+    monkeypatch.setattr(linking, "materialise", lambda df: (written.append(out := keep(df)), out)[1])
+    rows = spark.createDataFrame(list(enumerate([*texts, texts[0][:-1] + "q"])), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_classes(rows).collect()}
+    assert got == {i: i % 100 for i in range(101)}
+    assert sum(df.count() for df in written if {"a", "b"} <= set(df.columns)) < 100
+
+
+@pytest.mark.parametrize("block", [4, linking.BLOCK])
+def test_fingerprint_classes_are_those_of_all_pairs_that_share_a_band(spark, sf_dir, monkeypatch, block):
+    rnd = random.Random(11)
+    texts = [t for _, t in sorted(texts_of(documents(spark, sf_dir)).items())][:60] + chance_texts(20, 4, sizes=(4, 700))
+    for t in list(texts):
+        for size in (12, 64, 130, 600, 3_000):
+            x = list(t[:size])
+            texts += [t[:size], t[: int(size * rnd.uniform(0.85, 1))]]
+            for _ in range(rnd.choice((1, 2, 4)) if x else 0):
+                x[rnd.randrange(len(x))] = rnd.choice("qxz ")
+            texts.append("".join(x))
+    texts = list(dict.fromkeys(texts))
+    prints = [fingerprints.fingerprint(t) for t in texts]
+    keys, lengths = [set(fingerprints.bands(p)) for p in prints], [int(p.split("-")[0], 16) for p in prints]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = []
+    for b in range(len(texts)):
+        for a in range(b):
+            if keys[a] & keys[b] and fingerprints.likeness(prints[a], prints[b]) >= 0.8:
+                linked.append((a, b))
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    across = sum(lengths[a].bit_length() != lengths[b].bit_length() for a, b in linked)
+    assert len(linked) > 200 and across > 20
+    pairs = spark.createDataFrame([(prints[a], prints[b]) for a, b in linked], "x string, y string")
+    x, y = (fingerprints.marked_bands_of(c) for c in ("x", "y"))
+    marks = pairs.select(x.alias("x"), y.alias("y"))
+    assert marks.filter(fingerprints.may_be_like(F.col("x"), F.col("y"), 0.8) & fingerprints.may_be_like(F.col("y"), F.col("x"), 0.8)).count() == len(linked)
+    monkeypatch.setattr(linking, "BLOCK", block)
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_exact_dedup_against_brute_force(spark, sf_dir):
     docs = documents(spark, sf_dir).unionByName(documents(spark, sf_dir).limit(30).withColumns({"doc_id": F.col("doc_id") + 10_000, "text": F.regexp_replace("text", " ", " \t ")}))
     groups = defaultdict(list)
